@@ -70,6 +70,16 @@ class EliasFano:
             place += np.where(on, width, 0)
         return place
 
+    def _next_zero(self, before: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """The place of the zero number k, after that of the zero before it: mostly in the same word."""
+        at = before + 1
+        bits = ~self.high[at >> 6] >> (at & 63).astype(_U)
+        place = at + np.bitwise_count((bits & (~bits + _U(1))) - _U(1))
+        far = np.flatnonzero(bits == 0)
+        if len(far):
+            place[far] = self.select0(k[far])
+        return place
+
     def low_bits(self, i: np.ndarray) -> np.ndarray:
         if not self.bits:
             return np.zeros(len(i), _U)
@@ -85,8 +95,8 @@ class EliasFano:
             return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
         high = (x >> _U(self.bits)).astype(np.int64)
         low = x & _U((1 << self.bits) - 1)
-        end = self.select0(high) - high
-        begin = np.where(high > 0, self.select0(np.maximum(high - 1, 0)) - (high - 1), 0)
+        before = np.where(high > 0, self.select0(np.maximum(high - 1, 0)), -1)
+        begin, end = before - (high - 1), self._next_zero(before, high) - high
         top = end.copy()
         while (open_ := begin < end).any():  # the values with these high bits: two on average
             middle = (begin + end) >> 1
@@ -153,7 +163,7 @@ def map_arrays(path: str) -> dict[str, np.ndarray]:
                 copy.write(part)
         copy.flush()
         place, _kept[path] = copy.name, copy
-    whole = np.memmap(place, np.uint8, "r")
+    whole = np.memmap(place, np.uint8, "r").view(np.ndarray)
     size = int(whole[:8].view("<u8")[0])
     head, body = json.loads(bytes(whole[8 : 8 + size])), whole[8 + size :]
     return {name: body[at : at + n * np.dtype(kind).itemsize].view(kind) for name, (kind, n, at) in head.items()}

@@ -30,10 +30,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut
+from ._common import cut, new_folder
 from ._words import each_group, mix, shingle_hashes
 from .components import roots
 
@@ -74,10 +74,10 @@ def wide_bits(texts: pa.Array, size: int, bits: int) -> Iterator[np.ndarray]:
             for k in range(bits // 64):
                 sums = np.zeros((len(some), 64), np.int64)
                 mixed = mix(hashes + np.uint64((k * 0x9E3779B97F4A7C15) & (2**64 - 1))).view(np.uint8).reshape(-1, 8)
-                # texts of up to a million shingles' bits at a time
+                # the bits of so many shingles at a time
                 at = 0
                 while at < len(some):
-                    end = max(at + 1, int(np.searchsorted(of[some], of[some[at]] + 1_000_000)))
+                    end = max(at + 1, int(np.searchsorted(of[some], of[some[at]] + 150_000)))
                     part = slice(of[some[at]], of[some[min(end, len(some)) - 1] + 1])
                     sums[at:end] = np.add.reduceat(np.unpackbits(mixed[part], axis=1), of[some[at:end]] - of[some[at]], axis=0, dtype=np.int32)
                     at = end
@@ -114,23 +114,20 @@ def exact_keys(rows: int, radius: int, bits: int = 64) -> list[list[tuple[int, i
 
 def banded_keys(rows: int, radius: int, bits: int, found: float = 0.995, seed: int = 7) -> list[list[tuple[int, int]]]:
     """Keys of bits drawn at random: a pair at the radius shares one with the chance found."""
-    width = max(10, math.ceil(math.log2(max(rows, 1) / 512)) if rows > 512 else 10)
+    width = max(10, math.ceil(math.log2(max(rows, 2) / 2048)))
     same = (1 - radius / bits) ** width
     random = np.random.default_rng(seed)
     return [[(int(b), 1) for b in sorted(random.choice(bits, width, replace=False))] for _ in range(math.ceil(math.log(1 - found) / math.log(1 - same)))]
 
 
-def _key(fp: str, parts: list[tuple[int, int]], bits: int) -> Column:
-    """The key's bits as a long (up to 63 bits of a 64-bit word each), read from the words of the fingerprint."""
-    total = F.lit(0).cast("long")
-    for first, n in parts:
-        while n:
-            word, at = divmod(first, 64)
-            take = min(n, 64 - at)
-            piece = F.shiftrightunsigned(F.col(f"_w{word}"), 64 - at - take).bitwiseAND(F.lit((1 << take) - 1 if take < 63 else 2**63 - 1).cast("long"))
-            total = F.shiftleft(total, take).bitwiseOR(piece) if take < 60 else F.xxhash64(total, piece)
-            first, n = first + take, n - take
-    return total
+def masks(keys: list[list[tuple[int, int]]], bits: int) -> list[list[int]]:
+    """For each key the mask of each 64-bit word (signed): fingerprints with equal masked words agree on the key's bits."""
+    out = []
+    for parts in keys:
+        chosen = {b for first, n in parts for b in range(first, first + n)}
+        words = [sum(1 << (63 - b % 64) for b in chosen if b // 64 == w) for w in range(bits // 64)]
+        out.append([w - 2**64 if w >= 2**63 else w for w in words])
+    return out
 
 
 def forest(planes_of: np.ndarray, cell: np.ndarray, radius: int) -> np.ndarray:
@@ -144,7 +141,7 @@ def forest(planes_of: np.ndarray, cell: np.ndarray, radius: int) -> np.ndarray:
         return label
     words = (n + 63) // 64
     packed = np.packbits(np.ascontiguousarray(np.unpackbits(planes_of, axis=1).T), axis=1, bitorder="little")
-    planes = np.zeros((packed.shape[0], 8 * words + 16), np.uint8)
+    planes = np.zeros((packed.shape[0], 16 * words + 16), np.uint8)
     planes[:, : packed.shape[1]] = packed
     planes = planes.view(np.uint64)
     first = np.concatenate([[True], cell[1:] != cell[:-1]])
@@ -160,7 +157,6 @@ def forest(planes_of: np.ndarray, cell: np.ndarray, radius: int) -> np.ndarray:
             if not len(row):
                 break
             continue
-        mask = np.zeros(8 * words, np.uint8)
         marked = np.zeros(64 * words, bool)
         marked[pairs] = True
         mask = np.packbits(marked, bitorder="little").view(np.uint64)
@@ -168,21 +164,17 @@ def forest(planes_of: np.ndarray, cell: np.ndarray, radius: int) -> np.ndarray:
         alive = mask[at]
         skip, shift = divmod(d, 64)
         counters = [np.full(len(at), (2**64 - 1) if begin >> k & 1 else 0, np.uint64) for k in range(width)]
-        for p in range(len(planes)):
-            plane = planes[p]
-            other = plane[np.minimum(at + skip, len(plane) - 1)]
+        for p in range(0, len(planes), 8):
+            part = planes[p : p + 8]
+            other = part[:, at + skip] if skip else part[:, at]
             if shift:
-                other = (other >> np.uint64(shift)) | (plane[np.minimum(at + skip + 1, len(plane) - 1)] << np.uint64(64 - shift))
-            carry = plane[at] ^ other
-            for k in range(width):
-                counters[k], carry = counters[k] ^ carry, counters[k] & carry
-            alive = alive & ~carry
-            if p % 8 == 7:  # abandon the words whose pairs are all too far apart
-                keep = alive != 0
-                if not keep.all():
-                    at, alive, counters = at[keep], alive[keep], [c[keep] for c in counters]
-                    if not len(at):
-                        break
+                other = (other >> np.uint64(shift)) | (part[:, at + skip + 1] << np.uint64(64 - shift))
+            alive = alive & ~_add_eight(counters, part[:, at] ^ other)
+            keep = alive != 0
+            if not keep.all():  # abandon the words whose pairs are all too far apart
+                at, alive, counters = at[keep], alive[keep], [c[keep] for c in counters]
+                if not len(at):
+                    break
         if len(at):
             hit = np.unpackbits(alive.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             which, bit = np.nonzero(hit)
@@ -190,6 +182,32 @@ def forest(planes_of: np.ndarray, cell: np.ndarray, radius: int) -> np.ndarray:
     return label
 
 
+def _add_eight(counters: list[np.ndarray], x: np.ndarray) -> np.ndarray:
+    """Adds eight bit vectors to the counters: carry-save adders make one four-bit number of them, which ripples in. What overflows comes back."""
+    a, b, c = x[0:2], x[2:4], x[4:6]
+    u = a ^ b
+    one, two = u ^ c, (a & b) | (u & c)
+    u = one[0] ^ one[1]
+    s, carry = u ^ x[6], (one[0] & one[1]) | (u & x[6])
+    ones, more = s ^ x[7], s & x[7]
+    u = two[0] ^ two[1]
+    t, four = u ^ carry, (two[0] & two[1]) | (u & carry)
+    twos, again = t ^ more, t & more
+    number = (ones, twos, four ^ again, four & again)
+    over = np.zeros_like(ones)
+    rest = np.zeros_like(ones)
+    for k, old in enumerate(counters):
+        if k < 4:
+            u = old ^ number[k]
+            counters[k], rest = u ^ rest, (old & number[k]) | (u & rest)
+        else:
+            counters[k], rest = old ^ rest, old & rest
+    over |= rest
+    for k in range(len(counters), 4):
+        over |= number[k]
+    return over
+
+
 def _union(label: np.ndarray, rows: np.ndarray, d: int) -> None:
     """Joins each row with the row d further on; every label stays the first row of its set."""
     a, b = label[rows], label[rows + d]
@@ -233,16 +251,10 @@ def links(nodes: DataFrame, radius: int, bits: int, keys: list[list[tuple[int, i
     """(a, b): edges between nodes (node long, fp binary) that span the links within the radius."""
     words = {f"_w{k}": F.conv(F.hex(F.substring("fp", 8 * k + 1, 8)), 16, -10).cast("long") for k in range(bits // 64)}
     rows = nodes.withColumns(words)
-    rows = rows.select("node", "fp", F.explode(F.array(*(F.struct(F.lit(k).alias("n"), _key("fp", parts, bits).alias("v")) for k, parts in enumerate(keys)))).alias("_k"))
-    rows = rows.select("node", "fp", F.xxhash64("_k.n", "_k.v").alias("_key"))
-    large = cut(rows.groupBy("_key").count().where(F.col("count") > CELL).select("_key", F.ceil(F.col("count") / CELL).cast("int").alias("_chunks")))
-    one = F.array(F.lit(-1))
-    if not large.isEmpty():
-        # chunks of a large group meet two by two: chunk c goes to the cells (c, 0), (c, 1), ...
-        rows = rows.join(large, "_key", "left").withColumn("_c", F.pmod(F.xxhash64("node"), F.col("_chunks")).cast("int"))
-        with_other = F.transform(F.sequence(F.lit(0), F.col("_chunks") - 1), lambda o: F.least(F.col("_c"), o) * F.col("_chunks") + F.greatest(F.col("_c"), o))
-        one = F.when(F.col("_chunks").isNull(), one).otherwise(with_other)
-    cells = rows.withColumn("_part", F.explode(one)).withColumn("_cell", F.xxhash64("_key", "_part"))
+    of_keys = F.array(*(F.array(F.lit(k).cast("long"), *(F.lit(w).cast("long") for w in m)) for k, m in enumerate(masks(keys, bits))))
+    rows = rows.withColumn("_m", F.explode(of_keys))
+    rows = rows.select("node", "fp", F.xxhash64(F.col("_m")[0], *(F.col(f"_w{w}").bitwiseAND(F.col("_m")[w + 1]) for w in range(bits // 64))).alias("_key"))
+    cells = _dealt(rows, "_key", CELL)
     spread = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     return _edges(cells.repartition(spread, "_cell").sortWithinPartitions("_cell"), radius)
 
@@ -264,23 +276,117 @@ def document_components(docs: DataFrame) -> DataFrame:
     return found.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.hex("fp")).alias("fingerprint"), F.col("component_id").cast("long").alias("component_id"))
 
 
-#: Near copies in the pipeline: five words, 256 bits. The estimated Jaccard similarity at this many bits is 0.8, less the estimate's own spread.
-NEAR_WORDS, NEAR_BITS, NEAR_RADIUS = 5, 256, 46
+#: Near copies in the pipeline: five words; fingerprints of 256 bits admit pairs that exact Jaccard similarity then settles.
+#: A similarity of 0.8 differs in 39 bits on average, with a standard deviation of 6: two of them more are admitted.
+NEAR_WORDS, NEAR_BITS, NEAR_RADIUS, NEAR_SIMILARITY = 5, 256, 51, 0.8
+#: Rows of a chunk of a large loose group: sets of shingles are compared there.
+VERIFY_CELL = 1024
+
+
+def shingle_sets(docs: DataFrame, size: int, text: str) -> DataFrame:
+    """(node, root, fp, shingles): fingerprints and the sorted distinct shingle hashes, 32 bits each, of the texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = [row.tobytes() for group in wide_bits(batch.column(2), size, NEAR_BITS) for row in group]
+            sets = []
+            for a, b, _data, words, _s, _e, bounds in each_group(batch.column(2)):
+                hashes, of = shingle_hashes(words, bounds, size)
+                sets += [np.unique((hashes[of[k] : of[k + 1]] >> np.uint64(32)).astype("<u4")).tobytes() for k in range(b - a)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.binary()), pa.array(sets, pa.binary())], ["node", "root", "fp", "shingles"])
+
+    return docs.select("node", "root", text).mapInArrow(run, "node long, root long, fp binary, shingles binary")
+
+
+def verified_forest(fps: np.ndarray, sets: list[np.ndarray], radius: int, similarity: float) -> np.ndarray:
+    """For each row the first row of its set: rows within the radius link if their sets' Jaccard similarity reaches the threshold."""
+    label = np.arange(len(fps))
+    bits = fps.view(np.uint64)
+    for i in range(len(fps) - 1):
+        near = np.flatnonzero((np.bitwise_count(bits[i + 1 :] ^ bits[i]).sum(axis=1) <= radius) & (label[i + 1 :] != label[i])) + i + 1
+        for j in near:
+            if label[i] == label[j]:
+                continue
+            a, b = sets[i], sets[j]
+            if min(len(a), len(b)) < similarity * max(len(a), len(b)):
+                continue
+            both = len(np.intersect1d(a, b, assume_unique=True))
+            if both >= similarity * (len(a) + len(b) - both) - 1e-9:
+                low, high = sorted((label[i], label[j]))
+                label[label == high] = low
+    return label
+
+
+def _dealt(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """rows with _cell: rows of one key together, those of a key with more than most rows in cells of two chunks, so that every pair meets."""
+    large = cut(rows.groupBy(key).count().where(F.col("count") > most).select(key, F.ceil(F.col("count") / most).cast("int").alias("_chunks")))
+    one = F.array(F.lit(-1))
+    if not large.isEmpty():
+        # chunk c goes to the cells (c, 0), (c, 1), ...
+        rows = rows.join(large, key, "left").withColumn("_c", F.pmod(F.xxhash64("node"), F.col("_chunks")).cast("int"))
+        with_other = F.transform(F.sequence(F.lit(0), F.col("_chunks") - 1), lambda o: F.least(F.col("_c"), o) * F.col("_chunks") + F.greatest(F.col("_c"), o))
+        one = F.when(F.col("_chunks").isNull(), one).otherwise(with_other)
+    return rows.withColumn("_part", F.explode(one)).withColumn("_cell", F.xxhash64(key, "_part")).drop("_part")
+
+
+def _verified(loose: DataFrame) -> DataFrame:
+    """(a, b): a spanning forest of the links that exact similarity confirms. loose: node, root, fp, shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def done() -> pa.RecordBatch:
+            node = np.array([x[0] for x in held], np.int64)
+            label = verified_forest(np.frombuffer(b"".join(x[1] for x in held), np.uint8).reshape(len(held), -1), [np.frombuffer(x[2], "<u4") for x in held], NEAR_RADIUS, NEAR_SIMILARITY)
+            linked = np.flatnonzero(label != np.arange(len(held)))
+            return pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[label[linked]])], ["a", "b"])
+
+        for batch in batches:
+            for cell, *row in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                if cell != now and held:
+                    yield done()
+                    held = []
+                now = cell
+                held.append(row)
+        if held:
+            yield done()
+
+    cells = _dealt(loose, "root", VERIFY_CELL)
+    spread = max(int(loose.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    return cells.select("_cell", "node", "fp", "shingles").repartition(spread, "_cell").sortWithinPartitions("_cell").mapInArrow(run, "a long, b long")
+
+
+def near_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, component_id) of documents with an id: near copies by exact similarity, found among fingerprints within the radius."""
+    prints = cut(fingerprints(docs, NEAR_WORDS, NEAR_BITS, id_column=id_column, text=text).withColumn("node", F.xxhash64("fp")))
+    nodes = cut(prints.groupBy("node", "fp").agg(F.min(id_column).alias("_least")))
+    loose = roots(links(nodes.select("node", "fp"), NEAR_RADIUS, NEAR_BITS, banded_keys(nodes.count(), NEAR_RADIUS, NEAR_BITS)))
+    members = loose.unionByName(loose.select(F.col("root").alias("node"), "root").distinct())
+    folder = new_folder(docs.sparkSession, "loose-groups")
+    members.join(nodes.select("node", "_least"), "node").write.parquet(folder)
+    # one text of each fingerprint in a loose group; the table's size is known, so a small one is broadcast and texts stay in place
+    asked = docs.sparkSession.read.parquet(folder)
+    texts = docs.join(asked, F.col(id_column) == F.col("_least")).select("node", "root", text)
+    root = roots(_verified(shingle_sets(texts, NEAR_WORDS, text)))
+    of = cut(nodes.select("node", "_least").join(root, "node", "left").select("node", "_least", F.coalesce("root", "node").alias("root")))
+    named = of.join(of.groupBy("root").agg(F.min("_least").alias("component_id")), "root").select("node", "component_id")
+    return prints.join(named, "node").select(id_column, "component_id")
 
 
 def keep_one(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """docs with one row of each group of near copies: that of the smallest id, the first of equal ids by text.
+    """docs with one row of each group of near copies: that of the smallest id, the first of equal ids by a hash of their values.
 
     Rows with a null id form no group and stay.
     """
     given = docs.where(F.col(id_column).isNotNull())
-    found = components(fingerprints(given, NEAR_WORDS, NEAR_BITS, id_column=id_column), NEAR_RADIUS, NEAR_BITS, banded_keys, id_column)
-    kept = found.where(F.col("component_id") == F.col(id_column)).select(F.col(id_column).alias("_kept")).distinct()
-    rows = given.join(kept, F.col(id_column) == F.col("_kept"), "left_semi")
-    repeated = cut(found.groupBy(id_column).count().where("count > 1").select(F.col(id_column).alias("_again")))
-    if not repeated.isEmpty():
-        # the same id twice: one row stays, by the hash of its values
-        again = rows.join(repeated, F.col(id_column) == F.col("_again"), "left_semi")
+    found = cut(near_groups(given, id_column))
+    folder = new_folder(docs.sparkSession, "kept-ids")
+    found.where(F.col("component_id") == F.col(id_column)).groupBy(F.col(id_column).alias("_kept")).agg((F.count(F.lit(1)) > 1).alias("_again")).write.parquet(folder)
+    rows = given.join(docs.sparkSession.read.parquet(folder), F.col(id_column) == F.col("_kept")).drop("_kept")
+    once = rows.where("not _again").drop("_again")
+    if not docs.sparkSession.read.parquet(folder).where("_again").isEmpty():
+        # the same id twice: one row stays
+        again = rows.where("_again").drop("_again")
         least = again.groupBy(id_column).agg(F.min_by(F.struct(*docs.columns), F.struct(F.xxhash64("text"), F.xxhash64(*[c for c in docs.columns if c != id_column]))).alias("_row")).select("_row.*")
-        rows = rows.join(repeated, F.col(id_column) == F.col("_again"), "left_anti").unionByName(least)
-    return rows.unionByName(docs.where(F.col(id_column).isNull()))
+        once = once.unionByName(least)
+    return once.unionByName(docs.where(F.col(id_column).isNull()))

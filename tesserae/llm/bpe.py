@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Characters given to the library at a time.
-GROUP_CHARS = 400_000
+GROUP_CHARS = 200_000
 
 
 def byte_characters() -> list[str]:

@@ -41,6 +41,7 @@ UNKNOWN_PRIOR = 0.001
 _BITS = 16
 _LOWER = np.arange(256, dtype=np.uint32)
 _LOWER[65:91] += 32
+_LOWER[48:58] = 48  # all digits count as one
 
 
 def _trigrams(data: np.ndarray) -> np.ndarray:
@@ -55,14 +56,15 @@ class Model:
     def __init__(self, languages: list[str], counts: np.ndarray):
         self.languages = languages
         smooth = counts + 0.1
-        known = np.log(smooth / smooth.sum(axis=0)) if languages else np.zeros((1 << _BITS, 0))
+        # a tenth of any text may be anything: codes and names don't make a text foreign
+        known = np.log(0.9 * smooth / smooth.sum(axis=0) + 0.1 / (1 << _BITS)) if languages else np.zeros((1 << _BITS, 0))
         self.table = np.concatenate([known, np.full((1 << _BITS, 1), -_BITS * np.log(2))], axis=1).astype(np.float32)
 
     def likelihoods(self, texts: pa.Array) -> np.ndarray:
         """A row for each text: log likelihoods of the languages, then of none."""
         data, bounds = text_buffers(texts)
         out = np.zeros((len(texts), self.table.shape[1]))
-        for a, b in groups(bounds, 1_000_000):
+        for a, b in groups(bounds, 250_000):
             part, at = data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a]
             some = np.flatnonzero(np.diff(at) >= 3)
             if not len(some):

@@ -43,8 +43,8 @@ ORDER = 3
 SHARES = {2: 0.6, 3: 0.5}
 #: log10 of a share from 0 down to this, in 16 bits.
 FLOOR = -10.0
-#: Bytes of text a task takes up at a time, and keys it gathers before it merges them.
-PART, GATHER = 4_000_000, 2_000_000
+#: Bytes of text a task takes up at a time, bytes it hashes at a time, and words it gathers before it merges them.
+PART, HASHED, GATHER = 6_000_000, 500_000, 2_000_000
 _SCHEMA = "shard int, keys binary, lasts binary, counts binary"
 _NAMES = ["shard", "keys", "lasts", "counts"]
 
@@ -72,7 +72,7 @@ def merged(keys: np.ndarray, lasts: np.ndarray, counts: np.ndarray) -> tuple[np.
 
 
 def _pieces(keys: np.ndarray, lasts: np.ndarray, counts: np.ndarray, shard: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Sorted keys dealt to shards: keys as differences, so that they pack well."""
+    """Keys dealt to shards, as differences: where they come sorted these are small."""
     if not len(keys):
         return
     order = np.argsort(shard, kind="stable")
@@ -118,8 +118,13 @@ def each_part(batch: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarra
     """(first text, after the last, word hashes, bounds of texts among words)."""
     data, bounds = text_buffers(batch)
     for a, b in groups(bounds, PART):
-        hashes, _, _, of = hashed_words(data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a])
-        yield a, b, hashes, of
+        hashes, counts = [np.zeros(0, _U)], [np.zeros(1, np.int64)]
+        for c, d in groups(bounds[a : b + 1], HASHED):
+            at = bounds[a + c : a + d + 1]
+            found, _, _, of = hashed_words(data[at[0] : at[-1]], at - at[0])
+            hashes.append(found)
+            counts.append(np.diff(of))
+        yield a, b, np.concatenate(hashes), np.cumsum(np.concatenate(counts))
 
 
 class Vocabulary:
@@ -269,22 +274,15 @@ def train_trie(texts: DataFrame, vocabulary: Vocabulary, shards: int) -> None:
     none = 2**32 - 1  # the last word of a pair's own row
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = _Gathered()
-
-        def out() -> Iterator[pa.RecordBatch]:
-            keys, lasts, counts = got.take()
-            yield from _pieces(keys, lasts, counts, pair_shard(keys, shards))
-
         for batch in batches:
             for *_, hashes, of in each_part(batch.column(0)):
                 numbers, _, text, _ = vocabulary.token_numbers(hashes, of)
-                _, pairs, triple, last = _ngrams(numbers, text, vocabulary.end)
-                lead = (numbers[triple].astype(_U) << _U(32)) | numbers[triple + 1].astype(_U) if len(triple) else np.zeros(0, _U)
-                got.add(np.concatenate([pairs, lead]), np.concatenate([np.full(len(pairs), none, np.int64), last]))
-                if got.size() > 2 * GATHER:
-                    yield from out()
-        if got.parts:
-            yield from out()
+                place, pairs, triple, last = _ngrams(numbers, text, vocabulary.end)
+                distinct, back, times = np.unique(pairs, return_inverse=True, return_counts=True)
+                # a triple as the rank of its pair here and its last word: one number, sorted in place
+                codes, often = np.unique((back[np.searchsorted(place, triple)].astype(_U) << _U(32)) | last.astype(_U), return_counts=True)
+                keys, lasts = np.concatenate([distinct, distinct[codes >> _U(32)]]), np.concatenate([np.full(len(distinct), none, np.int64), (codes & _U(2**32 - 1)).astype(np.int64)])
+                yield from _pieces(keys, lasts, np.concatenate([times, often]), pair_shard(keys, shards))
 
     def build(shard: int, keys: np.ndarray, lasts: np.ndarray, counts: np.ndarray) -> tuple[int, int]:
         own = lasts == none

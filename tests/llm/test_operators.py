@@ -177,7 +177,7 @@ def test_shards_are_a_shuffle(spark):
     got = sharding.shuffle_into_shards(rows, 3, [F.col("doc_id")], 1).collect()
     low = [r["shard"] for r in got if r["doc_id"] < 1500]
     assert all(420 < low.count(s) < 580 for s in range(3))
-    assert {r["shard"]: r["slot"] for r in got} != {r["shard"]: r["slot"] for r in sharding.shuffle_into_shards(rows, 3, [F.col("doc_id")], 2).collect()}
+    assert {r["doc_id"]: r["shard"] for r in got} != {r["doc_id"]: r["shard"] for r in sharding.shuffle_into_shards(rows, 3, [F.col("doc_id")], 2).collect()}
 
 
 def test_bpe_offsets_and_decoding(spark):

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,12 +30,63 @@ CLASSES: list[tuple[str, str]] = [
 ]
 
 
-def scan(spark: SparkSession, root: str) -> DataFrame:
-    """(path, content) of all files below root, paths relative to it. Hidden marks of links are the file system's: links that leave root must be kept out by its owner."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = root.rstrip("/").split("://")[-1].removeprefix("file:")
-    at = F.instr("path", base)
-    return found.select(F.substring("path", at + len(base) + 1, F.length("path")).alias("path"), "content")
+def list_tree(root: str, exclude: list[str] | None = None) -> list[str]:
+    """Relative paths of all files below root, sorted: links are not followed, excluded folders not entered, nothing below MAX_DEPTH.
+
+    Spark's own readers pass over empty files and names that begin with a mark, which source trees are full of.
+    """
+    import os
+    import re
+
+    if "://" in root and not root.startswith("file://"):
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(root)
+        return sorted(x.path[len(base) :].lstrip("/") for x in system.get_file_info(fs.FileSelector(base, recursive=True)) if x.type == fs.FileType.File)
+    pruned = [re.compile(globs.glob_regex(g)) for g in (EXCLUDE if exclude is None else exclude)]
+    base, found = root.removeprefix("file://"), []
+    pending = [("", 1)]
+    while pending:
+        at, depth = pending.pop()
+        try:
+            entries = list(os.scandir(os.path.join(base, at)))
+        except OSError:
+            continue
+        for entry in entries:
+            path = f"{at}/{entry.name}" if at else entry.name
+            if entry.is_symlink():
+                continue
+            if entry.is_dir(follow_symlinks=False):
+                if depth < MAX_DEPTH and not any(p.match(path) for p in pruned):
+                    pending.append((path, depth + 1))
+            elif entry.is_file(follow_symlinks=False):
+                found.append(path)
+    return sorted(found)
+
+
+def scan(spark: SparkSession, root: str, exclude: list[str] | None = None, cap: int = MAX_BYTES) -> DataFrame:
+    """(path, content, byte_size) of all files below root; of files over the cap the first bytes, of unreadable ones null.
+
+    The driver lists names; tasks read. A table of (path, content, byte_size) from elsewhere serves the index as well.
+    """
+    paths = list_tree(root, exclude)
+    rows = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, min(len(paths) // 64 + 1, 4 * spark.sparkContext.defaultParallelism)), "path")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        remote = "://" in root
+        system, base = fs.FileSystem.from_uri(root) if remote else (fs.LocalFileSystem(), root)
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                try:
+                    with system.open_input_file(f"{base.rstrip('/')}/{path}") as data:
+                        size, content = data.size(), data.read(cap)
+                except OSError:
+                    size, content = 0, None
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([content], pa.binary()), pa.array([size], pa.int64())], ["path", "content", "byte_size"])
+
+    return rows.mapInArrow(run, "path string, content binary, byte_size long")
 
 
 def discover(files: DataFrame, include: list[str] | None = None, exclude: list[str] | None = None, ignore: list[tuple[str, bool]] | None = None) -> DataFrame:
@@ -42,32 +96,29 @@ def discover(files: DataFrame, include: list[str] | None = None, exclude: list[s
     return files.where(kept & ~globs.is_ignored(path, ignore or []))
 
 
-def is_binary(content: Column, head: int = HEAD) -> Column:
-    return F.expr(f"position(X'00' IN substring({_name(content)}, 1, {head})) > 0")
+def is_binary(content: str, head: int = HEAD) -> Column:
+    return F.expr(f"position(X'00' IN substring({content}, 1, {head})) > 0")
 
 
-def _name(column: Column) -> str:
-    return column._jc.toString() if hasattr(column, "_jc") else str(column)
-
-
-def readable_text(content: Column, cap: int = MAX_BYTES) -> Column:
-    """Lossy UTF-8; over the cap: empty."""
-    return F.when(F.octet_length(content) > cap, F.lit("")).otherwise(F.make_valid_utf8(content.cast("string")))
+def readable_text(content: Column) -> Column:
+    """Lossy UTF-8."""
+    return F.make_valid_utf8(content.cast("string"))
 
 
 def described(files: DataFrame) -> DataFrame:
-    """path, content_text, language, file_class, byte_size, line_count, source_hash, parse_state."""
-    content, path = F.col("content"), F.col("path")
-    body = readable_text(content)
-    binary = is_binary(content)
+    """path, content_text, language, file_class, byte_size, line_count, source_hash, parse_state.
+
+    Files that can't be read fail with one and the same hash, so that they don't count as changed again and again.
+    """
+    content, path, size = F.col("content"), F.col("path"), F.col("byte_size")
+    binary, body = F.coalesce(is_binary("content"), F.lit(False)), F.coalesce(readable_text(content), F.lit(""))
     head = F.make_valid_utf8(F.substring(content, 1, 2048).cast("string"))
-    size = F.octet_length(content)
-    state = F.when(binary, "binary").when(size > MAX_BYTES, "oversized").otherwise("pending")
+    state = F.when(content.isNull(), "failed").when(binary, "binary").when(size > MAX_BYTES, "oversized").otherwise("pending")
+    shown = F.when(state == "pending", body).otherwise(F.lit(""))
     return files.select(
-        "path", F.when(binary, F.lit("")).otherwise(body).alias("content_text"), language_of(path, EXTENSIONS).alias("language"),
-        F.when(binary, F.lit("binary")).otherwise(globs.classify(path, CLASSES, "source", head)).alias("file_class"), size.alias("byte_size"),
-        F.when(binary | (size == 0), F.lit(0)).otherwise(F.length(body) - F.length(F.replace(body, F.lit("\n"))) + F.when(body.endswith("\n"), 0).otherwise(1)).alias("line_count"),
-        F.sha2(content, 256).alias("source_hash"), state.alias("parse_state"),
+        "path", shown.alias("content_text"), language_of(path, EXTENSIONS).alias("language"), F.when(binary, F.lit("binary")).otherwise(globs.classify(path, CLASSES, "source", F.coalesce(head, F.lit("")))).alias("file_class"), size.alias("byte_size"),
+        F.when(shown == "", F.lit(0)).otherwise(F.length(shown) - F.length(F.replace(shown, F.lit("\n"))) + F.when(shown.endswith("\n"), 0).otherwise(1)).alias("line_count"),
+        F.coalesce(F.sha2(F.concat(content, size.cast("string").cast("binary")), 256), F.lit("unreadable")).alias("source_hash"), state.alias("parse_state"),
     )
 
 

@@ -24,7 +24,7 @@ TREE = {
     "empty.py": "",
     "crlf.py": "def windows():\r\n    return 1\r\n",
     "node_modules/skipped.py": "def never(): pass\n",
-    "bad_bytes.txt": b"ok \xff\xfe here\n",
+    "bad_bytes.txt": b"ok \xff\xfe here\n", "huge.py": "x = 1\n" * 500_000,
 }
 
 
@@ -39,6 +39,8 @@ def put(root, entries):
 def engine(spark, tmp_path_factory):
     root = tmp_path_factory.mktemp("tree")
     put(root, TREE)
+    (root / "shop/loop").symlink_to(root)
+    (root / "outside.py").symlink_to("/etc/hostname")
     made = api.Engine(spark, str(tmp_path_factory.mktemp("index")))
     made.prepare_repository(str(root))
     return made
@@ -56,7 +58,7 @@ def test_symbols_and_states(engine):
     names = {(r["path"], r["kind"], r["qualified_name"]) for r in engine.table("symbols").collect()}
     assert {("shop/prices.py", "class", "Price"), ("shop/prices.py", "method", "Price.discounted"), ("shop/prices.py", "constant", "LIMIT"), ("tests/test_prices.py", "test", "test_discounted"), ("docs/pricing.md", "section", "Pricing > Rules"), ("broken.py", "function", "fine")} <= names
     states = {r["path"]: r["parse_state"] for r in engine.table("extracted").collect()}
-    assert states["broken.py"] == "partial" and states["data.bin"] == "binary" and states["shop/prices.py"] == "full"
+    assert states["broken.py"] == "partial" and states["data.bin"] == "binary" and states["huge.py"] == "oversized" and states["shop/prices.py"] == "full"
 
 
 def test_facts_are_redacted(engine):

@@ -19,7 +19,7 @@ def test_identifiers(spark):
     assert parts("HTTPServerError2") == ["HTTP", "Server", "Error2"] and parts("snake_case-x") == ["snake", "case", "x"]
     assert value(spark, text.query_terms(F.lit("How does followRedirects handle the 42 retry_count?"))) == ["how", "does", "followredirects", "follow", "redirects", "handle", "retry_count", "retry", "count"]
     assert value(spark, text.identifier_variants(F.array(F.lit("connection"), F.lit("pool")))) == ["connection_pool", "connectionPool", "ConnectionPool"]
-    assert [value(spark, text.stem(F.lit(w))) for w in ("running", "boxes", "as", "users")] == ["runn", "box", "as", "us"] or True
+    assert [value(spark, text.stem(F.lit(w))) for w in ("running", "boxes", "as", "users", "bakers")] == ["runn", "box", "as", "user", "bak"]
 
 
 def test_paths(spark):
@@ -27,7 +27,8 @@ def test_paths(spark):
     assert value(spark, text.normalize_symbol(F.lit("a::B#c."))) == "a.B.c"
     assert value(spark, text.dotted_suffixes(F.lit("a.b.c"))) == ["a.b.c", "b.c", "c"]
     assert value(spark, text.module_name(F.lit("src/a/b/__init__.py"))) == "a.b"
-    assert value(spark, text.canonical_json("b", "a")) if False else True
+    row = spark.sql("select 1 as b, cast(null as string) as a, 'x' as c")
+    assert row.select(text.canonical_json("c", "b", "a")).first()[0] == '{"a":null,"b":1,"c":"x"}'
 
 
 @pytest.mark.parametrize(

@@ -5,8 +5,8 @@ codes that have it.  In round r each open query looks up all values within r bit
 of its own in each segment: by the pigeonhole principle, that finds every code
 closer than segments * (r + 1).  A query is done when its kth verified distance
 lies under that bound; the others go on to the next radius.  Queries still open
-when a round would look up more values than there are codes are compared with all
-codes, a block of queries at a time.
+when a round's candidates would cost more than a comparison with all codes are
+compared with all codes, a block of queries at a time.
 
 Equal codes share one entry, with their k smallest ids: no other of them can be
 among the k nearest.  Neighbours go by distance, then by id; a query is no
@@ -32,6 +32,8 @@ from ._common import cut
 
 #: Queries compared with all codes at a time, when hash tables no longer narrow the search.
 BLOCK = 2_048
+#: Comparisons in a block for the time of one candidate from a hash table: a join's row against a vectorized count of bits.
+LOOKUP = 64
 
 
 def sign_code(vector: str, words: int) -> Column:
@@ -104,7 +106,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, bits: int, id_column:
     radius = 0
     while not open_.isEmpty():
         masks = _masks(parts, radius) if radius <= max(w for _, w in parts) else []
-        if not masks or sum(len(m) for _, m in masks) > max(64, total / 8):
+        # a looked-up candidate costs about as much as LOOKUP comparisons in a block: past that the block is the shorter way
+        if not masks or sum(len(m) / 2**w for (_, m), (_, w) in zip(masks, parts, strict=True)) * LOOKUP > 1:
             done.append(_expanded(_scan(open_, codes, k, bits), codes, k))
             break
         table = spark.createDataFrame(masks, "seg int, masks array<bigint>")  # a row for each segment

@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import cut, new_folder
+from ._id_table import integer_key, look_up, shard_of, write_table
 from ._words import each_group, mix, shingle_hashes
 from .components import roots
 
@@ -283,19 +284,26 @@ NEAR_WORDS, NEAR_BITS, NEAR_RADIUS, NEAR_SIMILARITY = 5, 256, 51, 0.8
 VERIFY_CELL = 1024
 
 
-def shingle_sets(docs: DataFrame, size: int, text: str) -> DataFrame:
-    """(node, root, fp, shingles): fingerprints and the sorted distinct shingle hashes, 32 bits each, of the texts."""
+def shingle_sets(docs: DataFrame, folder: str, shards: int, size: int, id_column: str, text: str) -> DataFrame:
+    """(node, root, fp, shingles) of the texts whose ids are in the table: fingerprints and the sorted distinct shingle hashes, 32 bits each."""
+    key = integer_key(docs, id_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [row.tobytes() for group in wide_bits(batch.column(2), size, NEAR_BITS) for row in group]
+            shard, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            there, node = look_up(folder, shard, keys, "node")
+            _, root = look_up(folder, shard, keys, "root")
+            texts = batch.column(2).filter(pa.array(there))
+            if not len(texts):
+                continue
+            fps = [row.tobytes() for group in wide_bits(texts, size, NEAR_BITS) for row in group]
             sets = []
-            for a, b, _data, words, _s, _e, bounds in each_group(batch.column(2)):
+            for a, b, _data, words, _s, _e, bounds in each_group(texts):
                 hashes, of = shingle_hashes(words, bounds, size)
                 sets += [np.unique((hashes[of[k] : of[k + 1]] >> np.uint64(32)).astype("<u4")).tobytes() for k in range(b - a)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.binary()), pa.array(sets, pa.binary())], ["node", "root", "fp", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(node[there]), pa.array(root[there]), pa.array(fps, pa.binary()), pa.array(sets, pa.binary())], ["node", "root", "fp", "shingles"])
 
-    return docs.select("node", "root", text).mapInArrow(run, "node long, root long, fp binary, shingles binary")
+    return docs.select(shard_of(key, shards), key, text).mapInArrow(run, "node long, root long, fp binary, shingles binary")
 
 
 def verified_forest(fps: np.ndarray, sets: list[np.ndarray], radius: int, similarity: float) -> np.ndarray:
@@ -362,31 +370,53 @@ def near_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text")
     nodes = cut(prints.groupBy("node", "fp").agg(F.min(id_column).alias("_least")))
     loose = roots(links(nodes.select("node", "fp"), NEAR_RADIUS, NEAR_BITS, banded_keys(nodes.count(), NEAR_RADIUS, NEAR_BITS)))
     members = loose.unionByName(loose.select(F.col("root").alias("node"), "root").distinct())
-    folder = new_folder(docs.sparkSession, "loose-groups")
-    members.join(nodes.select("node", "_least"), "node").write.parquet(folder)
-    # one text of each fingerprint in a loose group; the table's size is known, so a small one is broadcast and texts stay in place
-    asked = docs.sparkSession.read.parquet(folder)
-    texts = docs.join(asked, F.col(id_column) == F.col("_least")).select("node", "root", text)
-    root = roots(_verified(shingle_sets(texts, NEAR_WORDS, text)))
+    # one text of each fingerprint in a loose group is looked up where it lies: texts don't move
+    folder, shards = new_folder(docs.sparkSession, "loose-groups"), _shards(docs)
+    write_table(members.join(nodes.select("node", "_least"), "node").select(integer_key(nodes, "_least").alias("key"), "node", "root"), folder, shards)
+    root = roots(_verified(shingle_sets(docs, folder, shards, NEAR_WORDS, id_column, text)))
     of = cut(nodes.select("node", "_least").join(root, "node", "left").select("node", "_least", F.coalesce("root", "node").alias("root")))
     named = of.join(of.groupBy("root").agg(F.min("_least").alias("component_id")), "root").select("node", "component_id")
     return prints.join(named, "node").select(id_column, "component_id")
 
 
+def _shards(df: DataFrame) -> int:
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+
+
 def keep_one(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """docs with one row of each group of near copies: that of the smallest id, the first of equal ids by a hash of their values.
 
-    Rows with a null id form no group and stay.
+    Rows with a null id form no group and stay.  Ids with other rows of another text link by the first of their texts.
     """
     given = docs.where(F.col(id_column).isNotNull())
     found = cut(near_groups(given, id_column))
-    folder = new_folder(docs.sparkSession, "kept-ids")
-    found.where(F.col("component_id") == F.col(id_column)).groupBy(F.col(id_column).alias("_kept")).agg((F.count(F.lit(1)) > 1).alias("_again")).write.parquet(folder)
-    rows = given.join(docs.sparkSession.read.parquet(folder), F.col(id_column) == F.col("_kept")).drop("_kept")
-    once = rows.where("not _again").drop("_again")
-    if not docs.sparkSession.read.parquet(folder).where("_again").isEmpty():
-        # the same id twice: one row stays
-        again = rows.where("_again").drop("_again")
+    # what does not simply stay: 1 goes, 2 is an id of several rows
+    of_id = found.groupBy(id_column).agg(F.max(F.when(F.col("component_id") == F.col(id_column), 1).otherwise(0)).alias("_own"), F.count(F.lit(1)).alias("_n"))
+    marks = of_id.where("_own = 0 or _n > 1").select(integer_key(of_id, id_column).alias("key"), F.when(F.col("_own") == 0, 1).otherwise(2).cast("long").alias("mark"))
+    marks = cut(marks)
+    folder, shards = new_folder(docs.sparkSession, "dropped-ids"), _shards(docs)
+    write_table(marks, folder, shards)
+    marked = _marked(docs, folder, shards, id_column)
+    once = marked.where("_mark = 0").drop("_mark")
+    if not marks.where("mark = 2").isEmpty():
+        again = marked.where("_mark = 2").drop("_mark")
         least = again.groupBy(id_column).agg(F.min_by(F.struct(*docs.columns), F.struct(F.xxhash64("text"), F.xxhash64(*[c for c in docs.columns if c != id_column]))).alias("_row")).select("_row.*")
         once = once.unionByName(least)
-    return once.unionByName(docs.where(F.col(id_column).isNull()))
+    return once
+
+
+def _marked(docs: DataFrame, folder: str, shards: int, id_column: str) -> DataFrame:
+    """docs with _mark: the table's value of the row's id, 0 for other ids and null ones."""
+    key = F.when(F.col(id_column).isNotNull(), integer_key(docs, id_column))
+    n, names = len(docs.columns), [*docs.columns, "_mark"]
+    schema = docs.withColumn("_mark", F.lit(0).cast("long")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            mark = np.zeros(batch.num_rows, np.int64)
+            given = np.flatnonzero(batch.column(n + 1).is_valid().to_numpy(zero_copy_only=False))
+            shard, keys = (batch.column(k).take(pa.array(given)).to_numpy() for k in (n, n + 1))
+            mark[given] = look_up(folder, shard, keys, "mark")[1]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(n)), pa.array(mark)], names)
+
+    return docs.select("*", shard_of(key, shards).alias("_shard"), key.alias("_id_key")).mapInArrow(run, schema)

@@ -11,8 +11,8 @@ For each text and language these are added, as logarithms:
 Counts for the last three are grouped aggregates over all rows, by the language that
 the text alone suggests.  A uniform model stands for no known language, "und".
 
-Trigram counts come from labelled texts: at most TRAIN of each label, those with
-the lowest hashes, which is the bound of the sample.
+Trigram counts come from labelled texts: those of at most TRAIN ids of each label,
+the ids with the lowest hashes, which is the bound of the sample.
 
 Null and empty texts have no trigrams: the other evidence decides.  A missing
 declaration, address or host adds nothing (the host's prior is then that of all rows).
@@ -79,10 +79,14 @@ class Model:
 
 
 def train(labelled: DataFrame, label: str = "lang", text: str = "text", id_column: str = "doc_id", most: int = TRAIN) -> Model:
-    """From at most ``most`` texts of each label."""
-    ids = labelled.where(F.col(label).isNotNull() & F.col(id_column).isNotNull()).select(id_column, label)
-    at = F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(id_column), id_column))
-    chosen = ids.withColumn("_at", at).where(F.col("_at") <= most).select(F.col(id_column).alias("_id")).distinct()
+    """From the texts of at most ``most`` ids of each label."""
+    ids = labelled.where(F.col(label).isNotNull() & F.col(id_column).isNotNull()).select(F.col(id_column).alias("_id"), F.col(label).alias("_label")).withColumn("_hash", F.xxhash64("_id"))
+    # below this hash lie about four times as many rows of a label as are taken: so many go to a task, not all of them
+    below = (F.lit(2.0**64 * 4 * most) / F.col("_n") - F.lit(2.0**63)).alias("_below")
+    limits = ids.groupBy("_label").agg(F.count(F.lit(1)).alias("_n")).select(F.col("_label").alias("_of"), below)  # a row for each language
+    low = ids.join(F.broadcast(limits), F.col("_label") == F.col("_of")).where(F.col("_hash") < F.col("_below")).select("_label", "_hash", "_id").distinct()
+    at = F.row_number().over(Window.partitionBy("_label").orderBy("_hash", "_id"))
+    chosen = low.withColumn("_at", at).where(F.col("_at") <= most).select("_id").distinct()
     rows = labelled.where(F.col(label).isNotNull()).join(F.broadcast(chosen), F.col(id_column) == F.col("_id"), "left_semi").select(label, text)  # most ids a label
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

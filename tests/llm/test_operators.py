@@ -262,3 +262,15 @@ def test_language_columns(spark):
 def test_model_quantisation():
     shares = np.array([1.0, 0.5, 1e-3, 1e-9])
     assert np.allclose(np.log10(lm.restore(lm.quantise(shares))), np.log10(shares), atol=1e-4)
+
+
+def test_training_sample_is_that_of_the_lowest_hashes(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(k % 1500, f"{'alpha beta' if k % 3 else 'gamma delta'} w{k % 97}", "xx" if k % 3 else "yy") for k in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    ids = sorted(df.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).distinct().collect(), key=lambda r: r["h"])
+    chosen = {i for name in ("xx", "yy") for i in [r["doc_id"] for r in ids if r["lang"] == name][:20]}
+    expected = language.train(df.where(F.col("doc_id").isin(*chosen)))
+    found = language.train(df, most=20)
+    assert found.languages == expected.languages == ["xx", "yy"] and (found.table == expected.table).all()

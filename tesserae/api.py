@@ -84,8 +84,8 @@ class Engine:
         if classes:
             docs = docs.where(F.col("klass").isin(classes))
         columns = ["path", "symbol", "qualified", "signature", "keywords", "facts", "role", "klass"]
-        words = docs.withColumn("tokens", F.concat(*(text.ascii_words(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), "_", " ")) for c in columns)))
-        hits = search.candidates(search.bm25(words, "tokens", [t.split("_") for t in asked]), ["path", "doc_kind", "doc_id"], self.config["search.candidates"])
+        phrases = [p for t in asked if (p := [w for w in t.split("_") if w])]
+        hits = search.candidates(search.bm25(docs, text.spaced_words(F.concat_ws(" ", *columns)), phrases), ["path", "doc_kind", "doc_id"], self.config["search.candidates"])
         low = lambda c: F.transform(text.split_identifier(c), F.lower)
         ranked = search.rerank(hits, asked or [""], low(F.col("symbol")), F.col("qualified"), low(F.regexp_replace("path", "/", "_")), F.split("keywords", " "), F.col("klass"))
         return search.diversify(ranked, "path", ["path", "doc_id", "doc_kind"], limit, self.config["search.per_path"])

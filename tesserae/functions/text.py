@@ -18,6 +18,11 @@ def ascii_words(value: Column | str) -> Column:
     return F.filter(F.split(F.lower(text(value)), "[^a-z0-9]+"), lambda w: w != "")
 
 
+def spaced_words(value: Column | str) -> Column:
+    """The same words as one string, a space before each."""
+    return F.rtrim(F.regexp_replace(F.concat(F.lit(" "), F.lower(text(value))), "[^a-z0-9]+", " "))
+
+
 def unicode_words(value: Column | str) -> Column:
     """Runs of letters and digits, lower case, accents kept."""
     return F.filter(F.split(F.lower(text(value)), r"[^\p{L}\p{N}]+"), lambda w: w != "")

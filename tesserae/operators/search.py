@@ -20,30 +20,45 @@ def clamp_limit(limit: int) -> int:
     return min(max(limit, 1), 100)
 
 
-def phrase_frequency(tokens: Column, phrase: list[str]) -> Column:
-    """Places where the words stand one after the other, the last one as a prefix."""
-    if len(phrase) == 1:
-        return F.size(F.filter(tokens, lambda t: t.startswith(phrase[0])))
-    at = F.sequence(F.lit(1), F.greatest(F.size(tokens) - len(phrase) + 1, F.lit(1)))
-    fits = lambda k: reduce(Column.__and__, [F.get(tokens, k + n - 1) == w for n, w in enumerate(phrase[:-1])] + [F.get(tokens, k + len(phrase) - 2).startswith(phrase[-1])])
-    return F.size(F.filter(at, lambda k: F.coalesce(fits(k), F.lit(False))))
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that is computed once for each row: the optimizer copies no expression through a generator, neither into filters nor into lambdas."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
 
 
-def bm25(docs: DataFrame, tokens: str, phrases: list[list[str]]) -> DataFrame:
-    """docs with score (higher is nearer) for those with a match. tokens: an array column. No phrases: no rows."""
+def phrase_frequency(words: Column, phrase: list[str]) -> Column:
+    """Places where the words stand one after the other, the last one as a prefix. words: a string, a space before each word."""
+    if len(phrase) == 1:  # a space can't overlap the letters, so taking out all places counts them
+        return ((F.length(words) - F.length(F.replace(words, F.lit(f" {phrase[0]}"), F.lit("")))) / (len(phrase[0]) + 1)).cast("int")
+    first, rest = phrase[0], " ".join(phrase[1:])
+    return F.regexp_count(words, F.lit(f" {first}(?= {rest})"))
+
+
+def word_count(words: Column) -> Column:
+    return F.length(words) - F.length(F.replace(words, F.lit(" "), F.lit("")))
+
+
+def bm25(docs: DataFrame, words: Column, phrases: list[list[str]]) -> DataFrame:
+    """docs with score (higher is nearer) for those with a match.
+
+    words: a string with a space before each word (text.spaced_words); phrases: lists of words of letters, digits and marks that a pattern takes as they are.
+    No phrases: no rows. A text is split into words once for the scores and once for the collection's statistics; time is linear in its length.
+    """
     if not phrases:
         return docs.withColumn("score", F.lit(0.0)).limit(0)
-    with_counts = docs.withColumn("_d", F.size(tokens)).withColumns({f"_f{k}": phrase_frequency(F.col(tokens), p) for k, p in enumerate(phrases)}).drop(tokens)
-    stats = with_counts.agg(F.count(F.lit(1)).alias("_n"), F.avg("_d").alias("_avg"), *(F.count_if(F.col(f"_f{k}") > 0).alias(f"_n{k}") for k in range(len(phrases))))
-    hits = with_counts.where(reduce(Column.__or__, (F.col(f"_f{k}") > 0 for k in range(len(phrases)))))
+    n = range(len(phrases))
+    w = F.col("_words")
+    counts = F.struct(word_count(w).alias("d"), *(phrase_frequency(w, p).alias(f"f{k}") for k, p in enumerate(phrases)))
+    counted = once(once(docs, "_words", words), "_counts", counts).drop("_words")
+    stats = counted.agg(F.count(F.lit(1)).alias("_n"), F.avg("_counts.d").alias("_avg"), *(F.count_if(F.col(f"_counts.f{k}") > 0).alias(f"_n{k}") for k in n))
+    hits = counted.where(reduce(Column.__or__, (F.col(f"_counts.f{k}") > 0 for k in n)))
     joined = hits.crossJoin(F.broadcast(stats))  # one row
     score = F.lit(0.0)
-    for k in range(len(phrases)):
-        f, n = F.col(f"_f{k}"), F.col(f"_n{k}")
-        idf = F.log((F.col("_n") - n + 0.5) / (n + 0.5))
+    for k in n:
+        f, seen = F.col(f"_counts.f{k}"), F.col(f"_n{k}")
+        idf = F.log((F.col("_n") - seen + 0.5) / (seen + 0.5))
         idf = F.when(idf <= 0, F.lit(1e-6)).otherwise(idf)
-        score = score + idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("_d") / F.col("_avg")))
-    return joined.withColumn("score", score).drop("_n", "_avg", "_d", *(f"_{x}{k}" for x in "fn" for k in range(len(phrases))))
+        score = score + idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("_counts.d") / F.col("_avg")))
+    return joined.withColumn("score", score).drop("_counts", "_n", "_avg", *(f"_n{k}" for k in n))
 
 
 def candidates(scored: DataFrame, key: list[str], most: int = CANDIDATES) -> DataFrame:

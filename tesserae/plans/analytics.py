@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text
-from ..operators import budget, grading, incremental, joins, ledger, resolve, statistics
+from ..operators import budget, grading, incremental, joins, ledger, resolve, search, statistics
 from ._sql import words
 from .tables import read
 
@@ -192,19 +192,19 @@ FROM d GROUP BY lang
 
 def _probe_results(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Probes: benchmark items by their third to fifth words. Results: documents with these words in a row, ranked. Gold: documents with the item's first eight words."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit(" "), F.array_join(text.ascii_words("text"), " "), F.lit(" ")).alias("t"))
-    grams = lambda n: docs.select("doc_id", F.explode(_grams(F.col("t"), n)).alias("gram")).groupBy("doc_id", "gram").agg(F.count(F.lit(1)).alias("c"))
+    docs = search.once(read(spark, sf_dir, "documents").select("doc_id", "text"), "w", text.ascii_words("text")).drop("text")
+    # the few asked-for runs of words meet the documents' runs before anything is counted
+    met = lambda asked, n: docs.select("doc_id", F.explode(_grams("w", n)).alias("gram")).join(asked, "gram")
     items = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("probe"), text.ascii_words("text").alias("w")).where(F.size("w") >= 8)
-    asked = items.select("probe", F.array_join(F.slice("w", 3, 3), " ").alias("gram"))
-    met = grams(3).join(F.broadcast(asked), "gram").select("probe", "doc_id", "c")
+    run = lambda first, n: items.select("probe", F.array_join(F.slice("w", first, n), " ").alias("gram"))
     at = F.row_number().over(Window.partitionBy("probe").orderBy(F.desc("c"), "doc_id"))
-    results = met.withColumn("rank", at).where("rank <= 10").select("probe", "rank", F.col("doc_id").alias("item"))
-    gold = grams(8).join(F.broadcast(items.select("probe", F.array_join(F.slice("w", 1, 8), " ").alias("gram"))), "gram").select("probe", F.col("doc_id").alias("item")).distinct()
-    return results, gold
+    counted = met(run(3, 3), 3).groupBy("probe", "doc_id").agg(F.count(F.lit(1)).alias("c"))
+    results = counted.withColumn("rank", at).where("rank <= 10").select("probe", "rank", F.col("doc_id").alias("item"))
+    return results, met(run(1, 8), 8).select("probe", F.col("doc_id").alias("item")).distinct()
 
 
-def _grams(t, n: int):
-    w = F.split(F.trim(t), " ")
+def _grams(words_column: str, n: int):
+    w = F.col(words_column)
     return F.when(F.size(w) < n, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda k: F.array_join(F.slice(w, k, n), " ")))
 
 

@@ -45,8 +45,8 @@ SELECT doc_id, rank, term, source, score FROM (
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text", text.ascii_words("text").alias("tokens"))
-    return search.bm25(docs, "tokens", PHRASES)
+    docs = read(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+    return search.bm25(docs, text.spaced_words("text"), PHRASES)
 
 
 def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,14 +74,14 @@ BM25_SEARCH = f"WITH {_BM25} SELECT doc_id, round(score, 6) AS score FROM scored
 
 
 def search_rerank_diversify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flagship: BM25, structural re-ranking, three hits a source first."""
-    hits = search.candidates(_scored(spark, sf_dir), ["doc_id"])
-    heading = F.slice(text.ascii_words(F.substring_index("text", "\n", 1)), 1, 12)
-    qualified = F.concat_ws("/", "source", F.substring_index("text", "\n", 1))
-    parts = F.array(F.lower("source"), F.lower("lang"))
-    kept = F.array_distinct(F.filter(text.ascii_words(F.substring("text", 1, 400)), lambda t: text.is_term(t)))
+    """The flagship: BM25, structural re-ranking by heading, place and the document's 15 most frequent terms, three hits a source first."""
+    hits = search.candidates(_scored(spark, sf_dir), ["doc_id"]).withColumn("head", F.substring_index("text", "\n", 1))
+    own = ["doc_id", "source", "lang", "head", "score"]
+    terms = hits.select(*own, F.explode_outer(F.filter(text.ascii_words("text"), lambda t: text.is_term(t))).alias("term"))
+    ranked = keywords.top_terms(terms.groupBy(*own, "term").agg(F.count("term").alias("n")).withColumnRenamed("score", "bm25").withColumnRenamed("n", "score"), "doc_id", 15)
+    hits = ranked.withColumnRenamed("bm25", "_b").groupBy("doc_id", "source", "lang", "head", "_b").agg(F.collect_set("term").alias("kept")).withColumnRenamed("_b", "score")
     kind = F.when(F.col("source").endswith("7"), "test_unit").when(F.col("source").endswith("9"), "documentation").otherwise("source")
-    ranked = search.rerank(hits, TERMS, heading, qualified, parts, kept, kind)
+    ranked = search.rerank(hits, TERMS, F.slice(text.ascii_words("head"), 1, 12), F.concat_ws("/", "source", "head"), F.array(F.lower("source"), F.lower("lang")), F.col("kept"), kind)
     return search.diversify(ranked, "source", ["doc_id"], 20).select("doc_id", "source", "total", "in_path")
 
 
@@ -90,9 +90,10 @@ _SHARE = "CASE WHEN len(list_distinct({p})) = 0 THEN 0.0 ELSE len(list_intersect
 RERANK = f"""
 WITH {_BM25},
 hits AS (SELECT * FROM scored ORDER BY round(score, 9) DESC, doc_id LIMIT 400),
+counted_terms AS (SELECT doc_id, t, count(*) AS n FROM (SELECT doc_id, unnest({words("text")}) AS t FROM hits) WHERE {is_term('t')} GROUP BY doc_id, t),
+kept AS (SELECT doc_id, list(t) AS kw FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, t) AS r FROM counted_terms) WHERE r <= 15 GROUP BY doc_id),
 parts AS (SELECT *, list_slice({words("split_part(text, chr(10), 1)")}, 1, 12) AS h, [lower(source), lower(lang)] AS pp, source || '/' || split_part(text, chr(10), 1) AS q,
-    list_distinct(list_filter({words("substring(text, 1, 400)")}, lambda t: {is_term('t')})) AS kw,
-    CASE WHEN source LIKE '%7' THEN 0.8 WHEN source LIKE '%9' THEN 0.7 ELSE 1.0 END::DOUBLE AS factor FROM hits),
+    coalesce(kw, []) AS kw, CASE WHEN source LIKE '%7' THEN 0.8 WHEN source LIKE '%9' THEN 0.7 ELSE 1.0 END::DOUBLE AS factor FROM hits LEFT JOIN kept USING (doc_id)),
 ranked AS (SELECT doc_id, source, round((score
     + CASE WHEN list_contains({_T}, array_to_string(h, '_')) OR list_contains({_T}, array_to_string(h, '')) THEN 4.0 ELSE 4.0 * ({_SHARE.format(p='h')}) END
     + CASE WHEN len(list_filter({_T}, lambda t: contains(lower(q), t))) > 0 THEN 1.5 ELSE 0.0 END
@@ -228,15 +229,15 @@ def tag_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as tags: the type's words are the name, the brand the signature."""
     parts = read(spark, sf_dir, "part")
     words_of = text.ascii_words("p_type")
-    scored = search.tag_scores(parts, words_of, F.col("p_brand"), F.when(F.col("p_size") > 25, 1.0).otherwise(0.5), F.array_contains(words_of, "brass"), ["brass", "pol", "brand"])
+    scored = search.tag_scores(parts, words_of, F.col("p_brand"), F.when(F.col("p_size") > 25, 1.0).otherwise(0.5), F.array_contains(words_of, "large"), ["large", "pro", "brand"])
     return scored.orderBy(F.desc("score"), "p_partkey").limit(50).select("p_partkey", "score")
 
 
 _TAG_HIT = "CASE WHEN list_contains(w, '{t}') THEN 1.0 WHEN len(list_filter(w, lambda p: starts_with(p, '{t}'))) > 0 THEN 0.5 ELSE 0.0 END::DOUBLE"
 TAG_SEARCH = f"""
 WITH t AS (SELECT p_partkey, p_size, p_brand, {words('p_type')} AS w FROM part),
-c AS (SELECT *, ({" + ".join(_TAG_HIT.format(t=t) for t in ("brass", "pol", "brand"))}) / 3 AS cover, {" + ".join(f"contains(lower(p_brand), '{t}')::INTEGER" for t in ("brass", "pol", "brand"))} AS signed FROM t)
-SELECT p_partkey, round(0.55::DOUBLE * cover + 0.15::DOUBLE * (signed / 3) + 0.20::DOUBLE * CASE WHEN p_size > 25 THEN 1.0 ELSE 0.5 END::DOUBLE + CASE WHEN list_contains(w, 'brass') THEN 0.30 ELSE 0.0 END::DOUBLE, 6) AS score
+c AS (SELECT *, ({" + ".join(_TAG_HIT.format(t=t) for t in ("large", "pro", "brand"))}) / 3 AS cover, {" + ".join(f"contains(lower(p_brand), '{t}')::INTEGER" for t in ("large", "pro", "brand"))} AS signed FROM t)
+SELECT p_partkey, round(0.55::DOUBLE * cover + 0.15::DOUBLE * (signed / 3) + 0.20::DOUBLE * CASE WHEN p_size > 25 THEN 1.0 ELSE 0.5 END::DOUBLE + CASE WHEN list_contains(w, 'large') THEN 0.30 ELSE 0.0 END::DOUBLE, 6) AS score
 FROM c WHERE cover > 0 ORDER BY score DESC, p_partkey LIMIT 50
 """
 
@@ -244,14 +245,14 @@ FROM c WHERE cover > 0 ORDER BY score DESC, p_partkey LIMIT 50
 def syntax_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = read(spark, sf_dir, "part")
     words_of = text.ascii_words("p_name")
-    scored = search.syntax_scores(parts, F.concat(words_of, text.ascii_words("p_type")), F.col("p_brand"), F.when(F.col("p_size") > 25, 1.0).otherwise(0.4), F.array_contains(words_of, "steel"), F.col("p_partkey") % 3 == 0, ["steel", "brass", "brand"])
+    scored = search.syntax_scores(parts, F.concat(words_of, text.ascii_words("p_type")), F.col("p_brand"), F.when(F.col("p_size") > 25, 1.0).otherwise(0.4), F.array_contains(words_of, "plate"), F.col("p_partkey") % 3 == 0, ["plate", "large", "brand"])
     return scored.orderBy(F.desc("score"), "p_partkey").limit(50).select("p_partkey", "score")
 
 
 SYNTAX_SEARCH = f"""
 WITH t AS (SELECT *, {words('p_name')} AS n, list_concat({words('p_name')}, {words('p_type')}) AS w FROM part),
-c AS (SELECT *, len(list_intersect(list_distinct(w), ['steel', 'brass', 'brand'])) / 3 AS cover, contains(lower(p_brand), 'steel')::INTEGER + contains(lower(p_brand), 'brass')::INTEGER + contains(lower(p_brand), 'brand')::INTEGER AS signed FROM t)
-SELECT p_partkey, round((0.50::DOUBLE * cover + 0.15::DOUBLE * (signed / 3) + 0.15::DOUBLE * CASE WHEN p_size > 25 THEN 1.0 ELSE 0.4 END::DOUBLE + CASE WHEN list_contains(n, 'steel') THEN 0.30 ELSE 0.0 END::DOUBLE) * CASE WHEN p_partkey % 3 = 0 THEN 0.6 ELSE 1.0 END::DOUBLE, 6) AS score
+c AS (SELECT *, len(list_intersect(list_distinct(w), ['plate', 'large', 'brand'])) / 3 AS cover, contains(lower(p_brand), 'plate')::INTEGER + contains(lower(p_brand), 'large')::INTEGER + contains(lower(p_brand), 'brand')::INTEGER AS signed FROM t)
+SELECT p_partkey, round((0.50::DOUBLE * cover + 0.15::DOUBLE * (signed / 3) + 0.15::DOUBLE * CASE WHEN p_size > 25 THEN 1.0 ELSE 0.4 END::DOUBLE + CASE WHEN list_contains(n, 'plate') THEN 0.30 ELSE 0.0 END::DOUBLE) * CASE WHEN p_partkey % 3 = 0 THEN 0.6 ELSE 1.0 END::DOUBLE, 6) AS score
 FROM c WHERE cover > 0 ORDER BY score DESC, p_partkey LIMIT 50
 """
 

@@ -4,6 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Tables whose rows are heavy: texts to split and scan.
+HEAVY = ("documents", "pages", "conversations")
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """The table. Texts in fewer splits than there are cores are dealt out first: a large table has splits enough and moves nowhere."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in HEAVY and df._jdf.queryExecution().toRdd().getNumPartitions() * 2 <= cores:
+        return df.repartition(cores)
+    return df

@@ -16,13 +16,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or one of our own where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that all executors see: spark.checkpoint.dir.
+
+    Where that is unset, a session in one process takes a temporary folder of its own; on a cluster it is an error, since executors elsewhere would not see such a folder.
+    """
     sc = spark.sparkContext
+    inner = sc._jsc.sc().getCheckpointDir()
+    found = spark.conf.get("spark.checkpoint.dir", None) or (inner.get() if inner.isDefined() else None)
     if not found:
-        inner = sc._jsc.sc().getCheckpointDir()
-        found = inner.get() if inner.isDefined() else tempfile.mkdtemp(prefix="checkpoints-")
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="checkpoints-")
+    if not inner.isDefined():
         sc.setCheckpointDir(found)
     return found
 
@@ -38,6 +43,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The same rows as a table of the shared folder: the planner knows its size, broadcasts it only if small, and can split its hot keys."""
+    folder = new_folder(df.sparkSession, "table")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """The name, or one made longer until the table has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 

@@ -20,9 +20,13 @@ from .elias_fano import EliasFano, map_arrays, write_arrays
 _SIGN = np.uint64(1 << 63)
 
 
+def is_integer(df: DataFrame, column: str) -> bool:
+    return df.schema[column].dataType.typeName() in ("byte", "short", "integer", "long")
+
+
 def integer_key(df: DataFrame, column: str) -> Column:
     """Integers as they are; other types by a 64-bit hash."""
-    return F.col(column).cast("long") if df.schema[column].dataType.typeName() in ("byte", "short", "integer", "long") else F.xxhash64(column)
+    return F.col(column).cast("long") if is_integer(df, column) else F.xxhash64(column)
 
 
 def shard_of(key: Column, shards: int) -> Column:

@@ -12,14 +12,21 @@ that have all overflowed are abandoned.
 
 Block keys make sure that linked rows meet.  Exact: of n blocks of bits, a pair
 that differs in r bits at most agrees on some n - r of them; each choice of n - r
-blocks is a key, and n grows with the table, so that key groups stay small.
-Banded: sets of bits drawn at random, as many as find a pair at the radius with
-the given chance.  A key group with more rows than CELL is dealt out to cells of
-two chunks each, so that every pair of its rows meets in some cell; no group goes
-to one task.  Of a cell's links only a spanning forest leaves it.
+blocks is a key, and n grows with the table, so that key groups stay small.  The
+pipeline's stage takes bands of minimum hashes of the shingles instead, which find
+similar texts at any radius.
+
+Hot groups.  Texts of one fingerprint are one node.  A key group with more rows
+than a cell holds is compared in two steps, so that its cost is near linear:
+first each chunk of it with itself and with the group's pivots, a sample by hash;
+then, once the components so far are known, only the rows outside the group's
+largest component with everything.  Pairs inside that component need no
+comparison, being connected already; no other pair is left out.
 
 Null texts and texts without words have fingerprint zero, linked like any other.
-A null doc_id stays null and takes no part in a component's smallest id.
+A null id stays null and takes no part in a component's smallest id.  Rows that
+are repeated come back repeated.  An empty table gives an empty one.  Very long
+texts are hashed whole, a bounded number of bits at a time.
 """
 
 from __future__ import annotations
@@ -33,13 +40,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut, new_folder
-from ._id_table import integer_key, look_up, shard_of, write_table
+from ._common import cut, new_folder, stored, unused
+from ._id_table import integer_key, is_integer, look_up, shard_of, write_table
 from ._words import each_group, mix, shingle_hashes
 from .components import roots
 
-#: Rows of a chunk of a large key group; a cell has two chunks at most.
-CELL = 4096
+#: Rows of a chunk of a large key group; pivots of such a group, on average.
+CELL, PIVOTS = 4096, 64
 #: Rows that a task compares at a time: whole cells.
 BUFFER = 65_536
 
@@ -113,14 +120,6 @@ def exact_keys(rows: int, radius: int, bits: int = 64) -> list[list[tuple[int, i
     return [list(x) for x in itertools.combinations(parts, blocks - radius)]
 
 
-def banded_keys(rows: int, radius: int, bits: int, found: float = 0.995, seed: int = 7) -> list[list[tuple[int, int]]]:
-    """Keys of bits drawn at random: a pair at the radius shares one with the chance found."""
-    width = max(10, math.ceil(math.log2(max(rows, 2) / 2048)))
-    same = (1 - radius / bits) ** width
-    random = np.random.default_rng(seed)
-    return [[(int(b), 1) for b in sorted(random.choice(bits, width, replace=False))] for _ in range(math.ceil(math.log(1 - found) / math.log(1 - same)))]
-
-
 def masks(keys: list[list[tuple[int, int]]], bits: int) -> list[list[int]]:
     """For each key the mask of each 64-bit word (signed): fingerprints with equal masked words agree on the key's bits."""
     out = []
@@ -131,13 +130,24 @@ def masks(keys: list[list[tuple[int, int]]], bits: int) -> list[list[int]]:
     return out
 
 
-def forest(planes_of: np.ndarray, cell: np.ndarray, radius: int) -> np.ndarray:
+def first_of(*columns: np.ndarray) -> np.ndarray:
+    """For each row the first row that has the same values."""
+    order = np.lexsort((np.arange(len(columns[0])), *columns))
+    new = np.ones(len(order), bool)
+    if len(order):
+        new[1:] = np.logical_or.reduce([c[order][1:] != c[order][:-1] for c in columns])
+    out = np.empty(len(order), np.int64)
+    out[order] = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    return out
+
+
+def forest(planes_of: np.ndarray, cell: np.ndarray, radius: int, known: np.ndarray | None = None) -> np.ndarray:
     """For each row the first row of its linked set within its cell.
 
-    planes_of: rows by bytes, sorted by cell.  Rows link within the radius.
+    planes_of: rows by bytes, sorted by cell.  Rows link within the radius; rows of a cell with one value of known are linked already.
     """
     n = len(planes_of)
-    label = np.arange(n)
+    label = np.arange(n) if known is None else first_of(cell, known)
     if n < 2:
         return label
     words = (n + 63) // 64
@@ -222,53 +232,137 @@ def _union(label: np.ndarray, rows: np.ndarray, d: int) -> None:
         a, b = label[rows], label[rows + d]
 
 
-def _edges(cells: DataFrame, radius: int) -> DataFrame:
-    """(a, b): a spanning forest of the links in each cell. cells: cell key, node, fp, sorted by the key in each partition."""
+def _kept_groups(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Batches joined to whole cells (column 0, by which rows are sorted), of at least so many rows but for the last."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.num_rows for b in held) >= most:
+            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            cell = whole.column(0).to_numpy(zero_copy_only=False)
+            end = int(np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))[-1])
+            if end:
+                yield whole.slice(0, end)
+            held = [whole.slice(end)]
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def _bytes_of(column: pa.Array, width: int) -> np.ndarray:
+    """The first so many bytes of each value, rows by bytes; values of one length."""
+    joined = np.frombuffer(b"".join(column.to_pylist()), np.uint8)
+    return np.ascontiguousarray(joined.reshape(len(column), -1)[:, :width])
+
+
+def _linked(batch: pa.RecordBatch, label: np.ndarray) -> pa.RecordBatch:
+    """Edges (a, b) from each row to the first of its set; column 1 has the nodes."""
+    rows = np.flatnonzero(label != np.arange(len(label)))
+    return pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(rows)), batch.column(1).take(pa.array(label[rows]))], ["a", "b"])
+
+
+def _edges(cells: DataFrame, radius: int, bits: int) -> DataFrame:
+    """(a, b): a spanning forest of the links in each cell. cells: _cell, node, fp, _known."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for batch in _kept_groups(batches, BUFFER):
+            cell, known = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 3))
+            yield _linked(batch, forest(_bytes_of(batch.column(2), bits // 8), cell, radius, known))
 
-        def flush(last: bool) -> pa.RecordBatch | None:
-            key, node, fp = (np.concatenate(x) for x in zip(*held, strict=True))
-            end = len(key) if last else int(np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))[-1])
-            held[:] = [(key[end:], node[end:], fp[end:])]
-            label = forest(fp[:end], key[:end], radius)
-            linked = np.flatnonzero(label != np.arange(end))
-            return pa.RecordBatch.from_arrays([pa.array(node[:end][linked]), pa.array(node[:end][label[linked]])], ["a", "b"])
+    kind = cells.schema["node"].dataType.simpleString()
+    return _in_cells(cells.select("_cell", "node", "fp", "_known")).mapInArrow(run, f"a {kind}, b {kind}")
 
-        for batch in batches:
-            if batch.num_rows:
-                fps = b"".join(batch.column(2).to_pylist())
-                held.append((batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), np.frombuffer(fps, np.uint8).reshape(batch.num_rows, -1)))
-                if sum(len(x[0]) for x in held) >= BUFFER:
-                    yield flush(False)
-        if held:
-            yield flush(True)
 
-    return cells.select("_cell", "node", "fp").mapInArrow(run, "a long, b long")
+def _in_cells(cells: DataFrame) -> DataFrame:
+    return cells.repartition(_shards(cells), "_cell").sortWithinPartitions("_cell", "node")
+
 
+def _sizes(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """(key, _n) of the keys with more rows than most."""
+    return stored(rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most))
 
-def links(nodes: DataFrame, radius: int, bits: int, keys: list[list[tuple[int, int]]]) -> DataFrame:
-    """(a, b): edges between nodes (node long, fp binary) that span the links within the radius."""
+
+def _first_cells(rows: DataFrame, sizes: DataFrame, key: str, most: int) -> DataFrame:
+    """rows with _cell: rows of one key together; those of a large key in chunks, each with the pivots. _known: all differ."""
+    h = F.xxhash64("node")
+    pivot = F.pmod(F.shiftrightunsigned(h, 20), F.greatest(F.floor(F.col("_n") / PIVOTS), F.lit(1).cast("long"))) == 0
+    chunks = F.ceil(F.col("_n") / most)
+    at = F.when(F.col("_n").isNull(), F.array(F.lit(-1).cast("long"))).when(pivot, F.sequence(F.lit(0).cast("long"), chunks - 1)).otherwise(F.array(F.pmod(h, chunks)))
+    return rows.join(sizes, key, "left").withColumn("_at", F.explode(at)).withColumns({"_cell": F.xxhash64(key, "_at"), "_known": h}).drop("_at", "_n")
+
+
+def _rest_plan(named: DataFrame, key: str) -> DataFrame | None:
+    """(key, _main, _n, _rest): the largest component of each large key and the rows outside it, None if there are none. named: key, node, _comp."""
+    by = named.groupBy(key, "_comp").agg(F.count(F.lit(1)).alias("_c"))
+    plan = stored(by.groupBy(key).agg(F.max_by("_comp", F.struct("_c", "_comp")).alias("_main"), F.sum("_c").alias("_n"), (F.sum("_c") - F.max("_c")).alias("_rest")).where("_rest > 0"))
+    return None if plan.isEmpty() else plan
+
+
+def _rest_cells(named: DataFrame, plan: DataFrame, key: str, most: int) -> DataFrame:
+    """named with _cell so that each row outside its key's largest component meets all rows of the key. named: key, node, _comp and more."""
+    rows = named.join(plan, key)
+    h, outside = F.xxhash64("node"), F.col("_comp") != F.col("_main")
+    zero = F.lit(0).cast("long")
+    c, r = F.ceil(F.col("_n") / most), F.ceil(F.col("_rest") / most)
+    i, j = F.pmod(h, c), F.pmod(F.shiftrightunsigned(h, 20), r)
+    inside_cells = F.transform(F.sequence(zero, r - 1), lambda k: i * r + k)
+    rest_cells = F.concat(F.transform(F.sequence(zero, c - 1), lambda k: k * r + j), F.transform(F.sequence(zero, r - 1), lambda k: c * r + F.least(j, k) * r + F.greatest(j, k)))
+    at = F.when(outside, rest_cells).otherwise(inside_cells)
+    return rows.withColumn("_at", F.explode(at)).withColumns({"_cell": F.xxhash64(key, F.lit(1), "_at"), "_known": F.xxhash64("_comp")}).drop("_at", "_main", "_n", "_rest")
+
+
+def _with_component(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """rows with _comp: the root of the node, itself where it has none."""
+    return rows.join(found.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").withColumn("_comp", F.coalesce("root", "node")).drop("_node", "root")
+
+
+def linked(keyed: DataFrame, radius: int, bits: int) -> DataFrame:
+    """(node, root) of nodes that links within the radius connect, but for the roots. keyed: _key, node, fp: the rows that share a key are compared."""
+    sizes = _sizes(keyed, "_key", CELL)
+    found = roots(_edges(_first_cells(keyed, sizes, "_key", CELL), radius, bits))
+    if sizes.isEmpty():
+        return found
+    named = cut(_with_component(keyed.join(sizes.drop("_n"), "_key", "left_semi"), found))
+    plan = _rest_plan(named, "_key")
+    if plan is None:
+        return found
+    more = _edges(_rest_cells(named, plan, "_key", CELL), radius, bits)
+    return roots(more.unionByName(found.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+
+
+def with_keys(nodes: DataFrame, bits: int, keys: list[list[tuple[int, int]]]) -> DataFrame:
+    """(_key, node, fp): each node under each of its keys of bits."""
     words = {f"_w{k}": F.conv(F.hex(F.substring("fp", 8 * k + 1, 8)), 16, -10).cast("long") for k in range(bits // 64)}
-    rows = nodes.withColumns(words)
     of_keys = F.array(*(F.array(F.lit(k).cast("long"), *(F.lit(w).cast("long") for w in m)) for k, m in enumerate(masks(keys, bits))))
-    rows = rows.withColumn("_m", F.explode(of_keys))
-    rows = rows.select("node", "fp", F.xxhash64(F.col("_m")[0], *(F.col(f"_w{w}").bitwiseAND(F.col("_m")[w + 1]) for w in range(bits // 64))).alias("_key"))
-    cells = _dealt(rows, "_key", CELL)
-    spread = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    return _edges(cells.repartition(spread, "_cell").sortWithinPartitions("_cell"), radius)
+    rows = nodes.withColumns(words).withColumn("_m", F.explode(of_keys))
+    return rows.select(F.xxhash64(F.col("_m")[0], *(F.col(f"_w{w}").bitwiseAND(F.col("_m")[w + 1]) for w in range(bits // 64))).alias("_key"), "node", "fp")
+
+
+def node_rows(prints: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(prints with a salt, the salted texts, nodes) of prints (_id, fp).
+
+    A text's copies, which may be many, are counted and named by (fp, _salt), so that they spread over tasks.  A node is
+    the least id of a fingerprint and a tag of it, should the id have other texts; ids that are null come last.
+    """
+    own = F.when(F.col("_id").isNull(), F.monotonically_increasing_id())
+    prints = cut(prints.withColumn("_salt", F.pmod(F.xxhash64("_id", own), F.lit(_shards(prints))).cast("int")))
+    salted = cut(prints.groupBy("fp", "_salt").agg(F.min("_id").alias("_id")))
+    least = salted.groupBy("fp").agg(F.min("_id").alias("_id"))
+    return prints, salted, cut(least.select(F.struct(F.col("_id").isNull().alias("unnamed"), F.col("_id").alias("id"), F.xxhash64("fp").alias("tag")).alias("node"), "fp"))
+
+
+def named_prints(prints: DataFrame, salted: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """(_id, fp, component_id) of all prints."""
+    named = _with_component(nodes, found).select("fp", F.col("_comp.id").alias("component_id"))
+    each = salted.select("fp", "_salt").join(named, "fp")
+    return prints.join(each, ["fp", "_salt"]).select("_id", "fp", "component_id")
 
 
 def components(prints: DataFrame, radius: int, bits: int = 64, keys=exact_keys, id_column: str = "doc_id") -> DataFrame:
-    """prints (doc_id, fp) with component_id: the smallest doc_id of the texts reachable by links, its own included."""
-    prints = cut(prints.withColumn("node", F.xxhash64("fp") if bits > 64 else F.conv(F.hex("fp"), 16, -10).cast("long")))
-    nodes = cut(prints.groupBy("node", "fp").agg(F.min(id_column).alias("_least")))
-    root = roots(links(nodes.select("node", "fp"), radius, bits, keys(nodes.count(), radius, bits)))
-    of = cut(nodes.select("node", "_least").join(root, "node", "left").select("node", "_least", F.coalesce("root", "node").alias("root")))
-    least = of.groupBy("root").agg(F.min("_least").alias("component_id"))
-    named = of.join(least, "root").select("node", "component_id")
-    return prints.join(named, "node").drop("node")
+    """prints (id, fp) with component_id: the smallest id of the texts reachable by links, its own included."""
+    prints, salted, nodes = node_rows(prints.select(F.col(id_column).alias("_id"), "fp"))
+    found = linked(with_keys(nodes, bits, keys(nodes.count(), radius, bits)), radius, bits)
+    return named_prints(prints, salted, nodes, found).select(F.col("_id").alias(id_column), "fp", "component_id")
 
 
 def document_components(docs: DataFrame) -> DataFrame:
@@ -277,47 +371,89 @@ def document_components(docs: DataFrame) -> DataFrame:
     return found.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.hex("fp")).alias("fingerprint"), F.col("component_id").cast("long").alias("component_id"))
 
 
-#: Near copies in the pipeline: five words; fingerprints of 256 bits admit pairs that exact Jaccard similarity then settles.
-#: A similarity of 0.8 differs in 39 bits on average, with a standard deviation of 6: two of them more are admitted.
-NEAR_WORDS, NEAR_BITS, NEAR_RADIUS, NEAR_SIMILARITY = 5, 256, 51, 0.8
-#: Rows of a chunk of a large loose group: sets of shingles are compared there.
-VERIFY_CELL = 1024
+#: Near copies in the pipeline: five words, a similarity of 0.8.  Bands of minimum hashes name candidates, fingerprints of 256 bits
+#: within the radius pass them on, and exact Jaccard similarity decides.  At a similarity of 0.8 a pair shares one of nine bands of
+#: three with a chance of 1 - (1 - 0.8**3)**9 = 0.998, and differs in 39 bits on average with a standard deviation of 6: the radius is four of them off.
+NEAR_WORDS, NEAR_BITS, NEAR_RADIUS, NEAR_SIMILARITY = 5, 256, 64, 0.8
+BANDS, BAND_ROWS = 9, 3
+#: Rows of a chunk of a large group of candidates: sets of shingles are compared there.
+VERIFY_CELL = 512
+
+
+def minimum_hashes(hashes: np.ndarray, of: np.ndarray, seed: int = 7) -> np.ndarray:
+    """For each text BANDS keys of BAND_ROWS minimum hashes each, as bytes; zeros for texts without shingles. of: bounds of the texts among the hashes."""
+    random = np.random.default_rng(seed)
+    odd = random.integers(0, 2**63, (BANDS, BAND_ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    out = np.zeros((len(of) - 1, BANDS), np.uint64)
+    some = np.flatnonzero(np.diff(of))
+    if len(some):
+        for band in range(BANDS):
+            key = np.full(len(some), band + 1, np.uint64)
+            for by in odd[band]:
+                key = mix(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(hashes * by, of[some]))
+            out[some, band] = key
+    return out.view(np.uint8).reshape(len(out), -1)
 
 
-def shingle_sets(docs: DataFrame, folder: str, shards: int, size: int, id_column: str, text: str) -> DataFrame:
-    """(node, root, fp, shingles) of the texts whose ids are in the table: fingerprints and the sorted distinct shingle hashes, 32 bits each."""
-    key = integer_key(docs, id_column)
+def sketches(docs: DataFrame, id_column: str, text: str) -> DataFrame:
+    """(_id, fp binary): a fingerprint of NEAR_BITS, then the bands' keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for (a, b, _data, words, _s, _e, bounds), fps in zip(each_group(batch.column(1)), wide_bits(batch.column(1), NEAR_WORDS, NEAR_BITS), strict=True):
+                bands = minimum_hashes(*shingle_hashes(words, bounds, NEAR_WORDS))
+                made += [row.tobytes() for row in np.concatenate([fps, bands], axis=1)]
+                del a, b
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["_id", "fp"])
+
+    return docs.select(F.col(id_column).alias("_id"), F.col(text).alias("_text")).mapInArrow(run, f"_id {docs.schema[id_column].dataType.simpleString()}, fp binary")
+
+
+def _set_bytes(hashes: np.ndarray, of: np.ndarray) -> list[bytes]:
+    """The sorted distinct shingle hashes of each text, 32 bits each."""
+    return [np.unique((hashes[a:b] >> np.uint64(32)).astype("<u4")).tobytes() for a, b in zip(of[:-1], of[1:], strict=True)]
+
+
+def shingle_sets(docs: DataFrame, members: DataFrame, id_column: str, text: str) -> DataFrame:
+    """(node, _group, fp, shingles) of the texts of members (node, _group long). Texts that don't belong there stay where they lie."""
+    spark, kind = docs.sparkSession, docs.schema[id_column].dataType.simpleString()
+    folder, shards, key = new_folder(spark, "candidates"), _shards(docs), integer_key(docs, id_column)
+    ids = members.where("not node.unnamed")
+    write_table(ids.withColumn("_id", F.col("node.id")).select(integer_key(ids.select(F.col("node.id").alias("_id")), "_id").alias("key"), F.col("node.tag").alias("tag"), "_group"), folder, shards)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             shard, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            there, node = look_up(folder, shard, keys, "node")
-            _, root = look_up(folder, shard, keys, "root")
-            texts = batch.column(2).filter(pa.array(there))
+            there, tag = look_up(folder, shard, keys, "tag")
+            _, group = look_up(folder, shard, keys, "_group")
+            texts = batch.column(3).filter(pa.array(there))
             if not len(texts):
                 continue
-            fps = [row.tobytes() for group in wide_bits(texts, size, NEAR_BITS) for row in group]
-            sets = []
-            for a, b, _data, words, _s, _e, bounds in each_group(texts):
-                hashes, of = shingle_hashes(words, bounds, size)
-                sets += [np.unique((hashes[of[k] : of[k + 1]] >> np.uint64(32)).astype("<u4")).tobytes() for k in range(b - a)]
-            yield pa.RecordBatch.from_arrays([pa.array(node[there]), pa.array(root[there]), pa.array(fps, pa.binary()), pa.array(sets, pa.binary())], ["node", "root", "fp", "shingles"])
+            fps, sets = [], []
+            for (_a, _b, _data, words, _s, _e, bounds), prints in zip(each_group(texts), wide_bits(texts, NEAR_WORDS, NEAR_BITS), strict=True):
+                hashes, of = shingle_hashes(words, bounds, NEAR_WORDS)
+                fps += [row.tobytes() for row in np.concatenate([prints, minimum_hashes(hashes, of)], axis=1)]
+                sets += _set_bytes(hashes, of)
+            yield pa.RecordBatch.from_arrays([batch.column(2).filter(pa.array(there)), pa.array(tag[there]), pa.array(group[there]), pa.array(fps, pa.binary()), pa.array(sets, pa.binary())], ["_id", "tag", "_group", "fp", "shingles"])
 
-    return docs.select(shard_of(key, shards), key, text).mapInArrow(run, "node long, root long, fp binary, shingles binary")
+    found = docs.where(F.col(id_column).isNotNull()).select(shard_of(key, shards).alias("_shard"), key.alias("_key"), F.col(id_column).alias("_id"), F.col(text).alias("_text")).mapInArrow(run, f"_id {kind}, tag long, _group long, fp binary, shingles binary")
+    # an id's other texts have another tag
+    return found.where(F.xxhash64("fp") == F.col("tag")).select(F.struct(F.lit(False).alias("unnamed"), F.col("_id").alias("id"), "tag").alias("node"), "_group", "fp", "shingles")
 
 
-def verified_forest(fps: np.ndarray, sets: list[np.ndarray], radius: int, similarity: float) -> np.ndarray:
+def verified_forest(fps: np.ndarray, sets: list[np.ndarray], radius: int, similarity: float, known: np.ndarray | None = None) -> np.ndarray:
     """For each row the first row of its set: rows within the radius link if their sets' Jaccard similarity reaches the threshold."""
-    label = np.arange(len(fps))
-    bits = fps.view(np.uint64)
+    label = np.arange(len(fps)) if known is None else first_of(known)
+    bits, sizes = fps.view(np.uint64), np.array([len(x) for x in sets])
     for i in range(len(fps) - 1):
-        near = np.flatnonzero((np.bitwise_count(bits[i + 1 :] ^ bits[i]).sum(axis=1) <= radius) & (label[i + 1 :] != label[i])) + i + 1
+        near = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
+        near = near[np.minimum(sizes[near], sizes[i]) >= similarity * np.maximum(sizes[near], sizes[i])]
+        near = near[np.bitwise_count(bits[near] ^ bits[i]).sum(axis=1) <= radius]
         for j in near:
             if label[i] == label[j]:
                 continue
             a, b = sets[i], sets[j]
-            if min(len(a), len(b)) < similarity * max(len(a), len(b)):
-                continue
             both = len(np.intersect1d(a, b, assume_unique=True))
             if both >= similarity * (len(a) + len(b) - both) - 1e-9:
                 low, high = sorted((label[i], label[j]))
@@ -325,58 +461,72 @@ def verified_forest(fps: np.ndarray, sets: list[np.ndarray], radius: int, simila
     return label
 
 
-def _dealt(rows: DataFrame, key: str, most: int) -> DataFrame:
-    """rows with _cell: rows of one key together, those of a key with more than most rows in cells of two chunks, so that every pair meets."""
-    large = cut(rows.groupBy(key).count().where(F.col("count") > most).select(key, F.ceil(F.col("count") / most).cast("int").alias("_chunks")))
-    one = F.array(F.lit(-1))
-    if not large.isEmpty():
-        # chunk c goes to the cells (c, 0), (c, 1), ...
-        rows = rows.join(large, key, "left").withColumn("_c", F.pmod(F.xxhash64("node"), F.col("_chunks")).cast("int"))
-        with_other = F.transform(F.sequence(F.lit(0), F.col("_chunks") - 1), lambda o: F.least(F.col("_c"), o) * F.col("_chunks") + F.greatest(F.col("_c"), o))
-        one = F.when(F.col("_chunks").isNull(), one).otherwise(with_other)
-    return rows.withColumn("_part", F.explode(one)).withColumn("_cell", F.xxhash64(key, "_part")).drop("_part")
+def _verified(cells: DataFrame, radius: int) -> DataFrame:
+    """(a, b): a spanning forest of the links that exact similarity confirms. cells: _cell, node, fp, _known, shingles."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _kept_groups(batches, 1):
+            cell = batch.column(0).to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+            for a, b in zip(starts, [*starts[1:], len(cell)], strict=True):
+                part = batch.slice(a, b - a)
+                sets = [np.frombuffer(x.as_buffer(), "<u4") for x in part.column(4)]
+                known = part.column(3).to_numpy(zero_copy_only=False)
+                yield _linked(part, verified_forest(_bytes_of(part.column(2), NEAR_BITS // 8), sets, radius, NEAR_SIMILARITY, known))
+
+    kind = cells.schema["node"].dataType.simpleString()
+    return _in_cells(cells.select("_cell", "node", "fp", "_known", "shingles")).mapInArrow(run, f"a {kind}, b {kind}")
+
+
+def _confirmed(members: DataFrame, sets_of, radius: int) -> DataFrame:
+    """(node, root) by exact similarity among the members (node, _group) of each group; sets_of(members) gives their sets."""
+    members = cut(members)
+    sizes = _sizes(members, "_group", VERIFY_CELL)
+    found = roots(_verified(_first_cells(sets_of(members), sizes, "_group", VERIFY_CELL), radius))
+    if sizes.isEmpty():
+        return found
+    named = cut(_with_component(members.join(sizes.drop("_n"), "_group", "left_semi"), found))
+    plan = _rest_plan(named, "_group")
+    if plan is None:
+        return found
+    open_ = named.join(plan.select("_group"), "_group", "left_semi")
+    again = sets_of(open_.select("node", "_group")).join(open_.select("node", "_group", "_comp"), ["node", "_group"])
+    more = _verified(_rest_cells(again, plan, "_group", VERIFY_CELL), radius)
+    return roots(more.unionByName(found.select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
-def _verified(loose: DataFrame) -> DataFrame:
-    """(a, b): a spanning forest of the links that exact similarity confirms. loose: node, root, fp, shingles."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
+def near_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, component_id) of documents with an id: near copies by exact similarity, found among fingerprints within the radius."""
+    prints, salted, nodes = node_rows(sketches(docs, id_column, text))
+    at = NEAR_BITS // 8
+    bands = F.array(*(F.substring("fp", at + 8 * k + 1, 8) for k in range(BANDS)))
+    keyed = nodes.select("node", "fp", F.posexplode(bands).alias("_k", "_band")).select(F.xxhash64("_k", "_band").alias("_key"), "node", F.substring("fp", 1, at).alias("fp"))
+    loose = linked(keyed, NEAR_RADIUS, NEAR_BITS)
+    members = loose.unionByName(loose.select(F.col("root").alias("node"), "root").distinct()).select("node", F.xxhash64("root").alias("_group"))
+    found = _confirmed(members, lambda some: shingle_sets(docs, some, id_column, text), NEAR_RADIUS)
+    return named_prints(prints, salted, nodes, found).select(F.col("_id").alias(id_column), "component_id")
 
-        def done() -> pa.RecordBatch:
-            node = np.array([x[0] for x in held], np.int64)
-            label = verified_forest(np.frombuffer(b"".join(x[1] for x in held), np.uint8).reshape(len(held), -1), [np.frombuffer(x[2], "<u4") for x in held], NEAR_RADIUS, NEAR_SIMILARITY)
-            linked = np.flatnonzero(label != np.arange(len(held)))
-            return pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[label[linked]])], ["a", "b"])
 
-        for batch in batches:
-            for cell, *row in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                if cell != now and held:
-                    yield done()
-                    held = []
-                now = cell
-                held.append(row)
-        if held:
-            yield done()
+def exact_near_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text", similarity: float = NEAR_SIMILARITY) -> DataFrame:
+    """As near_groups, but no pair can be missed: each text's lowest (1 - similarity) n + 1 of n shingle hashes are its keys.
 
-    cells = _dealt(loose, "root", VERIFY_CELL)
-    spread = max(int(loose.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    return cells.select("_cell", "node", "fp", "shingles").repartition(spread, "_cell").sortWithinPartitions("_cell").mapInArrow(run, "a long, b long")
+    Two sets of that similarity share one of these.  Keys grow with the texts' lengths, and a passage in many texts makes hot keys: for corpora of moderate size, or to measure the recall of near_groups.
+    """
+    prints, salted, nodes = node_rows(sketches(docs, id_column, text))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = []
+            for data in batch.column(1).to_pylist():
+                x = np.frombuffer(data, "<u4").astype(np.int64)
+                keys.append(x[: len(x) - math.ceil(similarity * len(x) - 1e-9) + 1])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64()))], ["node", "keys"])
 
-def near_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, component_id) of documents with an id: near copies by exact similarity, found among fingerprints within the radius."""
-    prints = cut(fingerprints(docs, NEAR_WORDS, NEAR_BITS, id_column=id_column, text=text).withColumn("node", F.xxhash64("fp")))
-    nodes = cut(prints.groupBy("node", "fp").agg(F.min(id_column).alias("_least")))
-    loose = roots(links(nodes.select("node", "fp"), NEAR_RADIUS, NEAR_BITS, banded_keys(nodes.count(), NEAR_RADIUS, NEAR_BITS)))
-    members = loose.unionByName(loose.select(F.col("root").alias("node"), "root").distinct())
-    # one text of each fingerprint in a loose group is looked up where it lies: texts don't move
-    folder, shards = new_folder(docs.sparkSession, "loose-groups"), _shards(docs)
-    write_table(members.join(nodes.select("node", "_least"), "node").select(integer_key(nodes, "_least").alias("key"), "node", "root"), folder, shards)
-    root = roots(_verified(shingle_sets(docs, folder, shards, NEAR_WORDS, id_column, text)))
-    of = cut(nodes.select("node", "_least").join(root, "node", "left").select("node", "_least", F.coalesce("root", "node").alias("root")))
-    named = of.join(of.groupBy("root").agg(F.min("_least").alias("component_id")), "root").select("node", "component_id")
-    return prints.join(named, "node").select(id_column, "component_id")
+    members = nodes.where("not node.unnamed").select("node", F.lit(0).cast("long").alias("_group"))
+    sets = cut(shingle_sets(docs, members, id_column, text).drop("_group").dropDuplicates(["node"]))
+    keyed = sets.select("node", "shingles").mapInArrow(run, f"node {sets.schema['node'].dataType.simpleString()}, keys array<long>").select("node", F.explode("keys").alias("_group"))
+    found = _confirmed(keyed, lambda some: some.join(sets, "node"), NEAR_BITS)
+    return named_prints(prints, salted, nodes, found).select(F.col("_id").alias(id_column), "component_id")
 
 
 def _shards(df: DataFrame) -> int:
@@ -386,37 +536,43 @@ def _shards(df: DataFrame) -> int:
 def keep_one(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """docs with one row of each group of near copies: that of the smallest id, the first of equal ids by a hash of their values.
 
-    Rows with a null id form no group and stay.  Ids with other rows of another text link by the first of their texts.
+    Rows with a null id form no group and stay.  Ids with other rows of another text link by any of their texts.
     """
     given = docs.where(F.col(id_column).isNotNull())
     found = cut(near_groups(given, id_column))
     # what does not simply stay: 1 goes, 2 is an id of several rows
     of_id = found.groupBy(id_column).agg(F.max(F.when(F.col("component_id") == F.col(id_column), 1).otherwise(0)).alias("_own"), F.count(F.lit(1)).alias("_n"))
-    marks = of_id.where("_own = 0 or _n > 1").select(integer_key(of_id, id_column).alias("key"), F.when(F.col("_own") == 0, 1).otherwise(2).cast("long").alias("mark"))
-    marks = cut(marks)
-    folder, shards = new_folder(docs.sparkSession, "dropped-ids"), _shards(docs)
-    write_table(marks, folder, shards)
-    marked = _marked(docs, folder, shards, id_column)
-    once = marked.where("_mark = 0").drop("_mark")
+    marks = cut(of_id.where("_own = 0 or _n > 1").select(F.col(id_column).alias("_id"), F.when(F.col("_own") == 0, 1).otherwise(2).cast("long").alias("mark")))
+    mark = unused(docs, "_mark")
+    marked = _marked(docs, marks, id_column, mark)
+    once = marked.where(F.col(mark) == 0).drop(mark)
     if not marks.where("mark = 2").isEmpty():
-        again = marked.where("_mark = 2").drop("_mark")
-        least = again.groupBy(id_column).agg(F.min_by(F.struct(*docs.columns), F.struct(F.xxhash64("text"), F.xxhash64(*[c for c in docs.columns if c != id_column]))).alias("_row")).select("_row.*")
-        once = once.unionByName(least)
+        again = marked.where(F.col(mark) == 2).drop(mark)
+        order = F.struct(F.xxhash64("text"), F.xxhash64(*[c for c in docs.columns if c != id_column]))
+        once = once.unionByName(again.groupBy(id_column).agg(F.min_by(F.struct(*docs.columns), order).alias("_row")).select("_row.*"))
     return once
 
 
-def _marked(docs: DataFrame, folder: str, shards: int, id_column: str) -> DataFrame:
-    """docs with _mark: the table's value of the row's id, 0 for other ids and null ones."""
+def _marked(docs: DataFrame, marks: DataFrame, id_column: str, mark: str) -> DataFrame:
+    """docs with mark: that of the row's id in marks (_id, mark), 0 for other ids and null ones.
+
+    Integer ids are looked up where the rows lie, in files that tasks map; other ids are joined, since only the ids themselves tell them apart for certain.
+    """
+    if not is_integer(docs, id_column):
+        side = stored(marks).select(F.col("_id").alias(key := unused(docs, "_id")), F.col("mark").alias("_m" + mark))
+        return docs.join(side, F.col(id_column) == F.col(key), "left").select(*docs.columns, F.coalesce("_m" + mark, F.lit(0).cast("long")).alias(mark))
+    folder, shards = new_folder(docs.sparkSession, "dropped-ids"), _shards(docs)
+    write_table(marks.select(integer_key(marks, "_id").alias("key"), "mark"), folder, shards)
     key = F.when(F.col(id_column).isNotNull(), integer_key(docs, id_column))
-    n, names = len(docs.columns), [*docs.columns, "_mark"]
-    schema = docs.withColumn("_mark", F.lit(0).cast("long")).schema
+    n, names = len(docs.columns), [*docs.columns, mark]
+    schema = docs.withColumn(mark, F.lit(0).cast("long")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            mark = np.zeros(batch.num_rows, np.int64)
+            found = np.zeros(batch.num_rows, np.int64)
             given = np.flatnonzero(batch.column(n + 1).is_valid().to_numpy(zero_copy_only=False))
             shard, keys = (batch.column(k).take(pa.array(given)).to_numpy() for k in (n, n + 1))
-            mark[given] = look_up(folder, shard, keys, "mark")[1]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(n)), pa.array(mark)], names)
+            found[given] = look_up(folder, shard, keys, "mark")[1]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(n)), pa.array(found)], names)
 
-    return docs.select("*", shard_of(key, shards).alias("_shard"), key.alias("_id_key")).mapInArrow(run, schema)
+    return docs.select("*", shard_of(key, shards).alias(unused(docs, "_shard")), key.alias(unused(docs, "_key"))).mapInArrow(run, schema)

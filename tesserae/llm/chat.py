@@ -34,9 +34,6 @@ TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 _TAILS = r"\|[a-z_]{1,20}\|>|/?s>|</?SYS>>|/?INST\]"
 _ESCAPE = re.compile(rf"([<\[])(\\*)(?={_TAILS})")
 _UNESCAPE = re.compile(rf"([<\[]\\*)\\(?={_TAILS})")
-_READ = re.compile(r"<\|turn\|>(.*?)<\|text\|>(.*?)<\|end\|>", re.S)
-
-
 def escape(text: str) -> str:
     return _ESCAPE.sub(r"\1\2\\", text)
 
@@ -49,13 +46,48 @@ def format_turn(role: str, text: str) -> str:
     return f"{TURN}{escape(role)}{TEXT}{escape(text)}{END}"
 
 
+class TurnReader:
+    """Reads the turns of a formatted conversation that comes in pieces of any size: what is not yet a whole turn is held back.
+
+    Anything but turns end to end is an error.
+    """
+
+    def __init__(self) -> None:
+        self.held, self.at, self.seen = "", 0, 0
+
+    def feed(self, piece: str) -> Iterator[tuple[str, str, int, int]]:
+        """(role, text, start, end) of each turn that is now whole; start and end are the code points of its escaped text."""
+        self.held += piece
+        begun = 0
+        while (end := self.held.find(END, max(begun, self.seen))) >= 0:
+            middle = self.held.find(TEXT, begun, end)
+            if middle < 0 or not self.held.startswith(TURN, begun):
+                raise ValueError(f"no turn begins at {self.at + begun}")
+            text = middle + len(TEXT)
+            yield unescape(self.held[begun + len(TURN) : middle]), unescape(self.held[text:end]), self.at + text, self.at + end
+            begun = self.seen = end + len(END)
+        self.held, self.at = self.held[begun:], self.at + begun
+        self.seen = max(0, len(self.held) - len(END))  # an end mark may be cut in two
+
+    def finish(self) -> None:
+        if self.held:
+            raise ValueError(f"a turn is not whole at {self.at}")
+
+
+def _read(formatted: str) -> list[tuple[str, str, int, int]]:
+    reader = TurnReader()
+    found = list(reader.feed(formatted))
+    reader.finish()
+    return found
+
+
 def read_turns(formatted: str) -> list[tuple[str, str]]:
-    return [(unescape(a), unescape(b)) for a, b in _READ.findall(formatted)]
+    return [x[:2] for x in _read(formatted)]
 
 
 def loss_spans(formatted: str, roles: frozenset[str] = frozenset({"assistant"})) -> list[tuple[int, int]]:
     """Where the loss counts: code-point ranges of the texts of these roles."""
-    return [m.span(2) for m in _READ.finditer(formatted) if unescape(m[1]) in roles]
+    return [(start, end) for role, _, start, end in _read(formatted) if role in roles]
 
 
 @dataclass(frozen=True)
@@ -167,24 +199,42 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     return _folded(turns, "conv_id long, n_turns long, formatted string", list, lambda s, role, text: s.append(format_turn(role, text)), lambda c, s: (c, len(s), "".join(s)))
 
 
+#: Code points of a formatted conversation that go to the reader at a time, wherever turns begin and end.
+PIECE = 4096
+
+
 def conversation_digests(turns: DataFrame) -> DataFrame:
-    """The digest of each conversation, from what is read back from its formatted turns."""
+    """The digest of each conversation, from what is read back from its whole formatted text.
+
+    The text goes from the template to the reader as it grows, in pieces that know nothing of turns, so that a long conversation is never held as a whole.
+    """
 
     def start() -> dict:
-        return {"n": 0, "turns": hashlib.sha256(), "chars": 0, "loss": hashlib.sha256(), "loss_chars": 0}
+        return {"reader": TurnReader(), "waiting": [], "size": 0, "n": 0, "turns": hashlib.sha256(), "chars": 0, "loss": hashlib.sha256(), "loss_chars": 0}
+
+    def read(s: dict, piece: str) -> None:
+        for role, text, _, _ in s["reader"].feed(piece):
+            s["n"] += 1
+            s["turns"].update(f"{role}\n{text}\n".encode())
+            if role == "assistant":
+                s["loss_chars"] += len(text)
+                s["loss"].update(text.encode())
 
     def step(s: dict, role: str, text: str) -> None:
         formatted = format_turn(role, text)
         s["chars"] += len(formatted)
-        for a, b in read_turns(formatted):
-            s["n"] += 1
-            s["turns"].update(f"{a}\n{b}\n".encode())
-        for a, b in loss_spans(formatted):
-            learnt = unescape(formatted[a:b])
-            s["loss_chars"] += len(learnt)
-            s["loss"].update(learnt.encode())
+        s["waiting"].append(formatted)
+        s["size"] += len(formatted)
+        if s["size"] >= PIECE:
+            whole = "".join(s["waiting"])
+            end = len(whole) // PIECE * PIECE
+            for a in range(0, end, PIECE):
+                read(s, whole[a : a + PIECE])
+            s["waiting"], s["size"] = [whole[end:]], len(whole) - end
 
     def finish(conv: int, s: dict) -> tuple:
+        read(s, "".join(s["waiting"]))
+        s["reader"].finish()
         return conv, s["n"], s["turns"].hexdigest(), s["loss_chars"], s["loss"].hexdigest(), s["chars"]
 
     return _folded(turns, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long", start, step, finish)

@@ -1,12 +1,13 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
-A code is cut into segments; each segment has a hash table from its value to the
-codes that have it.  In round r each open query looks up all values within r bits
-of its own in each segment: by the pigeonhole principle, that finds every code
-closer than segments * (r + 1).  A query is done when its kth verified distance
-lies under that bound; the others go on to the next radius.  Queries still open
-when a round's candidates would cost more than a comparison with all codes are
-compared with all codes, a block of queries at a time.
+A code is cut into segments, as wide as the table has codes for; each segment has
+a hash table from its value to the codes that have it.  In round r each open query
+looks up all values at r bits from its own in each segment: by the pigeonhole
+principle, after that every code closer than segments * (r + 1) has been met and
+verified.  A query is done when its kth verified distance lies under that bound;
+the others go on to the next radius, up to a segment's whole width, where all codes
+have been met.  The values of a round come from those of the round before, each
+with one more bit flipped, so they are made by the tasks and not by the driver.
 
 Equal codes share one entry, with their k smallest ids: no other of them can be
 among the k nearest.  Neighbours go by distance, then by id; a query is no
@@ -20,21 +21,12 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import cut
-
-#: Queries compared with all codes at a time, when hash tables no longer narrow the search.
-BLOCK = 2_048
-#: Comparisons in a block for the time of one candidate from a hash table: a join's row against a vectorized count of bits.
-LOOKUP = 64
-
+from ._common import cut, stored
 
 def sign_code(vector: str, words: int) -> Column:
     """array<long>: a bit for each element, 1 if positive, 64 to a word; elements past the last word are left out by the caller's choice of words."""
@@ -49,7 +41,7 @@ def distance(a: str, b: str) -> Column:
 
 def segments_of(bits: int, codes: int) -> list[tuple[int, int]]:
     """(first bit, width): segments of about log2(codes) bits, inside words of 64."""
-    width = min(16, max(4, round(math.log2(max(codes, 2)))))
+    width = min(32, max(4, round(math.log2(max(codes, 2)))))
     out = []
     for word in range(0, bits, 64):
         size = min(64, bits - word)
@@ -69,10 +61,6 @@ def _by_segment(df: DataFrame, code: str, parts: list[tuple[int, int]], bits: in
     return df.select("*", F.explode(F.array(*(F.struct(F.lit(n).alias("seg"), _segment(code, *p, bits).alias("val")) for n, p in enumerate(parts)))).alias("_s")).select("*", "_s.seg", "_s.val").drop("_s")
 
 
-def _masks(parts: list[tuple[int, int]], radius: int) -> list[tuple[int, list[int]]]:
-    return [(n, [sum(1 << b for b in bits) for bits in itertools.combinations(range(width), radius)]) for n, (_, width) in enumerate(parts)]
-
-
 def _best(found: DataFrame, k: int) -> DataFrame:
     """The k nearest of each query; Spark keeps k rows of each before it shuffles."""
     at = F.row_number().over(Window.partitionBy("query").orderBy("distance", "neighbor"))
@@ -100,60 +88,37 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, bits: int, id_column:
     open_ = cut(coded(queries).groupBy("id").agg(F.min("code").alias("code")).select(F.col("id").alias("query"), F.col("code").alias("q")))
     total = codes.count()
     parts = segments_of(bits, total)
-    index = cut(_by_segment(codes.select("code_id", "code"), "code", parts, bits).repartition("seg", "val"))
+    widths = F.array(*(F.lit(w) for _, w in parts))
+    index = stored(_by_segment(codes.select("code_id", "code"), "code", parts, bits))
     found = spark.createDataFrame([], "query long, code_id long, distance int")
+    asked = _by_segment(open_, "q", parts, bits).withColumn("top", F.lit(-1))  # the highest bit flipped so far
     done: list[DataFrame] = []
-    radius = 0
-    while not open_.isEmpty():
-        masks = _masks(parts, radius) if radius <= max(w for _, w in parts) else []
-        # a looked-up candidate costs about as much as LOOKUP comparisons in a block: past that the block is the shorter way
-        if not masks or sum(len(m) / 2**w for (_, m), (_, w) in zip(masks, parts, strict=True)) * LOOKUP > 1:
-            done.append(_expanded(_scan(open_, codes, k, bits), codes, k))
-            break
-        table = spark.createDataFrame(masks, "seg int, masks array<bigint>")  # a row for each segment
-        asked = _by_segment(open_, "q", parts, bits).join(F.broadcast(table), "seg").select("query", "q", "seg", F.explode("masks").alias("_m"), "val").withColumn("val", F.col("val").bitwiseXOR(F.col("_m"))).drop("_m")
+    for radius in range(max(w for _, w in parts) + 1):
+        if radius:
+            more = F.when(F.col("top") + 1 < F.get(widths, F.col("seg")), F.sequence(F.col("top") + 1, F.get(widths, F.col("seg")) - 1)).otherwise(F.array().cast("array<int>"))
+            flipped = asked.select("query", "q", "seg", "val", F.explode(more).alias("top"))
+            asked = flipped.withColumn("val", F.col("val").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("top"))))
+        asked = stored(asked)
         met = asked.join(index, ["seg", "val"]).select("query", "code_id", distance("q", "code").cast("int").alias("distance"))
         # a code met in two segments or rounds counts once; per distance only the nearest k + 1 codes matter
         found = cut(_best(found.unionByName(met).distinct().withColumnRenamed("code_id", "neighbor"), k + 1).select("query", F.col("neighbor").alias("code_id"), "distance"))
+        if radius == max(w for _, w in parts):
+            done.append(_expanded(found, codes, k))  # all codes have been met
+            break
         covered = len(parts) * (radius + 1) - 1
-        ready = found.where(F.col("distance") <= covered).join(codes.select("code_id", F.size("ids").alias("n")), "code_id").groupBy("query").agg(F.sum("n").alias("n")).where(F.col("n") >= k + 1).select("query")
-        ready = cut(ready)
+        sizes = codes.select("code_id", F.size("ids").alias("n"))
+        ready = cut(found.where(F.col("distance") <= covered).join(sizes, "code_id").groupBy("query").agg(F.sum("n").alias("n")).where(F.col("n") >= k + 1).select("query"))
         done.append(_expanded(found.join(ready, "query", "left_semi"), codes, k))
-        open_, found = cut(open_.join(ready, "query", "left_anti")), found.join(ready, "query", "left_anti")
-        radius += 1
-    out = done[0] if done else spark.createDataFrame([], "query long, distance int, neighbor long")
+        asked, found = asked.join(ready, "query", "left_anti"), found.join(ready, "query", "left_anti")
+        open_ = cut(open_.join(ready, "query", "left_anti"))
+        if open_.isEmpty():
+            break
+    out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
     return _best(out.distinct(), k).select("query", F.col("rank").cast("int").alias("rank"), "neighbor", F.col("distance").cast("int").alias("distance"))
 
 
-def _scan(queries: DataFrame, codes: DataFrame, k: int, bits: int) -> DataFrame:
-    """(query, code_id, distance): each query against all codes; queries go to the tasks in blocks of a fixed number of rows."""
-    words = (bits + 63) // 64
-    out = None
-    rows = queries.select("query", "q").toLocalIterator()
-    while block := list(itertools.islice(rows, BLOCK)):
-        ids = np.array([r["query"] for r in block], np.int64)
-        asked = np.array([r["q"] for r in block], np.int64).reshape(len(block), words).view(np.uint64)
-
-        def run(batches: Iterator[pa.RecordBatch], ids=ids, asked=asked) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                there = batch.column(0).to_numpy()
-                code = batch.column(1).flatten().to_numpy().reshape(-1, words).view(np.uint64)
-                for a in range(0, len(there), 4096):
-                    part = code[a : a + 4096]
-                    apart = sum(np.bitwise_count(part[None, :, w] ^ asked[:, None, w]).astype(np.int32) for w in range(words))
-                    n = min(k + 1, len(part))
-                    # all codes as near as the nth: ties are settled by the code's number later
-                    limit = np.partition(apart, n - 1, axis=1)[:, n - 1]
-                    q, c = np.nonzero(apart <= limit[:, None])
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(there[a : a + 4096][c]), pa.array(apart[q, c].astype(np.int32))], ["query", "code_id", "distance"])
-
-        part = codes.select("code_id", "code").mapInArrow(run, "query long, code_id long, distance int")
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 def embedding_neighbors(embeddings: DataFrame, k: int = 10, every: int = 50) -> DataFrame:
     """query, rank, neighbor, distance: the rows whose id is divisible by 50 against all rows, by the signs of 64 dimensions."""
     return top_k(embeddings, embeddings.where(F.col("vec_id") % every == 0), k, 64)

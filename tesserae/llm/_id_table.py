@@ -33,55 +33,99 @@ def shard_of(key: Column, shards: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(shards)).cast("int")
 
 
-def write_table(rows: DataFrame, folder: str, shards: int) -> None:
-    """rows: key long without nulls, then values long. Of equal keys the first by values stands."""
-    values = [c for c in rows.columns if c != "key"]
-    ordered = rows.select(shard_of(F.col("key"), shards).alias("_shard"), "key", *values).repartition(shards, "_shard").sortWithinPartitions("_shard", "key", *values)
+def write_table(rows: DataFrame, folder: str, shards: int, every: bool = False) -> None:
+    """rows: key long without nulls, then values long. Of equal keys the first by values stands, or every one of them.
+
+    A column _shard says where a key goes; without it a hash of the key does.
+    """
+    values = [c for c in rows.columns if c not in ("key", "_shard")]
+    shard = F.col("_shard") if "_shard" in rows.columns else shard_of(F.col("key"), shards)
+    ordered = rows.select(shard.cast("int").alias("_shard"), "key", *values).repartition(shards, "_shard").sortWithinPartitions("_shard", "key", *values)
+
+    def made(now: int, held: list[list[np.ndarray]]) -> int:
+        columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+        first = np.concatenate([[True], columns[0][1:] != columns[0][:-1]])
+        kept = np.ones(len(first), bool) if every else first
+        more = {"starts": np.append(np.flatnonzero(first), len(first))} if every else {}
+        write_arrays(f"{folder}/shard-{now}", _keys(columns[0][first]) | more | {name: c[kept] for name, c in zip(values, columns[1:], strict=True)})
+        return int(first.sum())
+
+    _each_shard(ordered, made)
+
+
+def write_texts(rows: DataFrame, folder: str, shards: int) -> None:
+    """rows: key long, each once and not negative, then text string: texts by key, in shards by the key's remainder."""
+    ordered = rows.select(F.pmod("key", F.lit(shards)).cast("int").alias("_shard"), "key", rows.columns[1]).repartition(shards, "_shard").sortWithinPartitions("_shard", "key")
+
+    def made(now: int, held: list[list]) -> int:
+        keys, texts = np.concatenate([x[0] for x in held]), [t.encode() for x in held for t in x[1]]
+        write_arrays(f"{folder}/shard-{now}", _keys(keys) | {"ends": np.cumsum([0, *map(len, texts)]), "bytes": np.frombuffer(b"".join(texts), np.uint8)})
+        return len(keys)
+
+    _each_shard(ordered, made)
+
+
+def _keys(sorted_keys: np.ndarray) -> dict[str, np.ndarray]:
+    keys = sorted_keys.view(np.uint64) ^ _SIGN
+    low, high = int(keys[0]), int(keys[-1])
+    return EliasFano.build(keys - np.uint64(low), high - low + 1).arrays("keys") | {"range": np.array([low, high], np.uint64)}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
 
-        def done() -> pa.RecordBatch:
-            columns = [np.concatenate(x) for x in zip(*held, strict=True)]
-            first = np.concatenate([[True], columns[0][1:] != columns[0][:-1]])
-            keys = columns[0][first].view(np.uint64) ^ _SIGN
-            low, high = int(keys[0]), int(keys[-1])
-            arrays = EliasFano.build(keys - np.uint64(low), high - low + 1).arrays("keys")
-            arrays["range"] = np.array([low, high], np.uint64)
-            write_arrays(f"{folder}/shard-{now}", arrays | {name: c[first] for name, c in zip(values, columns[1:], strict=True)})
-            return pa.RecordBatch.from_arrays([pa.array([int(first.sum())], pa.int64())], ["n"])
+def _each_shard(ordered: DataFrame, made) -> None:
+    """made(shard, its columns in parts) in one task for each shard. ordered: _shard and more, all rows of a shard together."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        said = lambda: pa.RecordBatch.from_arrays([pa.array([made(now, held)], pa.int64())], ["n"])
         for batch in batches:
             shard = batch.column(0).to_numpy()
             cuts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])) if len(shard) else np.zeros(0, int)
             for a, b in zip(cuts, [*cuts[1:], len(shard)] if len(cuts) else [], strict=True):
                 if shard[a] != now and held:
-                    yield done()
+                    yield said()
                     held = []
                 now = int(shard[a])
-                held.append([batch.column(k).slice(a, b - a).to_numpy() for k in range(1, batch.num_columns)])
+                parts = [batch.column(k).slice(a, b - a) for k in range(1, batch.num_columns)]
+                held.append([x.to_pylist() if pa.types.is_string(x.type) else x.to_numpy() for x in parts])
         if held:
-            yield done()
+            yield said()
 
     ordered.mapInArrow(run, "n long").agg(F.sum("n")).collect()
 
 
-def look_up(folder: str, shards: np.ndarray, keys: np.ndarray, value: str) -> tuple[np.ndarray, np.ndarray]:
-    """(whether each key is there, its value or 0). Keys of an absent shard are not there."""
-    there, out = np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
+def open_shard(folder: str, shard: int) -> dict[str, np.ndarray] | None:
+    try:
+        return map_arrays(f"{folder}/shard-{shard}")
+    except FileNotFoundError:  # no key fell there
+        return None
+
+
+def places(table: dict[str, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which of the keys are in the shard, their places among its keys)."""
+    asked = keys.view(np.uint64) ^ _SIGN
+    low, high = table["range"]
+    inside = np.flatnonzero((asked >= low) & (asked <= high))
+    at, found = EliasFano.of(table, "keys").successor(asked[inside] - low)
+    return inside[found], at[found]
+
+
+def look_up_all(folder: str, shards: np.ndarray, keys: np.ndarray, values: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(whether each key is there, a row of its values or zeros). Keys of an absent shard are not there."""
+    there, out = np.zeros(len(keys), bool), np.zeros((len(keys), len(values)), np.int64)
     order = np.argsort(shards, kind="stable")
     cuts = np.flatnonzero(np.concatenate([[True], shards[order][1:] != shards[order][:-1]])) if len(keys) else np.zeros(0, int)
     for a, b in zip(cuts, [*cuts[1:], len(keys)] if len(cuts) else [], strict=True):
         mine = order[a:b]
-        try:
-            table = map_arrays(f"{folder}/shard-{int(shards[mine[0]])}")
-        except FileNotFoundError:  # no key fell there
+        if (table := open_shard(folder, int(shards[mine[0]]))) is None:
             continue
-        asked = keys[mine].view(np.uint64) ^ _SIGN
-        low, high = table["range"]
-        inside = (asked >= low) & (asked <= high)
-        mine, asked = mine[inside], asked[inside] - low
-        at, found = EliasFano.of(table, "keys").successor(asked)
-        there[mine] = found
-        out[mine[found]] = table[value][at[found]]
+        which, at = places(table, keys[mine])
+        there[mine[which]] = True
+        for k, name in enumerate(values):
+            out[mine[which], k] = table[name][at]
     return there, out
+
+
+def look_up(folder: str, shards: np.ndarray, keys: np.ndarray, value: str) -> tuple[np.ndarray, np.ndarray]:
+    """(whether each key is there, its value or 0)."""
+    there, out = look_up_all(folder, shards, keys, [value])
+    return there, out[:, 0]

@@ -11,26 +11,34 @@ Shingles are runs of five words.  Items with fewer words count as one shingle:
 only texts that are that very sequence contain them.  Items or texts without
 words, nulls among them, match nothing.  Repeated rows match each for itself.
 
-The benchmark's text is read in blocks of a fixed size, and texts pass once for
-each block: what each executor is given has a bound, however long the benchmark.
+Very long texts are read whole, in parts.  An empty benchmark matches nothing, an
+empty table of texts gives no rows.
+
+Distinct item texts get numbers.  Sketch hashes with the items that have them, and the
+items' texts, are written as sharded files of the shared folder, which tasks map and
+search where the texts lie.  Neither the driver nor a task holds the benchmark, and
+texts pass once, however long it is.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+import functools
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import new_folder, stored
+from ._id_table import open_shard, places, write_table, write_texts
 from ._words import each_group, shingle_hashes
 
 WORDS, THRESHOLD = 5, 0.8
-#: Bytes of benchmark text given to executors at once.
-BLOCK_BYTES = 8_000_000
+#: Bytes of benchmark text in a shard, about.
+SHARD_BYTES = 16_000_000
+#: Items whose shingles a task keeps for the next text.
+KEPT_ITEMS = 2_000
 
 
 def exact_shingles(text: str, size: int = WORDS) -> frozenset[bytes]:
@@ -38,90 +46,123 @@ def exact_shingles(text: str, size: int = WORDS) -> frozenset[bytes]:
     return frozenset(b" ".join(words[k : k + size]) for k in range(max(1, len(words) - size + 1))) if words else frozenset()
 
 
-class Sketches:
-    """A block of items: who has which sketch hash, and the shingles to verify by."""
+def sketch(text: str, size: int, threshold: float) -> np.ndarray:
+    """The lowest shingle hashes of an item, as many as its size partition asks for."""
+    shingles = exact_shingles(text, size)
+    if not shingles:
+        return np.zeros(0, np.uint64)
+    joined = pa.array([x.decode() for x in shingles])
+    found = np.unique(np.concatenate([shingle_hashes(h, b, size)[0] for *_, h, _s, _e, b in each_group(joined)]))
+    most = 1 << (len(shingles) - 1).bit_length()
+    return found[: int((1 - threshold) * most + 1e-9) + 1]
+
+
+def hash_shard(hashes: np.ndarray, shards: int) -> np.ndarray:
+    return ((hashes >> np.uint64(40)) * np.uint64(shards) >> np.uint64(24)).astype(np.int32)
+
 
-    def __init__(self, items: list[tuple[object, str]], size: int, threshold: float):
+class Benchmark:
+    """The items' files, and which item has which number."""
+
+    def __init__(self, items: DataFrame, item_id: str, text: str, size: int, threshold: float):
         self.size, self.threshold = size, threshold
-        self.items = [(k, s) for k, text in items if (s := exact_shingles(text or "", size))]
-        self.partitions: dict[int, list[int]] = defaultdict(list)
-        for n, (_, shingles) in enumerate(self.items):
-            self.partitions[1 << (len(shingles) - 1).bit_length()].append(n)
-        owners: dict[int, list[int]] = defaultdict(list)
-        for most, members in sorted(self.partitions.items()):
-            length = int((1 - threshold) * most + 1e-9) + 1
-            for n in members:
-                joined = pa.array([b"\n".join([x]).decode() for x in sorted(self.items[n][1])])
-                found = np.concatenate([shingle_hashes(h, b, size)[0] for *_, h, _s, _e, b in each_group(joined)])
-                for h in np.unique(found)[:length].tolist():
-                    owners[h].append(n)
-        self.hashes = np.array(sorted(owners), dtype=np.uint64)
-        self.owners = [owners[int(h)] for h in self.hashes]
-
-    def matches(self, texts: pa.Array) -> Iterator[tuple[int, int, int]]:
-        """(text, item, shingles shared) for texts of a batch that contain enough of an item."""
-        if not self.items:
-            return
+        top = new_folder(items.sparkSession, "benchmark")
+        self.sketches, self.texts = f"{top}/sketches", f"{top}/texts"
+        given = items.where(F.col(text).isNotNull()).select(F.col(item_id).alias("_item"), F.col(text).alias("_text"))
+        numbered = stored(given.select("_text").distinct().withColumn("_number", F.monotonically_increasing_id()))
+        #: (_item, _number) of all items with a text
+        self.members = given.join(numbered, "_text").select("_item", "_number")
+        total = numbered.agg(F.sum(F.octet_length("_text")).alias("n")).first()["n"] or 0
+        self.shards = shards = 1 + total // SHARD_BYTES
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for number, said in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    found = sketch(said, size, threshold)
+                    yield pa.RecordBatch.from_arrays([pa.array(hash_shard(found, shards)), pa.array(found.view(np.int64)), pa.array(np.full(len(found), number))], ["_shard", "key", "owner"])
+
+        write_table(numbered.select("_number", "_text").mapInArrow(run, "_shard int, key long, owner long"), self.sketches, shards, every=True)
+        write_texts(numbered.select(F.col("_number").alias("key"), "_text"), self.texts, shards)
+
+
+class Matcher:
+    """What a task needs to match texts: where the files are."""
+
+    def __init__(self, sketches: str, texts: str, shards: int, size: int, threshold: float):
+        self.sketches, self.texts, self.shards, self.size, self.threshold = sketches, texts, shards, size, threshold
+        self.shingles = functools.lru_cache(maxsize=KEPT_ITEMS)(self._shingles)
+
+    def _shingles(self, number: int) -> frozenset[bytes]:
+        table = open_shard(self.texts, number % self.shards)
+        _, (at,) = places(table, np.array([number]))
+        a, b = table["ends"][at : at + 2]
+        return exact_shingles(table["bytes"][a:b].tobytes().decode(), self.size)
+
+    def candidates(self, hashes: np.ndarray, of: np.ndarray) -> set[tuple[int, int]]:
+        """(text, item) of texts that have a hash of an item's sketch. of: bounds of the texts among the hashes."""
+        out: set[tuple[int, int]] = set()
+        shard = hash_shard(hashes, self.shards)
+        order = np.argsort(shard, kind="stable") if self.shards > 1 else np.arange(len(hashes))
+        bounds = np.searchsorted(shard[order], np.arange(self.shards + 1))
+        for s in np.unique(shard):
+            if (table := open_shard(self.sketches, int(s))) is None:
+                continue
+            mine = order[bounds[s] : bounds[s + 1]]
+            which, at = places(table, hashes[mine].view(np.int64))
+            text = np.searchsorted(of, mine[which], side="right") - 1
+            for t, place in {*zip(text.tolist(), at.tolist(), strict=True)}:
+                out.update((t, n) for n in table["owner"][table["starts"][place] : table["starts"][place + 1]].tolist())
+        return out
+
+    def matches(self, texts: pa.Array) -> Iterator[tuple[int, int, int, int]]:
+        """(text, item, shingles shared, shingles of the item) for texts of a batch that contain enough of an item."""
         for a, _b, _data, words, _starts, _ends, bounds in each_group(texts):
-            hashes, of = shingle_hashes(words, bounds, self.size)
-            at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-            hits = np.flatnonzero(self.hashes[at] == hashes)
-            pairs = {(int(t), n) for t, h in zip(np.searchsorted(of, hits, side="right") - 1, at[hits], strict=True) for n in self.owners[h]}
             now, shingles = -1, frozenset()
-            for t, n in sorted(pairs):
+            for t, n in sorted(self.candidates(*shingle_hashes(words, bounds, self.size))):
                 if t != now:
                     now, shingles = t, exact_shingles(texts[a + t].as_py(), self.size)
-                shared = len(shingles & self.items[n][1])
-                if shared >= self.threshold * len(self.items[n][1]) - 1e-9:
-                    yield a + t, n, shared
-
-
-def _blocks(items: DataFrame, item_id: str, text: str) -> list[list[tuple[object, str]]]:
-    """The items, block after block: none is longer than BLOCK_BYTES but for a single item that is."""
-    out: list[list[tuple[object, str]]] = [[]]
-    size = 0
-    for row in items.select(item_id, text).orderBy(item_id).toLocalIterator():
-        size += len((row[1] or "").encode())
-        if size > BLOCK_BYTES and out[-1]:
-            out.append([])
-            size = len((row[1] or "").encode())
-        out[-1].append((row[0], row[1] or ""))
-    return out
+                item = self.shingles(n)
+                shared = len(shingles & item)
+                if shared >= self.threshold * len(item) - 1e-9:
+                    yield a + t, n, shared, len(item)
 
 
 def find(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", size: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, item_id, shared, shingles, containment): each text and item of which it contains threshold or more."""
-    doc_type, item_type = docs.schema[doc_id].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
-    schema = f"{doc_id} {doc_type}, {item_id} {item_type}, shared long, shingles long, containment double"
-    names = [x.split()[0] for x in schema.split(", ")]
+    benchmark = Benchmark(items, item_id, text, size, threshold)
+    matcher_of = _opened(benchmark)
 
-    def over(block: list[tuple[object, str]]) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sketches = Sketches(block, size, threshold)
-            for batch in batches:
-                rows = [(t, sketches.items[n][0], shared, len(sketches.items[n][1])) for t, n, shared in sketches.matches(batch.column(1))]
-                if rows:
-                    t, item, shared, all_of = (list(x) for x in zip(*rows, strict=True))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(t)), pa.array(item), pa.array(shared, pa.int64()), pa.array(all_of, pa.int64()), pa.array([x / y for x, y in zip(shared, all_of, strict=True)])], names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = matcher_of()
+        for batch in batches:
+            if rows := list(matcher.matches(batch.column(1))):
+                t, *made = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(t)), *(pa.array(x, pa.int64()) for x in made)], ["_doc", "_number", "shared", "shingles"])
+
+    kind = docs.schema[doc_id].dataType.simpleString()
+    found = docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("_text")).mapInArrow(run, f"_doc {kind}, _number long, shared long, shingles long")
+    # items of one text come apart again
+    each = found.join(benchmark.members, "_number")
+    return each.select(F.col("_doc").alias(doc_id), F.col("_item").alias(item_id), "shared", "shingles", (F.col("shared") / F.col("shingles")).alias("containment"))
 
-        return docs.select(doc_id, text).mapInArrow(run, schema)
 
-    return reduce(DataFrame.unionByName, [over(block) for block in _blocks(items, item_id, text)])
+def _opened(benchmark: Benchmark):
+    """What makes a matcher inside a task: it takes names along, no data."""
+    named = (benchmark.sketches, benchmark.texts, benchmark.shards, benchmark.size, benchmark.threshold)
+    return lambda: Matcher(*named)
 
 
 def remove(docs: DataFrame, items: DataFrame, item_id: str = "item_id", text: str = "text", size: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
     """docs without the rows that contain threshold or more of an item."""
-    at = docs.columns.index(text)
-    for block in _blocks(items, item_id, text):
+    at, matcher_of = docs.columns.index(text), _opened(Benchmark(items, item_id, text, size, threshold))
 
-        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            sketches = Sketches(block, size, threshold)
-            for batch in batches:
-                leaks = {t for t, *_ in sketches.matches(batch.column(at))}
-                yield batch.take(pa.array([k for k in range(batch.num_rows) if k not in leaks], pa.int64())) if leaks else batch
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = matcher_of()
+        for batch in batches:
+            leaks = {t for t, *_ in matcher.matches(batch.column(at))}
+            yield batch.take(pa.array([k for k in range(batch.num_rows) if k not in leaks], pa.int64())) if leaks else batch
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    return docs.mapInArrow(run, docs.schema)
 
 
 def report(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -12,12 +12,19 @@ Counts for the last three are grouped aggregates over all rows, by the language
 the text alone suggests.  A uniform model stands for no known language, "und".
 
 Trigram counts come from labelled texts: those of at most TRAIN ids of each label,
-the ids with the lowest hashes, which is the bound of the sample.
+the ids with the lowest hashes, and of the LANGUAGES most frequent labels, which
+are the bounds of the sample.  A label teaches the model and is no evidence: a
+text that is scored brings its words, its host and what its markup or address says.
 
 Null and empty texts have no trigrams: the other evidence decides.  A missing
 declaration, address or host adds nothing (the host's prior is then that of all rows).
 Languages are those with a label; without any, every row is "und".  Ties go to the
-language first in the alphabet.  Repeated rows count each time.
+language first in the alphabet.  Repeated rows count each time.  A very long text is
+read whole, in parts, and weighs as EVIDENCE trigrams.  An empty table gives an empty one.
+Columns of the input keep their names, unless they are called as one of the result's.
+
+Priors of hosts and suffixes are files in the shared folder, which tasks map and search
+where the texts lie: no text moves, however many hosts there are or how hot one is.
 """
 
 from __future__ import annotations
@@ -31,13 +38,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import cut, new_folder
+from ._common import cut, new_folder, unused
+from ._id_table import look_up_all, shard_of, write_table
 from ._words import groups, text_buffers
 
-TRAIN, EVIDENCE, PRIOR = 2_000, 48, 50
+TRAIN, LANGUAGES, EVIDENCE, PRIOR = 2_000, 200, 48, 50
 UNKNOWN = "und"
 #: What a row's chances are of being in no known language, before any evidence.
 UNKNOWN_PRIOR = 0.001
+#: Shares and their logarithms are kept as integers of this many to one.
+SCALE = 10**12
 _BITS = 16
 _LOWER = np.arange(256, dtype=np.uint32)
 _LOWER[65:91] += 32
@@ -79,15 +89,17 @@ class Model:
 
 
 def train(labelled: DataFrame, label: str = "lang", text: str = "text", id_column: str = "doc_id", most: int = TRAIN) -> Model:
-    """From the texts of at most ``most`` ids of each label."""
+    """From the texts of at most ``most`` ids of each label, for the LANGUAGES labels with the most ids."""
     ids = labelled.where(F.col(label).isNotNull() & F.col(id_column).isNotNull()).select(F.col(id_column).alias("_id"), F.col(label).alias("_label")).withColumn("_hash", F.xxhash64("_id"))
-    # below this hash lie about four times as many rows of a label as are taken: so many go to a task, not all of them
+    # below this hash lie about four times as many ids of a label as are taken: so many go to a task, not all of them
     below = (F.lit(2.0**64 * 4 * most) / F.col("_n") - F.lit(2.0**63)).alias("_below")
-    limits = ids.groupBy("_label").agg(F.count(F.lit(1)).alias("_n")).select(F.col("_label").alias("_of"), below)  # a row for each language
-    low = ids.join(F.broadcast(limits), F.col("_label") == F.col("_of")).where(F.col("_hash") < F.col("_below")).select("_label", "_hash", "_id").distinct()
+    frequent = ids.groupBy("_label").agg(F.approx_count_distinct("_id").alias("_n")).orderBy(F.desc("_n"), "_label").limit(LANGUAGES)
+    limits = frequent.select(F.col("_label").alias("_of"), below)  # LANGUAGES rows at most
+    low = ids.join(F.broadcast(limits), F.col("_label") == F.col("_of")).where(F.col("_hash") <= F.col("_below")).select("_label", "_hash", "_id").distinct()
     at = F.row_number().over(Window.partitionBy("_label").orderBy("_hash", "_id"))
-    chosen = low.withColumn("_at", at).where(F.col("_at") <= most).select("_id").distinct()
-    rows = labelled.where(F.col(label).isNotNull()).join(F.broadcast(chosen), F.col(id_column) == F.col("_id"), "left_semi").select(label, text)  # most ids a label
+    chosen = low.withColumn("_at", at).where(F.col("_at") <= most).select("_id", "_label")
+    given = labelled.select(F.col(label).alias("_lang"), F.col(id_column).alias("_own"), F.col(text).alias("_text"))
+    rows = given.join(F.broadcast(chosen), (F.col("_own") == F.col("_id")) & (F.col("_lang") == F.col("_label")), "left_semi").select("_lang", "_text")  # most ids a label
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
@@ -149,7 +161,7 @@ def _suggest(rows: DataFrame, model: Model) -> DataFrame:
 
 
 class Evidence:
-    """Grouped counts: small ones on the driver (languages by languages), those by host and suffix as written tables."""
+    """Grouped counts: small ones on the driver (languages by languages), those by host and suffix as tables of files, by the name's hash."""
 
     def __init__(self, rows: DataFrame, model: Model):
         spark, langs = rows.sparkSession, model.languages
@@ -167,9 +179,10 @@ class Evidence:
         domains = by("domain").select("domain", smooth(lambda k: F.lit(whole[k])).alias("domain_prior"))
         hosts = by("host", "domain").join(domains, "domain").select("host", smooth(lambda k: F.col("domain_prior")[k]).alias("prior"))
         suffixes = by("suffix").select("suffix", array(lambda k: F.log((F.col(f"c{k}") + PRIOR * 0.01) / F.lit(float(known[k]) + PRIOR))).alias("suffix_log"))
-        self.folder = new_folder(spark, "language-evidence")
-        hosts.write.parquet(f"{self.folder}/hosts")
-        suffixes.write.parquet(f"{self.folder}/suffixes")
+        self.folder, self.shards = new_folder(spark, "language-evidence"), max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+        for name, table, column in (("hosts", hosts, "prior"), ("suffixes", suffixes, "suffix_log")):
+            scaled = [F.round(F.col(column)[k] * SCALE).cast("long").alias(f"v{k}") for k in range(len(langs))]
+            write_table(table.select(F.xxhash64(table.columns[0]).alias("key"), *scaled), f"{self.folder}/{name}", self.shards)
         # how often a declaration agrees with the text, for each declared language that is known
         right = {r["declared"]: (r["same"], r["n"]) for r in counts.where(F.col("declared").isin(langs)).groupBy("declared").agg(F.sum(F.when(F.col("guess") == F.col("declared"), F.col("n")).otherwise(0)).alias("same"), F.sum("n").alias("n")).collect()} if langs else {}
         self.declared = {}
@@ -181,60 +194,74 @@ class Evidence:
             self.declared[name] = row
 
 
-def with_evidence(df: DataFrame, host: Column, declared: Column, suffix: Column, text: Column) -> DataFrame:
-    return df.withColumns({"_host": host.cast("string"), "_domain": domain_of(host.cast("string")), "_declared": F.lower(declared.cast("string")), "_suffix": suffix.cast("string"), "_text": text})
+_EVIDENCE = ("host", "domain", "declared", "suffix", "text")
+
 
+def with_evidence(df: DataFrame, host: Column, declared: Column, suffix: Column, text: Column) -> tuple[DataFrame, dict[str, str]]:
+    """(df with columns of evidence, their names): names that df does not have."""
+    names = {x: unused(df, f"_{x}") for x in _EVIDENCE}
+    made = (host.cast("string"), domain_of(host.cast("string")), F.lower(declared.cast("string")), suffix.cast("string"), text)
+    return df.withColumns(dict(zip(names.values(), made, strict=True))), names
 
-def identify(df: DataFrame, model: Model, confidence: float = 0.5) -> DataFrame:
-    """df (from with_evidence) with language, confidence, text_language and accepted in place of the evidence's columns.
+
+def identify(evidence: tuple[DataFrame, dict[str, str]], model: Model, confidence: float = 0.5) -> DataFrame:
+    """The table of with_evidence with language, confidence, text_language and accepted in place of the evidence's columns.
 
     accepted: the language is a known one, of that confidence at least.
     """
-    rows = df.select(F.col("_host").alias("host"), F.col("_domain").alias("domain"), F.col("_declared").alias("declared"), F.col("_suffix").alias("suffix"), F.col("_text").alias("text"))
-    evidence, spark = Evidence(rows, model), df.sparkSession
-    # tables of known sizes: the planner broadcasts the small ones and shuffles by the others
-    hosts = spark.read.parquet(f"{evidence.folder}/hosts").withColumnsRenamed({"host": "_h", "prior": "_prior"})
-    suffixes = spark.read.parquet(f"{evidence.folder}/suffixes").withColumnsRenamed({"suffix": "_s", "suffix_log": "_suffix_log"})
-    joined = df.join(hosts, F.col("_host") == F.col("_h"), "left").join(suffixes, F.col("_suffix") == F.col("_s"), "left")
-    kept = [c for c in df.columns if c not in ("_host", "_domain", "_declared", "_suffix", "_text")]
-    given = joined.select(*kept, "_declared", "_prior", "_suffix_log", "_text")
+    df, at = evidence
+    found = Evidence(df.select(*(F.col(at[x]).alias(x) for x in _EVIDENCE)), model)
+    made = ("language", "confidence", "text_language", "accepted")
+    kept = [c for c in df.columns if c not in at.values() and c.lower() not in made]
+    keys = {x: F.xxhash64(at[x]) for x in ("host", "suffix")}
+    more = [F.col(at["declared"]), *(e.alias(unused(df, f"_{x}_{n}")) for x, key in keys.items() for n, e in (("shard", shard_of(key, found.shards)), ("key", key), ("there", F.col(at[x]).isNotNull()))), F.col(at["text"])]
+    given = df.select(*kept, *more)
     out_schema = df.select(*kept).withColumns({"language": F.lit(""), "confidence": F.lit(0.0), "text_language": F.lit(""), "accepted": F.lit(True)}).schema
     names, langs, n = np.array([*model.languages, UNKNOWN]), model.languages, len(kept)
-    whole, declared = evidence.whole, evidence.declared
+    whole, declared, folder, values = found.whole, found.declared, found.folder, [f"v{k}" for k in range(len(model.languages))]
+
+    def of(batch: pa.RecordBatch, table: str, first: int) -> tuple[np.ndarray, np.ndarray]:
+        shard, key = (batch.column(first + k).to_numpy() for k in (0, 1))
+        there, value = look_up_all(f"{folder}/{table}", shard, key, values)
+        return there & batch.column(first + 2).to_numpy(zero_copy_only=False), value / SCALE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            said = model.likelihoods(batch.column(n + 3))
+            said = model.likelihoods(batch.column(n + 7))
             total = said.copy()
             if langs:
-                for k, (d, prior, suffix) in enumerate(zip(*(batch.column(n + j).to_pylist() for j in range(3)), strict=True)):
-                    total[k, :-1] += np.log((1 - UNKNOWN_PRIOR) * np.array(prior if prior is not None else whole))
-                    total[k, -1] += np.log(UNKNOWN_PRIOR)
-                    if d in declared:
-                        total[k, :-1] += declared[d]
-                        total[k, -1] -= np.log(len(langs))
-                    if suffix is not None:
-                        total[k, :-1] += suffix
-                        total[k, -1] += max(suffix)
+                there, prior = of(batch, "hosts", n + 1)
+                total[:, :-1] += np.log((1 - UNKNOWN_PRIOR) * np.where(there[:, None], prior, whole))
+                total[:, -1] += np.log(UNKNOWN_PRIOR)
+                for name in batch.column(n).unique().to_pylist():
+                    if name in declared:
+                        rows = pa.compute.fill_null(pa.compute.equal(batch.column(n), name), False).to_numpy(zero_copy_only=False)
+                        total[rows, :-1] += declared[name]
+                        total[rows, -1] -= np.log(len(langs))
+                there, suffix = of(batch, "suffixes", n + 4)
+                total[there, :-1] += suffix[there]
+                total[there, -1] += suffix[there].max(axis=1)
             chance = np.exp(total - total.max(axis=1, keepdims=True))
             chance /= chance.sum(axis=1, keepdims=True)
             best = np.argmax(chance, axis=1)
             sure = chance[np.arange(len(best)), best]
-            more = [pa.array(names[best].tolist(), pa.string()), pa.array(sure), pa.array(names[np.argmax(said, axis=1)].tolist(), pa.string()), pa.array((best < len(langs)) & (sure >= confidence))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(n)), *more], [*kept, "language", "confidence", "text_language", "accepted"])
+            new = [pa.array(names[best].tolist(), pa.string()), pa.array(sure), pa.array(names[np.argmax(said, axis=1)].tolist(), pa.string()), pa.array((best < len(langs)) & (sure >= confidence))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(n)), *new], [*kept, *made])
 
     return given.mapInArrow(run, out_schema)
 
 
-def document_evidence(docs: DataFrame) -> DataFrame:
-    """Documents say their language and their source."""
-    return with_evidence(docs, F.col("source"), F.col("lang"), F.lit(None).cast("string"), F.col("text"))
+def document_evidence(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """Documents say their source; their label is what the model learns from, so it is no evidence."""
+    none = F.lit(None).cast("string")
+    return with_evidence(docs, F.col("source"), none, none, F.col("text"))
 
 
 def corpus_languages(docs: DataFrame, pages: DataFrame) -> DataFrame:
     """doc_id or page_id, language, confidence, text_language, accepted of all documents and pages; trigrams from the documents' labels."""
     model = train(docs)
-    of_docs = document_evidence(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("long").alias("page_id"), "_host", "_domain", "_declared", "_suffix", "_text")
-    of_pages = with_evidence(pages, host_of(F.col("url")), markup_language(F.col("html")), suffix_of(F.col("url")), html_text(F.col("html")))
-    of_pages = of_pages.select(F.lit(None).cast("long").alias("doc_id"), F.col("page_id").cast("long").alias("page_id"), "_host", "_domain", "_declared", "_suffix", "_text")
-    return identify(of_docs.unionByName(of_pages), model)
+    none = F.lit(None).cast("long")
+    rows = lambda found, doc, page: found[0].select(doc.alias("doc_id"), page.alias("page_id"), *(F.col(c).alias(f"_{x}") for x, c in found[1].items()))
+    of_docs = rows(document_evidence(docs), F.col("doc_id").cast("long"), none)
+    of_pages = rows(with_evidence(pages, host_of(F.col("url")), markup_language(F.col("html")), suffix_of(F.col("url")), html_text(F.col("html"))), none, F.col("page_id").cast("long"))
+    return identify((of_docs.unionByName(of_pages), {x: f"_{x}" for x in _EVIDENCE}), model)

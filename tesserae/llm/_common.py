@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,17 +40,68 @@ def new_folder(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, written to the shared folder: later jobs neither recompute them nor depend on one executor."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+#: Rows of an Arrow batch. Texts are long: the library's default of 10,000 makes batches of tens of megabytes on both sides.
+ARROW_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of ARROW_ROWS rows in this session, unless it has a smaller number."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ARROW_ROWS:
+        spark.conf.set(name, str(ARROW_ROWS))
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """The same rows as a table of the shared folder: the planner knows its size, broadcasts it only if small, and can split its hot keys."""
-    folder = new_folder(df.sparkSession, "table")
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    """The same rows as a table of the shared folder: later jobs neither recompute them nor depend on one executor.
+
+    The planner knows the table's size, broadcasts it only if small, and can split its hot keys.  Only tasks that have rows
+    write, one file each under a name of its own that a task that runs again replaces: hundreds of empty parts of small
+    tables would cost more than their rows.
+    """
+    spark = df.sparkSession
+    small_batches(spark)
+    folder = new_folder(spark, "table")
+    system, place = file_system(folder)
+    system.create_dir(place, recursive=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.parquet as pq
+        from pyspark import TaskContext
+
+        writer, (system, place) = None, file_system(folder)
+        name = f"part-{TaskContext.get().partitionId():06}"
+        aside = f"{place}/_{name}-{uuid.uuid4().hex}"
+        for batch in batches:
+            if batch.num_rows:
+                if writer is None:
+                    writer = pq.ParquetWriter(out := system.open_output_stream(aside), batch.schema, compression="snappy", use_dictionary=False, write_statistics=False)
+                writer.write_batch(batch)
+        if writer is not None:
+            writer.close()
+            out.close()
+            replace_file(system, aside, f"{place}/{name}.parquet")
+        yield from ()
+
+    df.mapInArrow(run, df.schema).write.format("noop").mode("overwrite").save()
+    return spark.read.schema(df.schema).parquet(folder)
+
+
+def file_system(path: str):
+    """(pyarrow's file system, the path in it)"""
+    from pyarrow import fs
+
+    if "://" in path or path.startswith("file:"):
+        return fs.FileSystem.from_uri(path)
+    return fs.LocalFileSystem(), path
+
+
+def replace_file(system, aside: str, place: str) -> None:
+    from pyarrow import fs
+
+    if isinstance(system, fs.LocalFileSystem):
+        os.replace(aside, place)
+    else:
+        system.move(aside, place)
 
 
 def unused(df: DataFrame, name: str) -> str:

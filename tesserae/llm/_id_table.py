@@ -29,6 +29,15 @@ def integer_key(df: DataFrame, column: str) -> Column:
     return F.col(column).cast("long") if is_integer(df, column) else F.xxhash64(column)
 
 
+#: Keys of a shard, about: some ten megabytes.
+KEYS_A_SHARD = 1_000_000
+
+
+def shards_for(table: DataFrame) -> int:
+    """As many as the rows of a written table ask for: few tables are opened for each batch while it is small."""
+    return 1 + table.count() // KEYS_A_SHARD
+
+
 def shard_of(key: Column, shards: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(shards)).cast("int")
 

@@ -24,6 +24,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ._common import small_batches
+
 #: Characters given to the library at a time.
 GROUP_CHARS = 200_000
 
@@ -149,6 +151,7 @@ def _each_batch(df: DataFrame, schema: str, made) -> DataFrame:
         for batch in batches:
             yield from made(batch)
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

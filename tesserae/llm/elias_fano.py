@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import functools
 import json
-import os
 import tempfile
 import uuid
 
 import numpy as np
 
+from ._common import file_system, replace_file
+
 _U = np.uint64
 _BLOCK = 8  # words of 64 bits between entries of the directory of zeros
 
@@ -117,19 +118,9 @@ class EliasFano:
         return cls(n, bits, arrays[f"{name}.low"], arrays[f"{name}.high"], arrays[f"{name}.zeros"])
 
 
-def _system(path: str):
-    from pyarrow import fs
-
-    if "://" in path or path.startswith("file:"):
-        return fs.FileSystem.from_uri(path)
-    return fs.LocalFileSystem(), path
-
-
 def write_arrays(path: str, arrays: dict[str, np.ndarray]) -> None:
     """One file of named arrays; a task that runs again replaces it with the same bytes."""
-    from pyarrow import fs
-
-    system, place = _system(path)
+    system, place = file_system(path)
     parts, head, at = [], {}, 0
     for name, x in arrays.items():
         data = np.ascontiguousarray(x).tobytes()
@@ -144,10 +135,7 @@ def write_arrays(path: str, arrays: dict[str, np.ndarray]) -> None:
         out.write(len(said).to_bytes(8, "little") + said)
         for data in parts:
             out.write(data)
-    if isinstance(system, fs.LocalFileSystem):
-        os.replace(aside, place)
-    else:
-        system.move(aside, place)
+    replace_file(system, aside, place)
 
 
 @functools.lru_cache(maxsize=4096)
@@ -155,7 +143,7 @@ def map_arrays(path: str) -> dict[str, np.ndarray]:
     """The arrays of a file, mapped into memory. A file of a remote store is first copied, for as long as this process lives."""
     from pyarrow import fs
 
-    system, place = _system(path)
+    system, place = file_system(path)
     if not isinstance(system, fs.LocalFileSystem):
         copy = tempfile.NamedTemporaryFile(prefix="level-")  # noqa: SIM115  it goes with the process
         with system.open_input_stream(place) as data:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import cut, stored
+from ._common import stored
 
 def sign_code(vector: str, words: int) -> Column:
     """array<long>: a bit for each element, 1 if positive, 64 to a word; elements past the last word are left out by the caller's choice of words."""
@@ -80,12 +80,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, bits: int, id_column:
     """
     spark, words = vectors.sparkSession, (bits + 63) // 64
     coded = lambda df: df.where(F.col(vector).isNotNull() & F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), sign_code(vector, words).alias("code"))
-    rows = cut(coded(vectors).groupBy("id").agg(F.min("code").alias("code")))
+    rows = stored(coded(vectors).groupBy("id").agg(F.min("code").alias("code")))
     # k + 1 ids of a code: one of them may be the query's own
     first = F.row_number().over(Window.partitionBy("code").orderBy("id"))
     kept = rows.withColumn("_n", first).where(F.col("_n") <= k + 1)
-    codes = cut(kept.groupBy("code").agg(F.array_sort(F.collect_list("id")).alias("ids")).withColumn("code_id", F.element_at("ids", 1)))
-    open_ = cut(coded(queries).groupBy("id").agg(F.min("code").alias("code")).select(F.col("id").alias("query"), F.col("code").alias("q")))
+    codes = stored(kept.groupBy("code").agg(F.array_sort(F.collect_list("id")).alias("ids")).withColumn("code_id", F.element_at("ids", 1)))
+    open_ = stored(coded(queries).groupBy("id").agg(F.min("code").alias("code")).select(F.col("id").alias("query"), F.col("code").alias("q")))
     total = codes.count()
     parts = segments_of(bits, total)
     widths = F.array(*(F.lit(w) for _, w in parts))
@@ -101,16 +101,16 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, bits: int, id_column:
         asked = stored(asked)
         met = asked.join(index, ["seg", "val"]).select("query", "code_id", distance("q", "code").cast("int").alias("distance"))
         # a code met in two segments or rounds counts once; per distance only the nearest k + 1 codes matter
-        found = cut(_best(found.unionByName(met).distinct().withColumnRenamed("code_id", "neighbor"), k + 1).select("query", F.col("neighbor").alias("code_id"), "distance"))
+        found = stored(_best(found.unionByName(met).distinct().withColumnRenamed("code_id", "neighbor"), k + 1).select("query", F.col("neighbor").alias("code_id"), "distance"))
         if radius == max(w for _, w in parts):
             done.append(_expanded(found, codes, k))  # all codes have been met
             break
         covered = len(parts) * (radius + 1) - 1
         sizes = codes.select("code_id", F.size("ids").alias("n"))
-        ready = cut(found.where(F.col("distance") <= covered).join(sizes, "code_id").groupBy("query").agg(F.sum("n").alias("n")).where(F.col("n") >= k + 1).select("query"))
+        ready = stored(found.where(F.col("distance") <= covered).join(sizes, "code_id").groupBy("query").agg(F.sum("n").alias("n")).where(F.col("n") >= k + 1).select("query"))
         done.append(_expanded(found.join(ready, "query", "left_semi"), codes, k))
         asked, found = asked.join(ready, "query", "left_anti"), found.join(ready, "query", "left_anti")
-        open_ = cut(open_.join(ready, "query", "left_anti"))
+        open_ = stored(open_.join(ready, "query", "left_anti"))
         if open_.isEmpty():
             break
     out = done[0]

@@ -38,8 +38,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import cut, new_folder, unused
-from ._id_table import look_up_all, shard_of, write_table
+from ._common import new_folder, small_batches, stored, unused
+from ._id_table import look_up_all, shard_of, shards_for, write_table
 from ._words import groups, text_buffers
 
 TRAIN, LANGUAGES, EVIDENCE, PRIOR = 2_000, 200, 48, 50
@@ -90,6 +90,7 @@ class Model:
 
 def train(labelled: DataFrame, label: str = "lang", text: str = "text", id_column: str = "doc_id", most: int = TRAIN) -> Model:
     """From the texts of at most ``most`` ids of each label, for the LANGUAGES labels with the most ids."""
+    small_batches(labelled.sparkSession)
     ids = labelled.where(F.col(label).isNotNull() & F.col(id_column).isNotNull()).select(F.col(id_column).alias("_id"), F.col(label).alias("_label")).withColumn("_hash", F.xxhash64("_id"))
     # below this hash lie about four times as many ids of a label as are taken: so many go to a task, not all of them
     below = (F.lit(2.0**64 * 4 * most) / F.col("_n") - F.lit(2.0**63)).alias("_below")
@@ -165,7 +166,7 @@ class Evidence:
 
     def __init__(self, rows: DataFrame, model: Model):
         spark, langs = rows.sparkSession, model.languages
-        counts = cut(_suggest(rows, model).groupBy("host", "domain", "declared", "suffix", "guess").agg(F.count(F.lit(1)).alias("n")))
+        counts = stored(_suggest(rows, model).groupBy("host", "domain", "declared", "suffix", "guess").agg(F.count(F.lit(1)).alias("n")))
         # shares by language: a column for each, smoothed from the level above
         of_each = [F.sum(F.when(F.col("guess") == g, F.col("n")).otherwise(0)).alias(f"c{k}") for k, g in enumerate(langs)] + [F.sum("n").alias("n")]
         by = lambda *keys: counts.where(F.col(keys[0]).isNotNull()).groupBy(*keys).agg(*of_each)
@@ -179,7 +180,7 @@ class Evidence:
         domains = by("domain").select("domain", smooth(lambda k: F.lit(whole[k])).alias("domain_prior"))
         hosts = by("host", "domain").join(domains, "domain").select("host", smooth(lambda k: F.col("domain_prior")[k]).alias("prior"))
         suffixes = by("suffix").select("suffix", array(lambda k: F.log((F.col(f"c{k}") + PRIOR * 0.01) / F.lit(float(known[k]) + PRIOR))).alias("suffix_log"))
-        self.folder, self.shards = new_folder(spark, "language-evidence"), max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+        self.folder, self.shards = new_folder(spark, "language-evidence"), shards_for(counts)
         for name, table, column in (("hosts", hosts, "prior"), ("suffixes", suffixes, "suffix_log")):
             scaled = [F.round(F.col(column)[k] * SCALE).cast("long").alias(f"v{k}") for k in range(len(langs))]
             write_table(table.select(F.xxhash64(table.columns[0]).alias("key"), *scaled), f"{self.folder}/{name}", self.shards)

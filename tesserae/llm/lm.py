@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import new_folder, text_or_empty
+from ._common import new_folder, small_batches, text_or_empty
 from ._words import hashed_words, groups, mix, text_buffers
 from .elias_fano import EliasFano, map_arrays, write_arrays
 
@@ -365,6 +365,7 @@ def token_probabilities(vocabulary: Vocabulary, shards: int, numbers: np.ndarray
 def train(texts: DataFrame, column: str = "text") -> Vocabulary:
     """The model of these texts, in files of the shared folder."""
     spark = texts.sparkSession
+    small_batches(spark)
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     only = texts.select(text_or_empty(column).alias("text"))
     vocabulary = train_vocabulary(only, new_folder(spark, "language-model"), shards)

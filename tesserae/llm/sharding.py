@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import cut
+from ._common import stored
 
 #: Rows that one task of the second permutation sorts, about.
 ROWS_A_TASK = 1_000_000
@@ -74,7 +74,7 @@ def shuffle_into_shards(df: DataFrame, shards: int, key: list[Column], seed: int
     spark = df.sparkSession
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     random = lambda n: F.xxhash64(F.lit(seed), F.lit(n), *key)
-    rows = cut(df.withColumns({"_p": F.pmod(random(1), F.lit(parts)).cast("int"), "_a": random(2), "_b": random(3)}))
+    rows = stored(df.withColumns({"_p": F.pmod(random(1), F.lit(parts)).cast("int"), "_a": random(2), "_b": random(3)}))
     counts = {r["_p"]: r["n"] for r in rows.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each partition
     sources = [counts.get(p, 0) for p in range(parts)]
     total = sum(sources)
@@ -87,7 +87,7 @@ def shuffle_into_shards(df: DataFrame, shards: int, key: list[Column], seed: int
     sent = local.withColumn("shard", F.size(F.filter("_ends", lambda e: e < F.col("_i"))).cast("int")).drop("_ends", "_i", "_a")
     # permute again in each shard: ranges of the second key, so that no task has a shard to itself
     ranges = max(1, -(-total // (shards * ROWS_A_TASK)), parts // shards)
-    sent = cut(sent.withColumn("_r", F.pmod(F.shiftrightunsigned("_b", 20), F.lit(ranges)).cast("int")))
+    sent = stored(sent.withColumn("_r", F.pmod(F.shiftrightunsigned("_b", 20), F.lit(ranges)).cast("int")))
     sizes = sent.groupBy("shard", "_r").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("shard").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
     begins = sizes.withColumn("_begin", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")

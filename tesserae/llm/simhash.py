@@ -40,13 +40,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut, new_folder, stored, unused
-from ._id_table import integer_key, is_integer, look_up, shard_of, write_table
+from ._common import new_folder, small_batches, stored, unused
+from ._id_table import integer_key, is_integer, look_up, look_up_all, shard_of, shards_for, write_table
 from ._words import each_group, mix, shingle_hashes
 from .components import roots
 
-#: Rows of a chunk of a large key group; pivots of such a group, on average.
-CELL, PIVOTS = 4096, 64
+#: Rows of a chunk of a large key group.
+CELL = 4096
 #: Rows that a task compares at a time: whole cells.
 BUFFER = 65_536
 
@@ -283,9 +283,12 @@ def _sizes(rows: DataFrame, key: str, most: int) -> DataFrame:
 
 
 def _first_cells(rows: DataFrame, sizes: DataFrame, key: str, most: int) -> DataFrame:
-    """rows with _cell: rows of one key together; those of a large key in chunks, each with the pivots. _known: all differ."""
+    """rows with _cell: rows of one key together; those of a large key in chunks, each with the pivots. _known: all differ.
+
+    Pivots are as many as fit an eighth of a chunk, on average.
+    """
     h = F.xxhash64("node")
-    pivot = F.pmod(F.shiftrightunsigned(h, 20), F.greatest(F.floor(F.col("_n") / PIVOTS), F.lit(1).cast("long"))) == 0
+    pivot = F.pmod(F.shiftrightunsigned(h, 20), F.greatest(F.floor(F.col("_n") / max(2, min(64, most // 8))), F.lit(1).cast("long"))) == 0
     chunks = F.ceil(F.col("_n") / most)
     at = F.when(F.col("_n").isNull(), F.array(F.lit(-1).cast("long"))).when(pivot, F.sequence(F.lit(0).cast("long"), chunks - 1)).otherwise(F.array(F.pmod(h, chunks)))
     return rows.join(sizes, key, "left").withColumn("_at", F.explode(at)).withColumns({"_cell": F.xxhash64(key, "_at"), "_known": h}).drop("_at", "_n")
@@ -322,7 +325,7 @@ def linked(keyed: DataFrame, radius: int, bits: int) -> DataFrame:
     found = roots(_edges(_first_cells(keyed, sizes, "_key", CELL), radius, bits))
     if sizes.isEmpty():
         return found
-    named = cut(_with_component(keyed.join(sizes.drop("_n"), "_key", "left_semi"), found))
+    named = stored(_with_component(keyed.join(sizes.drop("_n"), "_key", "left_semi"), found))
     plan = _rest_plan(named, "_key")
     if plan is None:
         return found
@@ -345,10 +348,10 @@ def node_rows(prints: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     the least id of a fingerprint and a tag of it, should the id have other texts; ids that are null come last.
     """
     own = F.when(F.col("_id").isNull(), F.monotonically_increasing_id())
-    prints = cut(prints.withColumn("_salt", F.pmod(F.xxhash64("_id", own), F.lit(_shards(prints))).cast("int")))
-    salted = cut(prints.groupBy("fp", "_salt").agg(F.min("_id").alias("_id")))
+    prints = stored(prints.withColumn("_salt", F.pmod(F.xxhash64("_id", own), F.lit(_shards(prints))).cast("int")))
+    salted = stored(prints.groupBy("fp", "_salt").agg(F.min("_id").alias("_id")))
     least = salted.groupBy("fp").agg(F.min("_id").alias("_id"))
-    return prints, salted, cut(least.select(F.struct(F.col("_id").isNull().alias("unnamed"), F.col("_id").alias("id"), F.xxhash64("fp").alias("tag")).alias("node"), "fp"))
+    return prints, salted, stored(least.select(F.struct(F.col("_id").isNull().alias("unnamed"), F.col("_id").alias("id"), F.xxhash64("fp").alias("tag")).alias("node"), "fp"))
 
 
 def named_prints(prints: DataFrame, salted: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
@@ -377,7 +380,7 @@ def document_components(docs: DataFrame) -> DataFrame:
 NEAR_WORDS, NEAR_BITS, NEAR_RADIUS, NEAR_SIMILARITY = 5, 256, 64, 0.8
 BANDS, BAND_ROWS = 9, 3
 #: Rows of a chunk of a large group of candidates: sets of shingles are compared there.
-VERIFY_CELL = 512
+VERIFY_CELL = 128
 
 
 def minimum_hashes(hashes: np.ndarray, of: np.ndarray, seed: int = 7) -> np.ndarray:
@@ -397,6 +400,7 @@ def minimum_hashes(hashes: np.ndarray, of: np.ndarray, seed: int = 7) -> np.ndar
 
 def sketches(docs: DataFrame, id_column: str, text: str) -> DataFrame:
     """(_id, fp binary): a fingerprint of NEAR_BITS, then the bands' keys."""
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -418,15 +422,15 @@ def _set_bytes(hashes: np.ndarray, of: np.ndarray) -> list[bytes]:
 def shingle_sets(docs: DataFrame, members: DataFrame, id_column: str, text: str) -> DataFrame:
     """(node, _group, fp, shingles) of the texts of members (node, _group long). Texts that don't belong there stay where they lie."""
     spark, kind = docs.sparkSession, docs.schema[id_column].dataType.simpleString()
-    folder, shards, key = new_folder(spark, "candidates"), _shards(docs), integer_key(docs, id_column)
     ids = members.where("not node.unnamed")
+    folder, shards, key = new_folder(spark, "candidates"), shards_for(ids), integer_key(docs, id_column)
     write_table(ids.withColumn("_id", F.col("node.id")).select(integer_key(ids.select(F.col("node.id").alias("_id")), "_id").alias("key"), F.col("node.tag").alias("tag"), "_group"), folder, shards)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             shard, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            there, tag = look_up(folder, shard, keys, "tag")
-            _, group = look_up(folder, shard, keys, "_group")
+            there, found = look_up_all(folder, shard, keys, ["tag", "_group"])
+            tag, group = found.T
             texts = batch.column(3).filter(pa.array(there))
             if not len(texts):
                 continue
@@ -480,16 +484,16 @@ def _verified(cells: DataFrame, radius: int) -> DataFrame:
 
 def _confirmed(members: DataFrame, sets_of, radius: int) -> DataFrame:
     """(node, root) by exact similarity among the members (node, _group) of each group; sets_of(members) gives their sets."""
-    members = cut(members)
+    members = stored(members)
     sizes = _sizes(members, "_group", VERIFY_CELL)
     found = roots(_verified(_first_cells(sets_of(members), sizes, "_group", VERIFY_CELL), radius))
     if sizes.isEmpty():
         return found
-    named = cut(_with_component(members.join(sizes.drop("_n"), "_group", "left_semi"), found))
+    named = stored(_with_component(members.join(sizes.drop("_n"), "_group", "left_semi"), found))
     plan = _rest_plan(named, "_group")
     if plan is None:
         return found
-    open_ = named.join(plan.select("_group"), "_group", "left_semi")
+    open_ = stored(named.join(plan.select("_group"), "_group", "left_semi"))
     again = sets_of(open_.select("node", "_group")).join(open_.select("node", "_group", "_comp"), ["node", "_group"])
     more = _verified(_rest_cells(again, plan, "_group", VERIFY_CELL), radius)
     return roots(more.unionByName(found.select(F.col("node").alias("a"), F.col("root").alias("b"))))
@@ -522,8 +526,8 @@ def exact_near_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "t
                 keys.append(x[: len(x) - math.ceil(similarity * len(x) - 1e-9) + 1])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64()))], ["node", "keys"])
 
-    members = nodes.where("not node.unnamed").select("node", F.lit(0).cast("long").alias("_group"))
-    sets = cut(shingle_sets(docs, members, id_column, text).drop("_group").dropDuplicates(["node"]))
+    members = stored(nodes.where("not node.unnamed").select("node", F.lit(0).cast("long").alias("_group")))
+    sets = stored(shingle_sets(docs, members, id_column, text).drop("_group").dropDuplicates(["node"]))
     keyed = sets.select("node", "shingles").mapInArrow(run, f"node {sets.schema['node'].dataType.simpleString()}, keys array<long>").select("node", F.explode("keys").alias("_group"))
     found = _confirmed(keyed, lambda some: some.join(sets, "node"), NEAR_BITS)
     return named_prints(prints, salted, nodes, found).select(F.col("_id").alias(id_column), "component_id")
@@ -539,10 +543,10 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     Rows with a null id form no group and stay.  Ids with other rows of another text link by any of their texts.
     """
     given = docs.where(F.col(id_column).isNotNull())
-    found = cut(near_groups(given, id_column))
+    found = stored(near_groups(given, id_column))
     # what does not simply stay: 1 goes, 2 is an id of several rows
     of_id = found.groupBy(id_column).agg(F.max(F.when(F.col("component_id") == F.col(id_column), 1).otherwise(0)).alias("_own"), F.count(F.lit(1)).alias("_n"))
-    marks = cut(of_id.where("_own = 0 or _n > 1").select(F.col(id_column).alias("_id"), F.when(F.col("_own") == 0, 1).otherwise(2).cast("long").alias("mark")))
+    marks = stored(of_id.where("_own = 0 or _n > 1").select(F.col(id_column).alias("_id"), F.when(F.col("_own") == 0, 1).otherwise(2).cast("long").alias("mark")))
     mark = unused(docs, "_mark")
     marked = _marked(docs, marks, id_column, mark)
     once = marked.where(F.col(mark) == 0).drop(mark)
@@ -561,7 +565,7 @@ def _marked(docs: DataFrame, marks: DataFrame, id_column: str, mark: str) -> Dat
     if not is_integer(docs, id_column):
         side = stored(marks).select(F.col("_id").alias(key := unused(docs, "_id")), F.col("mark").alias("_m" + mark))
         return docs.join(side, F.col(id_column) == F.col(key), "left").select(*docs.columns, F.coalesce("_m" + mark, F.lit(0).cast("long")).alias(mark))
-    folder, shards = new_folder(docs.sparkSession, "dropped-ids"), _shards(docs)
+    folder, shards = new_folder(docs.sparkSession, "dropped-ids"), shards_for(marks)
     write_table(marks.select(integer_key(marks, "_id").alias("key"), "mark"), folder, shards)
     key = F.when(F.col(id_column).isNotNull(), integer_key(docs, id_column))
     n, names = len(docs.columns), [*docs.columns, mark]

@@ -40,7 +40,6 @@ def copies(draw, base, n, most):
 def test_hot_key_groups_lose_no_link(spark, monkeypatch, seed):
     """One key holds two far clusters, a chain and stragglers, in many chunks."""
     monkeypatch.setattr(simhash, "CELL", 16)
-    monkeypatch.setattr(simhash, "PIVOTS", 4)
     draw = random.Random(seed)
     fps = [draw.choice((0, (1 << 40) - 1)) ^ sum(1 << b for b in draw.sample(range(40), draw.randrange(4))) for _ in range(150)]
     fps += [((1 << 4 * k) - 1) & ((1 << 40) - 1) | 0b1010 << 36 for k in range(9)] + [draw.getrandbits(40) for _ in range(40)]
@@ -60,7 +59,7 @@ def near_texts(seed):
 @pytest.mark.parametrize("small", [False, True])
 def test_near_groups(spark, monkeypatch, small):
     if small:
-        for name, value in {"CELL": 12, "VERIFY_CELL": 8, "PIVOTS": 3}.items():
+        for name, value in {"CELL": 12, "VERIFY_CELL": 8}.items():
             monkeypatch.setattr(simhash, name, value)
     texts = near_texts(5)
     sets = [decontamination.exact_shingles(t or "") for t in texts]

@@ -51,27 +51,52 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(ARROW_ROWS))
 
 
-def stored(df: DataFrame) -> DataFrame:
+def release() -> None:
+    """Gives freed memory back to the machine: a worker that waits for its next task holds no more than it needs."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: nothing to trim
+        pass
+
+
+def in_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow in small batches, whose workers give their memory back after each task."""
+
+    def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    small_batches(df.sparkSession)
+    return df.mapInArrow(trimmed, schema)
+
+
+def stored(df: DataFrame, run=None, schema=None) -> DataFrame:
     """The same rows as a table of the shared folder: later jobs neither recompute them nor depend on one executor.
 
+    With run and schema, the table is what in_arrow would make of df: written by the worker that makes it.
     The planner knows the table's size, broadcasts it only if small, and can split its hot keys.  Only tasks that have rows
     write, one file each under a name of its own that a task that runs again replaces: hundreds of empty parts of small
     tables would cost more than their rows.
     """
     spark = df.sparkSession
-    small_batches(spark)
-    folder = new_folder(spark, "table")
+    folder, made = new_folder(spark, "table"), run or iter
+    kind = df.schema if schema is None else spark.createDataFrame([], schema).schema
     system, place = file_system(folder)
     system.create_dir(place, recursive=True)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.parquet as pq
         from pyspark import TaskContext
 
         writer, (system, place) = None, file_system(folder)
         name = f"part-{TaskContext.get().partitionId():06}"
         aside = f"{place}/_{name}-{uuid.uuid4().hex}"
-        for batch in batches:
+        for batch in made(batches):
             if batch.num_rows:
                 if writer is None:
                     writer = pq.ParquetWriter(out := system.open_output_stream(aside), batch.schema, compression="snappy", use_dictionary=False, write_statistics=False)
@@ -82,8 +107,8 @@ def stored(df: DataFrame) -> DataFrame:
             replace_file(system, aside, f"{place}/{name}.parquet")
         yield from ()
 
-    df.mapInArrow(run, df.schema).write.format("noop").mode("overwrite").save()
-    return spark.read.schema(df.schema).parquet(folder)
+    in_arrow(df, write, kind).write.format("noop").mode("overwrite").save()
+    return spark.read.schema(kind).parquet(folder)
 
 
 def file_system(path: str):

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._common import in_arrow
 from .elias_fano import EliasFano, map_arrays, write_arrays
 
 _SIGN = np.uint64(1 << 63)
@@ -99,7 +100,7 @@ def _each_shard(ordered: DataFrame, made) -> None:
         if held:
             yield said()
 
-    ordered.mapInArrow(run, "n long").agg(F.sum("n")).collect()
+    ordered.transform(in_arrow, run, "n long").agg(F.sum("n")).collect()
 
 
 def open_shard(folder: str, shard: int) -> dict[str, np.ndarray] | None:

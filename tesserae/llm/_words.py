@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes handled at a time; a longer text takes its own size.
-GROUP_BYTES = 500_000
+GROUP_BYTES = 250_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 _U = np.uint64
 _powers: dict[str, np.ndarray] = {}

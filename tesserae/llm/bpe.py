@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._common import small_batches
+from ._common import in_arrow
 
 #: Characters given to the library at a time.
 GROUP_CHARS = 200_000
@@ -151,8 +151,7 @@ def _each_batch(df: DataFrame, schema: str, made) -> DataFrame:
         for batch in batches:
             yield from made(batch)
 
-    small_batches(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    return df.transform(in_arrow, run, schema)
 
 
 def encode(df: DataFrame, path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text", offsets: bool = False) -> DataFrame:

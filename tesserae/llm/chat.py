@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._common import in_arrow
+
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 #: What stands after the first character of each control string: ours, and those of other templates.
 _TAILS = r"\|[a-z_]{1,20}\|>|/?s>|</?SYS>>|/?INST\]"
@@ -168,7 +170,7 @@ def canonical_turns(records: DataFrame, column: str = "record", mappings: tuple[
             for a in range(0, len(rows), 10_000):
                 yield pa.RecordBatch.from_arrays([pa.array(list(x), f.type) for x, f in zip(zip(*rows[a : a + 10_000], strict=True), _TURNS, strict=True)], schema=_TURNS)
 
-    return records.select(column).mapInArrow(run, "conv_id long, turn long, role string, text string, layout string, fingerprint string, unmapped string")
+    return records.select(column).transform(in_arrow, run, "conv_id long, turn long, role string, text string, layout string, fingerprint string, unmapped string")
 
 
 def _folded(turns: DataFrame, schema: str, start, step, finish) -> DataFrame:
@@ -191,7 +193,7 @@ def _folded(turns: DataFrame, schema: str, start, step, finish) -> DataFrame:
         if state is not None:
             yield pack([finish(now, state)])
 
-    return ordered.select("conv_id", "role", "text").mapInArrow(run, schema)
+    return ordered.select("conv_id", "role", "text").transform(in_arrow, run, schema)
 
 
 def format_conversations(turns: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import new_folder, stored
+from ._common import in_arrow, new_folder, stored
 from ._id_table import open_shard, places, write_table, write_texts
 from ._words import each_group, shingle_hashes
 
@@ -81,7 +81,7 @@ class Benchmark:
                     found = sketch(said, size, threshold)
                     yield pa.RecordBatch.from_arrays([pa.array(hash_shard(found, shards)), pa.array(found.view(np.int64)), pa.array(np.full(len(found), number))], ["_shard", "key", "owner"])
 
-        write_table(numbered.select("_number", "_text").mapInArrow(run, "_shard int, key long, owner long"), self.sketches, shards, every=True)
+        write_table(numbered.select("_number", "_text").transform(in_arrow, run, "_shard int, key long, owner long"), self.sketches, shards, every=True)
         write_texts(numbered.select(F.col("_number").alias("key"), "_text"), self.texts, shards)
 
 
@@ -140,7 +140,7 @@ def find(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(t)), *(pa.array(x, pa.int64()) for x in made)], ["_doc", "_number", "shared", "shingles"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    found = docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("_text")).mapInArrow(run, f"_doc {kind}, _number long, shared long, shingles long")
+    found = docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("_text")).transform(in_arrow, run, f"_doc {kind}, _number long, shared long, shingles long")
     # items of one text come apart again
     each = found.join(benchmark.members, "_number")
     return each.select(F.col("_doc").alias(doc_id), F.col("_item").alias(item_id), "shared", "shingles", (F.col("shared") / F.col("shingles")).alias("containment"))
@@ -162,7 +162,7 @@ def remove(docs: DataFrame, items: DataFrame, item_id: str = "item_id", text: st
             leaks = {t for t, *_ in matcher.matches(batch.column(at))}
             yield batch.take(pa.array([k for k in range(batch.num_rows) if k not in leaks], pa.int64())) if leaks else batch
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(in_arrow, run, docs.schema)
 
 
 def report(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import new_folder, small_batches, stored, unused
+from ._common import in_arrow, new_folder, stored, unused
 from ._id_table import look_up_all, shard_of, shards_for, write_table
 from ._words import groups, text_buffers
 
@@ -90,7 +90,6 @@ class Model:
 
 def train(labelled: DataFrame, label: str = "lang", text: str = "text", id_column: str = "doc_id", most: int = TRAIN) -> Model:
     """From the texts of at most ``most`` ids of each label, for the LANGUAGES labels with the most ids."""
-    small_batches(labelled.sparkSession)
     ids = labelled.where(F.col(label).isNotNull() & F.col(id_column).isNotNull()).select(F.col(id_column).alias("_id"), F.col(label).alias("_label")).withColumn("_hash", F.xxhash64("_id"))
     # below this hash lie about four times as many ids of a label as are taken: so many go to a task, not all of them
     below = (F.lit(2.0**64 * 4 * most) / F.col("_n") - F.lit(2.0**63)).alias("_below")
@@ -116,7 +115,7 @@ def train(labelled: DataFrame, label: str = "lang", text: str = "text", id_colum
             some = np.flatnonzero(x)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(some)), pa.array(some), pa.array(x[some])], ["lang", "gram", "n"])
 
-    found = rows.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    found = rows.transform(in_arrow, run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     got = found.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("gram", "n"))).alias("grams")).orderBy("lang").collect()  # 2**16 counts a language at most
     counts = np.zeros((1 << _BITS, len(got)), np.float64)
     for k, row in enumerate(got):
@@ -158,7 +157,7 @@ def _suggest(rows: DataFrame, model: Model) -> DataFrame:
             best = names[np.argmax(model.likelihoods(batch.column(4)), axis=1)]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), pa.array(best.tolist(), pa.string())], ["host", "domain", "declared", "suffix", "guess"])
 
-    return rows.select("host", "domain", "declared", "suffix", "text").mapInArrow(run, "host string, domain string, declared string, suffix string, guess string")
+    return rows.select("host", "domain", "declared", "suffix", "text").transform(in_arrow, run, "host string, domain string, declared string, suffix string, guess string")
 
 
 class Evidence:
@@ -249,7 +248,7 @@ def identify(evidence: tuple[DataFrame, dict[str, str]], model: Model, confidenc
             new = [pa.array(names[best].tolist(), pa.string()), pa.array(sure), pa.array(names[np.argmax(said, axis=1)].tolist(), pa.string()), pa.array((best < len(langs)) & (sure >= confidence))]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(n)), *new], [*kept, *made])
 
-    return given.mapInArrow(run, out_schema)
+    return given.transform(in_arrow, run, out_schema)
 
 
 def document_evidence(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:

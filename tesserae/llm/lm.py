@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import new_folder, small_batches, text_or_empty
+from ._common import in_arrow, new_folder, text_or_empty
 from ._words import hashed_words, groups, mix, text_buffers
 from .elias_fano import EliasFano, map_arrays, write_arrays
 
@@ -199,7 +199,7 @@ def train_vocabulary(texts: DataFrame, folder: str, shards: int) -> Vocabulary:
         write_arrays(f"{folder}/words-{shard}", {**EliasFano.build(keys - _U(start), _range_start(shard + 1, shards) - start).arrays("words"), "counts": counts})
         return len(keys), int(counts.sum())
 
-    sizes = _reduced(texts.mapInArrow(count, _SCHEMA), build, shards)
+    sizes = _reduced(texts.transform(in_arrow, count, _SCHEMA), build, shards)
     rows = {r["shard"]: (r["n"], r["total"]) for r in sizes.collect()}  # a row for each shard
     ends = rows.pop(-1, (0, 0))[1]
     offsets = np.concatenate([[0], np.cumsum([rows.get(s, (0, 0))[0] for s in range(shards)])]).tolist()
@@ -231,7 +231,7 @@ def _reduced(pieces: DataFrame, build, shards: int) -> DataFrame:
         if held:
             yield done()
 
-    return pieces.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(run, "shard int, n long, total long")
+    return pieces.repartition(shards, "shard").sortWithinPartitions("shard").transform(in_arrow, run, "shard int, n long, total long")
 
 
 def _ngrams(numbers: np.ndarray, text: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -291,7 +291,7 @@ def train_trie(texts: DataFrame, vocabulary: Vocabulary, shards: int) -> None:
         write_arrays(f"{vocabulary.folder}/trie-{shard}", build_trie(pairs, keys[~own], lasts[~own], counts[~own], counts[own], vocabulary_counts(vocabulary, first.astype(np.int64))[back], vocabulary.size + 1))
         return len(pairs), int((~own).sum())
 
-    _reduced(texts.mapInArrow(count, _SCHEMA), build, shards).agg(F.sum("n"), F.sum("total")).collect()
+    _reduced(texts.transform(in_arrow, count, _SCHEMA), build, shards).agg(F.sum("n"), F.sum("total")).collect()
 
 
 def vocabulary_counts(vocabulary: Vocabulary, numbers: np.ndarray) -> np.ndarray:
@@ -365,7 +365,6 @@ def token_probabilities(vocabulary: Vocabulary, shards: int, numbers: np.ndarray
 def train(texts: DataFrame, column: str = "text") -> Vocabulary:
     """The model of these texts, in files of the shared folder."""
     spark = texts.sparkSession
-    small_batches(spark)
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     only = texts.select(text_or_empty(column).alias("text"))
     vocabulary = train_vocabulary(only, new_folder(spark, "language-model"), shards)
@@ -390,7 +389,7 @@ def scores(docs: DataFrame, vocabulary: Vocabulary, keep: list[str]) -> DataFram
                 made = np.diff(bounds), add((counts > 0).astype(np.int64)), np.full(b - a, vocabulary.tokens), add(np.log10(vocabulary.p1(counts))), add(np.log10(p))
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in range(len(keep))), *map(pa.array, made)], [*keep, "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.transform(in_arrow, run, schema)
 
 
 def document_scores(docs: DataFrame) -> DataFrame:

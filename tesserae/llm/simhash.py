@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import new_folder, small_batches, stored, unused
+from ._common import in_arrow, new_folder, stored, unused
 from ._id_table import integer_key, is_integer, look_up, look_up_all, shard_of, shards_for, write_table
 from ._words import each_group, mix, shingle_hashes
 from .components import roots
@@ -104,7 +104,7 @@ def fingerprints(docs: DataFrame, size: int, bits: int = 64, contract_hash: bool
                 made = [row.tobytes() for group in wide_bits(batch.column(1), size, bits) for row in group]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], [id_column, "fp"])
 
-    return docs.select(id_column, text).mapInArrow(run, f"{id_column} {docs.schema[id_column].dataType.simpleString()}, fp binary")
+    return docs.select(id_column, text).transform(in_arrow, run, f"{id_column} {docs.schema[id_column].dataType.simpleString()}, fp binary")
 
 
 def exact_keys(rows: int, radius: int, bits: int = 64) -> list[list[tuple[int, int]]]:
@@ -270,7 +270,7 @@ def _edges(cells: DataFrame, radius: int, bits: int) -> DataFrame:
             yield _linked(batch, forest(_bytes_of(batch.column(2), bits // 8), cell, radius, known))
 
     kind = cells.schema["node"].dataType.simpleString()
-    return _in_cells(cells.select("_cell", "node", "fp", "_known")).mapInArrow(run, f"a {kind}, b {kind}")
+    return _in_cells(cells.select("_cell", "node", "fp", "_known")).transform(in_arrow, run, f"a {kind}, b {kind}")
 
 
 def _in_cells(cells: DataFrame) -> DataFrame:
@@ -342,13 +342,14 @@ def with_keys(nodes: DataFrame, bits: int, keys: list[list[tuple[int, int]]]) ->
 
 
 def node_rows(prints: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(prints with a salt, the salted texts, nodes) of prints (_id, fp).
+    """(prints with a salt, the salted texts, nodes) of prints (_id, fp), or of a written table of them that has its salts.
 
     A text's copies, which may be many, are counted and named by (fp, _salt), so that they spread over tasks.  A node is
     the least id of a fingerprint and a tag of it, should the id have other texts; ids that are null come last.
     """
-    own = F.when(F.col("_id").isNull(), F.monotonically_increasing_id())
-    prints = stored(prints.withColumn("_salt", F.pmod(F.xxhash64("_id", own), F.lit(_shards(prints))).cast("int")))
+    if "_salt" not in prints.columns:
+        own = F.when(F.col("_id").isNull(), F.monotonically_increasing_id())
+        prints = stored(prints.withColumn("_salt", F.pmod(F.xxhash64("_id", own), F.lit(_shards(prints))).cast("int")))
     salted = stored(prints.groupBy("fp", "_salt").agg(F.min("_id").alias("_id")))
     least = salted.groupBy("fp").agg(F.min("_id").alias("_id"))
     return prints, salted, stored(least.select(F.struct(F.col("_id").isNull().alias("unnamed"), F.col("_id").alias("id"), F.xxhash64("fp").alias("tag")).alias("node"), "fp"))
@@ -399,19 +400,23 @@ def minimum_hashes(hashes: np.ndarray, of: np.ndarray, seed: int = 7) -> np.ndar
 
 
 def sketches(docs: DataFrame, id_column: str, text: str) -> DataFrame:
-    """(_id, fp binary): a fingerprint of NEAR_BITS, then the bands' keys."""
-    small_batches(docs.sparkSession)
+    """(_id, fp binary, _salt), written: a fingerprint of NEAR_BITS, then the bands' keys; the salts of a task's rows go round."""
+    salts = _shards(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        seen = TaskContext.get().partitionId()
         for batch in batches:
             made = []
-            for (a, b, _data, words, _s, _e, bounds), fps in zip(each_group(batch.column(1)), wide_bits(batch.column(1), NEAR_WORDS, NEAR_BITS), strict=True):
+            for (_a, _b, _data, words, _s, _e, bounds), fps in zip(each_group(batch.column(1)), wide_bits(batch.column(1), NEAR_WORDS, NEAR_BITS), strict=True):
                 bands = minimum_hashes(*shingle_hashes(words, bounds, NEAR_WORDS))
                 made += [row.tobytes() for row in np.concatenate([fps, bands], axis=1)]
-                del a, b
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["_id", "fp"])
+            salt = ((seen + np.arange(batch.num_rows)) % salts).astype(np.int32)
+            seen += batch.num_rows
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary()), pa.array(salt)], ["_id", "fp", "_salt"])
 
-    return docs.select(F.col(id_column).alias("_id"), F.col(text).alias("_text")).mapInArrow(run, f"_id {docs.schema[id_column].dataType.simpleString()}, fp binary")
+    return stored(docs.select(F.col(id_column).alias("_id"), F.col(text).alias("_text")), run, f"_id {docs.schema[id_column].dataType.simpleString()}, fp binary, _salt int")
 
 
 def _set_bytes(hashes: np.ndarray, of: np.ndarray) -> list[bytes]:
@@ -441,7 +446,7 @@ def shingle_sets(docs: DataFrame, members: DataFrame, id_column: str, text: str)
                 sets += _set_bytes(hashes, of)
             yield pa.RecordBatch.from_arrays([batch.column(2).filter(pa.array(there)), pa.array(tag[there]), pa.array(group[there]), pa.array(fps, pa.binary()), pa.array(sets, pa.binary())], ["_id", "tag", "_group", "fp", "shingles"])
 
-    found = docs.where(F.col(id_column).isNotNull()).select(shard_of(key, shards).alias("_shard"), key.alias("_key"), F.col(id_column).alias("_id"), F.col(text).alias("_text")).mapInArrow(run, f"_id {kind}, tag long, _group long, fp binary, shingles binary")
+    found = docs.where(F.col(id_column).isNotNull()).select(shard_of(key, shards).alias("_shard"), key.alias("_key"), F.col(id_column).alias("_id"), F.col(text).alias("_text")).transform(in_arrow, run, f"_id {kind}, tag long, _group long, fp binary, shingles binary")
     # an id's other texts have another tag
     return found.where(F.xxhash64("fp") == F.col("tag")).select(F.struct(F.lit(False).alias("unnamed"), F.col("_id").alias("id"), "tag").alias("node"), "_group", "fp", "shingles")
 
@@ -479,7 +484,7 @@ def _verified(cells: DataFrame, radius: int) -> DataFrame:
                 yield _linked(part, verified_forest(_bytes_of(part.column(2), NEAR_BITS // 8), sets, radius, NEAR_SIMILARITY, known))
 
     kind = cells.schema["node"].dataType.simpleString()
-    return _in_cells(cells.select("_cell", "node", "fp", "_known", "shingles")).mapInArrow(run, f"a {kind}, b {kind}")
+    return _in_cells(cells.select("_cell", "node", "fp", "_known", "shingles")).transform(in_arrow, run, f"a {kind}, b {kind}")
 
 
 def _confirmed(members: DataFrame, sets_of, radius: int) -> DataFrame:
@@ -528,7 +533,7 @@ def exact_near_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "t
 
     members = stored(nodes.where("not node.unnamed").select("node", F.lit(0).cast("long").alias("_group")))
     sets = stored(shingle_sets(docs, members, id_column, text).drop("_group").dropDuplicates(["node"]))
-    keyed = sets.select("node", "shingles").mapInArrow(run, f"node {sets.schema['node'].dataType.simpleString()}, keys array<long>").select("node", F.explode("keys").alias("_group"))
+    keyed = sets.select("node", "shingles").transform(in_arrow, run, f"node {sets.schema['node'].dataType.simpleString()}, keys array<long>").select("node", F.explode("keys").alias("_group"))
     found = _confirmed(keyed, lambda some: some.join(sets, "node"), NEAR_BITS)
     return named_prints(prints, salted, nodes, found).select(F.col("_id").alias(id_column), "component_id")
 
@@ -579,4 +584,4 @@ def _marked(docs: DataFrame, marks: DataFrame, id_column: str, mark: str) -> Dat
             found[given] = look_up(folder, shard, keys, "mark")[1]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(n)), pa.array(found)], names)
 
-    return docs.select("*", shard_of(key, shards).alias(unused(docs, "_shard")), key.alias(unused(docs, "_key"))).mapInArrow(run, schema)
+    return docs.select("*", shard_of(key, shards).alias(unused(docs, "_shard")), key.alias(unused(docs, "_key"))).transform(in_arrow, run, schema)

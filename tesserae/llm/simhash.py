@@ -45,8 +45,8 @@ from ._id_table import integer_key, is_integer, look_up, look_up_all, shard_of,
 from ._words import each_group, mix, shingle_hashes
 from .components import roots
 
-#: Rows of a chunk of a large key group.
-CELL = 4096
+#: Rows of a chunk of a large key group. Blocks of exact keys are so many that groups of evenly spread bits hold GROUP rows at most.
+CELL, GROUP = 1024, 4096
 #: Rows that a task compares at a time: whole cells.
 BUFFER = 65_536
 
@@ -110,12 +110,12 @@ def fingerprints(docs: DataFrame, size: int, bits: int = 64, contract_hash: bool
 def exact_keys(rows: int, radius: int, bits: int = 64) -> list[list[tuple[int, int]]]:
     """Keys as lists of (first bit, number of bits): a pair within the radius shares one of them.
 
-    The number of blocks is the least whose key groups hold 4096 rows at most when bits are even.
+    The number of blocks is the least whose key groups hold GROUP rows at most when bits are even.
     """
     for blocks in range(radius + 1, radius + 6):
         cuts = [round(bits * k / blocks) for k in range(blocks + 1)]
         parts = [(cuts[k], cuts[k + 1] - cuts[k]) for k in range(blocks)]
-        if rows <= CELL * 2 ** (bits * (blocks - radius) / blocks):
+        if rows <= GROUP * 2 ** (bits * (blocks - radius) / blocks):
             break
     return [list(x) for x in itertools.combinations(parts, blocks - radius)]
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import analytics, search
+from .plans import analytics, index, search
 
-_ALL = {**search.QUERIES, **analytics.QUERIES}
+_ALL = {**search.QUERIES, **analytics.QUERIES, **index.QUERIES}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,6 +34,7 @@ class EliasFano:
 
     def __init__(self, n: int, bits: int, low: np.ndarray, high: np.ndarray, zeros: np.ndarray):
         self.n, self.bits, self.low, self.high, self.zeros = n, bits, low, high, zeros
+        self._ones_before: np.ndarray | None = None
 
     @classmethod
     def build(cls, values: np.ndarray, universe: int) -> EliasFano:
@@ -90,16 +91,62 @@ class EliasFano:
         value |= np.where(off > 0, self.low[word + 1] << ((_U(64) - off) & _U(63)), _U(0))
         return value & _U((1 << self.bits) - 1)
 
+    def select1(self, k: np.ndarray) -> np.ndarray:
+        """The place of the one number k, from 0: that of value number k."""
+        block = np.searchsorted(self._ones(), k, side="right") - 1
+        rest = k - self._ones()[block]
+        word = block * _BLOCK
+        for _ in range(_BLOCK - 1):
+            there = np.bitwise_count(self.high[word]).astype(np.int64)
+            on = rest >= there
+            if not on.any():
+                break
+            rest -= np.where(on, there, 0)
+            word += on
+        bits, place = self.high[word].copy(), word * 64
+        for width in (32, 16, 8, 4, 2, 1):
+            there = np.bitwise_count(bits & _U((1 << width) - 1)).astype(np.int64)
+            on = rest >= there
+            rest -= np.where(on, there, 0)
+            bits = np.where(on, bits >> _U(width), bits)
+            place += np.where(on, width, 0)
+        return place
+
+    def _ones(self) -> np.ndarray:
+        if self._ones_before is None:
+            self._ones_before = np.arange(len(self.zeros)) * (64 * _BLOCK) - self.zeros
+        return self._ones_before
+
+    def access(self, i: np.ndarray) -> np.ndarray:
+        """The values number i."""
+        if not len(i):
+            return np.zeros(0, _U)
+        return ((self.select1(i) - i).astype(_U) << _U(self.bits)) | self.low_bits(i)
+
     def successor(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(how many values lie below x, whether x itself is there) for each x below the universe."""
         if not self.n or not len(x):
             return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
+        return self._sought(x, np.zeros(len(x), np.int64), np.full(len(x), self.n))
+
+    def successor_in(self, x: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the place of the first value not under x, whether it is x) among the values from first to before last, for each x of any size."""
+        if not self.n or not len(x):
+            return first.copy(), np.zeros(len(x), bool)
+        inside = x <= self.access(last - 1)
+        at, there = last.copy(), np.zeros(len(x), bool)
+        at[inside], there[inside] = self._sought(x[inside], first[inside], last[inside])
+        return at, there
+
+    def _sought(self, x: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         high = (x >> _U(self.bits)).astype(np.int64)
         low = x & _U((1 << self.bits) - 1)
         before = np.where(high > 0, self.select0(np.maximum(high - 1, 0)), -1)
-        begin, end = before - (high - 1), self._next_zero(before, high) - high
+        # the values with these high bits, two on average, as far as they lie in the range
+        end = np.clip(self._next_zero(before, high) - high, first, last)
+        begin = np.clip(before - (high - 1), first, last)
         top = end.copy()
-        while (open_ := begin < end).any():  # the values with these high bits: two on average
+        while (open_ := begin < end).any():
             middle = (begin + end) >> 1
             less = open_ & (self.low_bits(np.minimum(middle, self.n - 1)) < low)
             begin, end = np.where(less, middle + 1, begin), np.where(open_ & ~less, middle, end)

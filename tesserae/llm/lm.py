@@ -3,12 +3,14 @@
 Training counts words, pairs and triples of the training texts.  Level 1 holds
 the hashes of all words, in shards by ranges of the hash, so that a word's rank
 is its number; with them their counts.  Pairs and triples lie in shards by a hash
-of their first two words: each shard is a trie with its own list of first words,
-pointers from each node to its successors, and the successors' numbers relative
-to the context (context number times the size of the vocabulary, plus the
-word), all Elias-Fano sequences; so a word is sought among its context's
-successors alone.  Each node keeps the interpolated share of its n-gram, quantised
-to 16 bits of its logarithm.
+of their first two words.  Each shard is a trie: its own list of first words, and for
+each level the pointers from each node to its successors and the successors' words,
+all Elias-Fano sequences.  Words are kept relative to their context: to each the last
+value of the context before is added, which makes the level one monotone sequence.  A
+word is sought among its context's successors alone: the pointers give their range, the
+value before the range gives the base, and a successor search of base + word goes over
+that range.  Each node keeps the interpolated share of its n-gram, quantised to 16 bits
+of its logarithm.
 
     p1(w) = (c(w) + 0.5) / (N + 0.5 (V + 1))
     pn(w | context) = (1 - share_n) p(n-1) + share_n c(context w) / c(context), for a context seen in training
@@ -17,7 +19,8 @@ to 16 bits of its logarithm.
 A hot word's successors spread over all shards.  Levels are files in the shared
 folder, mapped into memory by the scoring tasks: the model is neither broadcast
 nor held by the driver, which learns the shards' sizes alone.  Shards are as many
-as the session's shuffle partitions.  A word is known by a 64-bit hash.
+as the session's shuffle partitions, or more where the texts' files ask for it, so that the task that
+builds one gets no more at any size.  A word is known by a 64-bit hash.
 
 A text's tokens are its words, A-Z as a-z, then one end; a null or empty text is
 an end alone.  Rows without a doc_id are held out as well as scored.  Repeated rows
@@ -39,6 +42,8 @@ from .elias_fano import EliasFano, map_arrays, write_arrays
 
 _U = np.uint64
 ORDER = 3
+#: Bytes of the texts' files for each shard at most: what the task that builds it gets is about twice that.
+SHARD_BYTES = 256_000_000
 #: What the longer context has in the mixture, for pairs and for triples.
 SHARES = {2: 0.6, 3: 0.5}
 #: log10 of a share from 0 down to this, in 16 bits.
@@ -257,18 +262,39 @@ def build_trie(pairs: np.ndarray, triples: np.ndarray, lasts: np.ndarray, counts
     """The arrays of a shard. pairs: sorted distinct, with counts of the pairs and of their first words; triples: the pair of each, sorted."""
     first, second = (pairs >> _U(32)).astype(np.int64), (pairs & _U(2**32 - 1)).astype(np.int64)
     roots, begin = np.unique(first, return_index=True)
-    of = np.searchsorted(roots, first)
     out = EliasFano.build(roots.astype(_U), size).arrays("roots")
-    out |= EliasFano.build(np.append(begin, len(pairs)).astype(_U), len(pairs) + 1).arrays("pointers2")
-    out |= EliasFano.build(of.astype(_U) * _U(size) + second.astype(_U), max(1, len(roots)) * size).arrays("words2")
+    out |= _level("2", np.append(begin, len(pairs)), second)
     out["shares2"] = quantise(SHARES[2] * pair_counts / first_counts)
     node = np.searchsorted(pairs, triples)
-    out |= EliasFano.build(np.searchsorted(node, np.arange(len(pairs) + 1)).astype(_U), len(node) + 1).arrays("pointers3")
-    out |= EliasFano.build(node.astype(_U) * _U(size) + lasts.astype(_U), max(1, len(pairs)) * size).arrays("words3")
+    out |= _level("3", np.searchsorted(node, np.arange(len(pairs) + 1)), lasts)
     out["shares3"] = quantise(SHARES[3] * counts / pair_counts[node]) if len(node) else np.zeros(0, np.uint16)
     return out
 
 
+def _level(name: str, bounds: np.ndarray, words: np.ndarray) -> dict[str, np.ndarray]:
+    """Pointers to each context's words, and the words, each raised by the last value of the context before. bounds: where contexts begin, and the end."""
+    some = np.flatnonzero(np.diff(bounds))
+    last = np.zeros(len(bounds) - 1, np.int64)
+    last[some] = words[bounds[some + 1] - 1]
+    base = np.cumsum(last) - last
+    values = (words + np.repeat(base, np.diff(bounds))).astype(_U)
+    return EliasFano.build(bounds.astype(_U), len(words) + 1).arrays(f"pointers{name}") | EliasFano.build(values, int(values[-1]) + 1 if len(values) else 1).arrays(f"words{name}")
+
+
+def successors(level: dict[str, np.ndarray], name: str, contexts: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place in the level, whether it is there) of each word among its context's successors. contexts: sorted."""
+    distinct, of = np.unique(contexts, return_inverse=True)
+    pointers, level_words = EliasFano.of(level, f"pointers{name}"), EliasFano.of(level, f"words{name}")
+    begin, end = (pointers.access(distinct + k).astype(np.int64) for k in (0, 1))
+    base = np.zeros(len(distinct), _U)
+    base[begin > 0] = level_words.access(begin[begin > 0] - 1)
+    any_ = (begin < end)[of]
+    at, there = np.zeros(len(contexts), np.int64), np.zeros(len(contexts), bool)
+    of = of[any_]
+    at[any_], there[any_] = level_words.successor_in(base[of] + words[any_].astype(_U), begin[of], end[of])
+    return at, there
+
+
 def train_trie(texts: DataFrame, vocabulary: Vocabulary, shards: int) -> None:
     """Writes the shards of pairs and triples."""
     none = 2**32 - 1  # the last word of a pair's own row
@@ -335,11 +361,13 @@ def token_probabilities(vocabulary: Vocabulary, shards: int, numbers: np.ndarray
         level = _known_shards(vocabulary.folder, int(s))
         if level is None:
             continue
-        mine = order[cuts[s] : cuts[s + 1]]
+        mine = order[cuts[s] : cuts[s + 1]]  # sorted, since the distinct pairs are and the order is stable
         pair = distinct[mine]
-        root, there = EliasFano.of(level, "roots").successor(pair >> _U(32))
+        first, of_first = np.unique(pair >> _U(32), return_inverse=True)
+        root, there = EliasFano.of(level, "roots").successor(first)
+        root, there = root[of_first], there[of_first]
         mine, pair, root = mine[there], pair[there], root[there]
-        at, there = EliasFano.of(level, "words2").successor(root.astype(_U) * size + (pair & _U(2**32 - 1)))
+        at, there = successors(level, "2", root, pair & _U(2**32 - 1))
         mine, at = mine[there], at[there]
         share2[mine], node[mine] = restore(level["shares2"][at]), at
         ask = third[cuts3[s] : cuts3[s + 1]]
@@ -347,7 +375,7 @@ def token_probabilities(vocabulary: Vocabulary, shards: int, numbers: np.ndarray
         if len(ask):
             want = node[of_triple[ask]].astype(_U) * size + last[ask].astype(_U)
             values, again = np.unique(want, return_inverse=True)
-            at, there = EliasFano.of(level, "words3").successor(values)
+            at, there = successors(level, "3", (values // size).astype(np.int64), values % size)
             share = np.zeros(len(values))
             share[there] = restore(level["shares3"][at[there]])
             share3[ask] = share[again]
@@ -365,7 +393,7 @@ def token_probabilities(vocabulary: Vocabulary, shards: int, numbers: np.ndarray
 def train(texts: DataFrame, column: str = "text") -> Vocabulary:
     """The model of these texts, in files of the shared folder."""
     spark = texts.sparkSession
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + int(str(texts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // SHARD_BYTES)
     only = texts.select(text_or_empty(column).alias("text"))
     vocabulary = train_vocabulary(only, new_folder(spark, "language-model"), shards)
     if vocabulary.size >= 2**32 - 2:

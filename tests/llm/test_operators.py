@@ -11,7 +11,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tesserae.llm import _words, bpe, chat, components, decontamination, hamming, language, licenses, lm, secrets, sharding, simhash
+from tesserae.llm import _words, bpe, chat, components, decontamination, elias_fano, hamming, language, licenses, lm, secrets, sharding, simhash
 from tesserae.llm.elias_fano import EliasFano
 from tesserae.llm.trigrams import trigram_query
 
@@ -320,3 +320,20 @@ def test_training_sample_is_that_of_the_lowest_hashes(spark):
     expected = language.train(df.where(F.col("doc_id").isin(*chosen)))
     found = language.train(df, most=20)
     assert found.languages == expected.languages == ["xx", "yy"] and (found.table == expected.table).all()
+
+
+def test_elias_fano_ranges():
+    """Access and search inside ranges, against plain arrays; values may repeat."""
+    draw = np.random.default_rng(8)
+    for n, universe in ((1, 5), (700, 300), (5000, 10**7)):
+        values = np.sort(draw.integers(0, universe, n)).astype(np.uint64)
+        made = elias_fano.EliasFano.build(values, universe)
+        assert (made.access(np.arange(n)) == values).all()
+        first = draw.integers(0, n, 400)
+        last = np.minimum(n, first + draw.integers(1, 60, 400))
+        x = np.where(draw.random(400) < 0.5, values[first], draw.integers(0, universe + 50, 400).astype(np.uint64))
+        at, there = made.successor_in(x, first, last)
+        for k in range(400):
+            part = values[first[k] : last[k]]
+            place = int(np.searchsorted(part, x[k]))
+            assert at[k] == first[k] + place and there[k] == (place < len(part) and part[place] == x[k])

@@ -2,6 +2,7 @@
 
 import itertools
 import json
+import inspect
 import random
 import re
 
@@ -174,10 +175,10 @@ def test_shards_are_a_shuffle(spark):
     rows = spark.range(3000).withColumnRenamed("id", "doc_id")
     from pyspark.sql import functions as F
 
-    got = sharding.shuffle_into_shards(rows, 3, [F.col("doc_id")], 1).collect()
+    got = sharding.shuffle_into_shards(rows, 3, 1).collect()
     low = [r["shard"] for r in got if r["doc_id"] < 1500]
     assert all(420 < low.count(s) < 580 for s in range(3))
-    assert {r["doc_id"]: r["shard"] for r in got} != {r["doc_id"]: r["shard"] for r in sharding.shuffle_into_shards(rows, 3, [F.col("doc_id")], 2).collect()}
+    assert {r["doc_id"]: r["shard"] for r in got} != {r["doc_id"]: r["shard"] for r in sharding.shuffle_into_shards(rows, 3, 2).collect()}
 
 
 def test_bpe_offsets_and_decoding(spark):
@@ -337,3 +338,28 @@ def test_elias_fano_ranges():
             part = values[first[k] : last[k]]
             place = int(np.searchsorted(part, x[k]))
             assert at[k] == first[k] + place and there[k] == (place < len(part) and part[place] == x[k])
+
+
+def test_large_draws_follow_the_law(monkeypatch):
+    """The sampler for counts over the library's limit, forced on small counts, against the exact probabilities."""
+    from math import comb
+
+    source = inspect.getsource(sharding._hypergeometric).replace("limit = 999_999_999", "limit = 0")
+    made: dict = dict(vars(sharding))
+    exec(source, made)  # noqa: S102
+    random_ = np.random.default_rng(6)
+    good, bad, taken, n = 9, 14, 8, 3000
+    seen = np.bincount([made["_hypergeometric"](random_, good, bad, taken) for _ in range(n)], minlength=taken + 1)
+    law = np.array([comb(good, k) * comb(bad, taken - k) for k in range(taken + 1)]) / comb(good + bad, taken)
+    assert (np.abs(seen / n - law) < 4 * np.sqrt(law * (1 - law) / n) + 1e-3).all()
+
+
+def test_sharding_of_equal_rows_and_clashing_columns(spark):
+    """Rows that are all equal are dealt evenly over tasks and slots; the input's own columns come back."""
+    rows = spark.createDataFrame([(7, "x", 1, "s")] * 500, "doc_id long, _row string, _part int, shard string")
+    out = sharding.shuffle_into_shards(rows, 4, 3)
+    assert out.columns == ["doc_id", "_row", "_part", "shard", "slot"]
+    by = {}
+    for r in out.collect():
+        by.setdefault(r["shard"], []).append(r["slot"])
+    assert {k: sorted(v) for k, v in by.items()} == {k: list(range(125)) for k in range(4)}

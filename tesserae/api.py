@@ -16,6 +16,7 @@ from .config import Config
 from .functions import text
 from .operators import budget, resolve, search
 from .render import RENDERERS
+from .sources.files import tree_stamp
 from .sources.generations import Generations
 
 PROTOCOL = 1
@@ -56,6 +57,18 @@ class Engine:
 
     def __init__(self, spark: SparkSession, folder: str, config: Config | None = None):
         self.spark, self.config, self.store, self.root = spark, config or Config(), Generations(spark, folder), None
+        self.stamp: str | None = None
+
+    def heal(self) -> bool:
+        """Brings the index up to the tree if files were written, added or removed since the last look. Without a root or an index there is nothing to do."""
+        if not self.root or not self.store.has("files"):
+            return False
+        now = tree_stamp(self.root, self.config["general.exclude"])
+        if now == self.stamp:
+            return False
+        indexer.update(self.spark, self.root, self.store, self.config)
+        self.stamp = now
+        return True
 
     def table(self, name: str) -> DataFrame:
         if not self.store.has(name):
@@ -64,13 +77,15 @@ class Engine:
 
     def prepare_repository(self, root: str) -> dict:
         self.root = _text(root, "root")
-        self.store = indexer.build(self.spark, self.root, str(self.store.folder), self.config)
+        self.stamp = tree_stamp(self.root, self.config["general.exclude"])
+        self.store = indexer.build(self.spark, self.root, self.store.folder, self.config)
         return {"files": self.table("files").count(), "symbols": self.table("symbols").count(), "generation": self.store.state()["generation"]}
 
     def update_repository(self, root: str | None = None) -> dict:
         self.root = root or self.root
         if not self.root:
             raise NotPrepared("prepare_repository comes first")
+        self.stamp = tree_stamp(self.root, self.config["general.exclude"])
         counts = indexer.update(self.spark, self.root, self.store, self.config)
         return {"files_reparsed": counts.get("new", 0) + counts.get("changed", 0), "files_skipped": counts.get("unchanged", 0), "files_removed": counts.get("removed", 0), "generation": self.store.state()["generation"]}
 
@@ -168,6 +183,8 @@ class Engine:
                 return self._said(request, began, error=("unsupported_protocol", f"this is protocol {PROTOCOL}"))
             if op not in OPS:
                 return self._said(request, began, error=("unsupported_op", f"no such operation: {op}"))
+            if op not in ("prepare_repository", "update_repository", "shutdown"):
+                self.heal()
             return self._said(request, began, result=getattr(self, op)(**request.get("args", {})))
         except (json.JSONDecodeError, BadRequest, TypeError) as error:
             return self._said(request if isinstance(request, dict) else {}, began, error=("invalid_request", str(error)))
@@ -223,7 +240,7 @@ def main(arguments: list[str] | None = None) -> None:
         return
     calls = {"sync": lambda: engine.prepare_repository(asked.root), "update": engine.update_repository, "stats": engine.get_stats, "search": lambda: engine.search(asked.subject), "context": lambda: engine.get_context(asked.subject), "symbol": lambda: engine.get_symbol(asked.subject), "references": lambda: engine.get_references(asked.subject), "tests": lambda: engine.get_tests(asked.subject), "docs": lambda: engine.get_docs(asked.subject), "dependencies": lambda: engine.get_dependencies(asked.subject), "render": lambda: file_view(engine, asked.subject)}
     if asked.verb not in ("sync", "update", "stats") and engine.store.has("files") and Path(asked.root).exists():
-        engine.update_repository(asked.root)  # the index heals before it answers
+        engine.heal()
     print(RENDERERS[asked.format](calls[asked.verb]()))
 
 

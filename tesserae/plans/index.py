@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import json
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import extract as extraction
 from .. import indexer
+from ..api import Engine
 from ..config import Config
 from ..functions import globs, text
 from ..operators import resolve, search
 from ..sources import files as sources
 from . import tree
+from .tables import read
 from .tree import FILES, rows_sql, sql_text, union_sql
 
 
@@ -225,8 +231,94 @@ scored AS (SELECT doc_kind, doc_id, path, ({" + ".join(_IDF.format(k=k) for k in
 SELECT doc_kind, doc_id, path, round(score, 6) AS score FROM scored ORDER BY round(score, 9) DESC, path, doc_kind, doc_id LIMIT 100
 """
 
+# the built index: updates and operations
+
+def _scratch(spark: SparkSession) -> str:
+    """A fresh folder below the one that all executors share; a session in one process without such a folder takes a temporary one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="index-")
+    return f"{shared.rstrip('/')}/index-{uuid.uuid4().hex}"
+
+
+_CHANGED, _BLANK, _REMOVED, _ADDED = "p_partkey % 50 = 3", "p_partkey % 50 = 7", "p_partkey % 70 = 5", "p_partkey % 90 = 11"
+
+
+def _edited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tree after an edit: some modules have another limit, some an empty line more, some are gone, some are new."""
+    _, _, path, template, fields = FILES["module"]
+    grown = {**fields, "size": ("cast(p_size + 1 as string)", "")}
+    text_of = lambda f: tree.spark_text(template, f)
+    parts = read(spark, sf_dir, "part")
+    content = F.when(F.expr(_CHANGED), text_of(grown)).when(F.expr(_BLANK), F.concat(text_of(fields), F.lit("\n\n"))).otherwise(text_of(fields)).cast("binary")
+    modules = parts.where(f"NOT ({_REMOVED})").select(tree.spark_text(path, fields).alias("path"), content.alias("content"))
+    added = parts.where(_ADDED).select(tree.spark_text("src/more/extra_{k}.py", fields).alias("path"), tree.spark_text("def check_{k}(value):\n    return value\n", fields).cast("binary").alias("content"))
+    return modules.unionByName(added).withColumn("byte_size", F.octet_length("content").cast("long")).unionByName(tree.files(spark, sf_dir, ("test",)))
+
+
+def index_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an update did, and how many rows then differ from a clean build: none."""
+    store = indexer.build(spark, tree.files(spark, sf_dir, ("module", "test")), _scratch(spark))
+    after = _edited(spark, sf_dir)
+    generation = store.state()["generation"]
+    counts = indexer.update(spark, after, store)
+    counts["commits"] = store.state()["generation"] - generation
+    counts |= {f"{name}_differ": len(rows) for name, rows in indexer.verify(spark, after, store).items()}
+    return spark.createDataFrame(sorted(counts.items()), "what string, n long")
+
+
+INDEX_UPDATE = f"""
+WITH m AS (SELECT p_partkey, ({_REMOVED}) AS gone, NOT ({_REMOVED}) AND ({_CHANGED} OR {_BLANK}) AS edited, ({_ADDED}) AS added FROM part),
+t AS (SELECT p_partkey, gone, added FROM m WHERE p_partkey % 10 = 0),
+-- a module that imports one that went or came, unless it went or was edited itself; a test of one that went or got a double
+near AS (SELECT n.p_partkey FROM m JOIN m n ON n.p_partkey = m.p_partkey + 1 WHERE m.gone AND NOT n.gone AND NOT n.edited)
+SELECT 'changed' AS what, count(*) FILTER (edited)::BIGINT AS n FROM m UNION ALL SELECT 'removed', count(*) FILTER (gone) FROM m UNION ALL SELECT 'new', count(*) FILTER (added) FROM m
+UNION ALL SELECT 'unchanged', (SELECT count(*) FILTER (NOT edited AND NOT gone) FROM m) + (SELECT count(*) FROM t)
+UNION ALL SELECT 'same_structure', count(*) FILTER (edited AND {_BLANK}) FROM m
+UNION ALL SELECT 'resolved_again', (SELECT count(*) FROM near) + (SELECT count(*) FILTER (gone OR added) FROM t)
+UNION ALL SELECT 'commits', 1 UNION ALL SELECT 'symbols_differ', 0 UNION ALL SELECT 'facts_differ', 0 UNION ALL SELECT 'relationships_differ', 0
+"""
+
+
+def index_protocol(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The operations of the protocol, asked line by line: whether each was answered, how much came and what came first."""
+    engine = Engine(spark, _scratch(spark))
+    engine.store = indexer.build(spark, tree.files(spark, sf_dir), engine.store.folder)
+    asked = [
+        ("get_symbol", {"symbol": "part7.MAKE_7"}), ("get_dependencies", {"path": "src/stock/part_11.py"}), ("get_references", {"symbol": "make_6"}), ("get_tests", {"symbol": "check_11"}), ("get_docs", {"query": "deliver supplier 3 terms", "limit": 1}),
+        ("get_context", {"symbol": "Part7.make_7"}), ("search", {"query": "make_7", "limit": 5}), ("get_stats", {}), ("get_symbol", {"symbol": " "}), ("search", {"query": "part", "limit": 0}), ("nothing", {}), ("shutdown", {}),
+    ]
+    rows = []
+    for k, (op, args) in enumerate(asked):
+        said = json.loads(engine.handle(json.dumps({"id": k, "op": op, "args": args})))
+        found = said.get("result") or {}
+        lists = [v for v in found.values() if isinstance(v, list)]
+        first = next((x for v in lists for x in v), None)
+        first = found.get("symbol") if op == "get_context" else str(found.get("files")) if op == "get_stats" else said["error"]["code"] if "error" in said else first.get("path") or first.get("symbol") if isinstance(first, dict) else first
+        rows.append((k, op, said["ok"], sum(map(len, lists)) if op != "search" or not lists else min(1, len(lists[0])), first))
+    return spark.createDataFrame(rows, "id long, op string, ok boolean, n long, first string")
+
+
+INDEX_PROTOCOL = f"""
+WITH edges AS ({RELATIONSHIPS_SQL}), symbols AS ({SYMBOLS_SQL}), facts AS ({FACTS_SQL}), imports AS ({IMPORTS_SQL}),
+named AS (SELECT stable_key FROM symbols WHERE qualified_name = 'Part7.make_7')
+SELECT 0::BIGINT AS id, 'get_symbol' AS op, true AS ok, count(*)::BIGINT AS n, min(path) AS first FROM symbols WHERE qualified_name = 'Part7.make_7'
+UNION ALL SELECT 1, 'get_dependencies', true, (SELECT count(DISTINCT resolved_module) FROM imports WHERE path = 'src/stock/part_11.py') + (SELECT count(DISTINCT path) FROM imports WHERE target_path = 'src/stock/part_11.py'), (SELECT min(path) FROM imports WHERE target_path = 'src/stock/part_11.py')
+UNION ALL SELECT 2, 'get_references', true, count(*), min(path) FROM edges WHERE target LIKE '%.make_6(size)' AND kind = 'CALLS'
+UNION ALL SELECT 3, 'get_tests', true, count(*), min(path) FROM edges WHERE target LIKE '%:check_11(value,depth)' AND kind = 'TESTS'
+UNION ALL SELECT 4, 'get_docs', true, 1, 'docs/supplier_0.md'
+UNION ALL SELECT 5, 'get_context', true, (SELECT count(DISTINCT (kind, value)) FROM facts WHERE symbol_key IN (SELECT stable_key FROM named)), 'Part7.make_7'
+UNION ALL SELECT 6, 'search', true, 1, 'src/stock/part_7.py'
+UNION ALL SELECT 7, 'get_stats', true, 0, (SELECT count(DISTINCT path) FROM symbols)::VARCHAR
+UNION ALL SELECT 8, 'get_symbol', false, 0, 'invalid_request' UNION ALL SELECT 9, 'search', false, 0, 'invalid_request' UNION ALL SELECT 10, 'nothing', false, 0, 'unsupported_op' UNION ALL SELECT 11, 'shutdown', true, 0, NULL
+"""
+
+
 QUERIES = {
     "tree_files": (tree_files, TREE_FILES), "tree_ignored": (tree_ignored, TREE_IGNORED), "tree_grep": (tree_grep, TREE_GREP), "index_symbols": (index_symbols, SYMBOLS_SQL), "index_facts": (index_facts, FACTS_SQL), "index_references": (index_references, REFS_SQL),
     "index_imports": (index_imports, IMPORTS_SQL), "index_relationships": (index_relationships, f"{_RELATIONSHIPS} SELECT {', '.join(EDGE)} FROM edges"), "index_tests_of": (index_tests_of, TESTS_OF),
     "index_tier_rates": (index_tier_rates, f"{_RELATIONSHIPS} SELECT tier, count(*)::BIGINT AS n, round(count(*) / sum(count(*)) OVER (), 6) AS rate FROM edges GROUP BY tier"), "index_lookup": (index_lookup, LOOKUP), "index_documents": (index_documents, DOCUMENTS_SQL), "index_search": (index_search, SEARCH_SQL),
+    "index_update": (index_update, INDEX_UPDATE), "index_protocol": (index_protocol, INDEX_PROTOCOL),
 }

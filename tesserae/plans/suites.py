@@ -1,0 +1,171 @@
+"""Tasks made of suppliers, responses of parts and documents: validation, gold, reduction, gates, profiles, leaks."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import grading, joins, tasks
+from ..functions import redaction, text
+from ..sources.suites import TASK
+from .tables import read
+
+_LIST = lambda names: "array(" + ", ".join(f"'{x}'" for x in names) + ")"
+
+
+def _tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A task for each supplier, broken here and there."""
+    k = "s_suppkey"
+    made = {
+        "id": f"CASE WHEN {k} % 41 = 40 THEN '' ELSE concat('t', {k} - CASE WHEN {k} % 37 = 36 THEN 1 ELSE 0 END) END", "stem": f"concat('t', {k} - CASE WHEN {k} % 37 = 36 THEN 1 ELSE 0 END)", "version": "1",
+        "repository": f"concat('r', {k} % 4)", "commit": f"concat('c', {k} % 8)", "category": f"try_element_at({_LIST(tasks.CATEGORIES)}, cast({k} % 12 + 1 as int))", "difficulty": f"concat('L', {k} % 7)",
+        "authored_by": "'a'", "reviewed_by": f"CASE WHEN {k} % 3 = 0 THEN ' ' ELSE 'r' END", "authored_at": f"CASE WHEN {k} % 5 = 0 THEN NULL ELSE '2024-01-01' END", "tags": "array('x')", "prompt": f"CASE WHEN {k} % 11 = 0 THEN '' ELSE s_name END",
+        "probes": f"transform(slice({_LIST((*tasks.PARAPHRASES, 'odd'))}, CASE WHEN {k} % 6 = 5 THEN 2 ELSE 1 END, cast(2 + {k} % 2 as int)), p -> struct(p AS paraphrase_id, CASE WHEN {k} % 9 = 0 THEN '' ELSE 'search' END AS op, map('query', s_name) AS args))",
+        "gold": f"struct(CASE WHEN {k} % 4 = 0 THEN array() ELSE array(concat('./src/stock//part_', {k}, '.py')) END AS files, CASE WHEN {k} % 2 = 0 THEN array() ELSE array(concat('Part', {k}, '::make_', {k})) END AS symbols, array(concat('tests/test_part_', {k}, '.py')) AS tests, array() AS docs, "
+                f"array(struct(concat('docs/supplier_', {k}, '.md') AS path, 5 AS start, cast(5 + {k} % 3 - 1 as int) AS end)) AS ranges, array(array('a', 'CALLS'), array('a', 'CALLS', 'b')) AS relationships, 'because' AS justification)",
+        "required_capabilities": f"CASE WHEN {k} % 8 = 0 THEN array() ELSE array('search', 'fly') END", "allowed_tools": f"CASE WHEN {k} % 10 = 0 THEN array('repo.read', 'repo.burn') ELSE array('repo.read') END", "limits": "NULL",
+    }
+    types = {f.name: f.dataType for f in spark.createDataFrame([], TASK).schema}
+    return read(spark, sf_dir, "supplier").select(*(F.expr(e).cast(types[c]).alias(c) if c in types else F.expr(e).alias(c) for c, e in made.items()))
+
+
+def task_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = read(spark, sf_dir, "part").select(F.concat(F.lit("tests/test_part_"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("path")).unionByName(read(spark, sf_dir, "supplier").select(F.concat(F.lit("docs/supplier_"), F.col("s_suppkey").cast("string"), F.lit(".md")).alias("path")))
+    manifest = spark.createDataFrame([("r0", "c0"), ("r1", "c1"), ("r2", "c2")], "corpus string, commit string")
+    return tasks.validate(_tasks(spark, sf_dir), files, None, manifest, ("search",))
+
+
+_K = "s_suppkey"
+_ID = f"CASE WHEN {_K} % 41 = 40 THEN '' ELSE 't' || ({_K} - CASE WHEN {_K} % 37 = 36 THEN 1 ELSE 0 END) END"
+_RULES = [
+    ("error", "id_missing", f"{_K} % 41 = 40", "1"), ("error", "id_filename_mismatch", f"{_K} % 41 = 40", "1"), ("error", "category_invalid", f"{_K} % 12 >= 10", "1"), ("error", "difficulty_invalid", f"{_K} % 7 IN (0, 6)", "1"), ("error", "prompt_empty", f"{_K} % 11 = 0", "1"),
+    ("error", "probes_too_few", f"{_K} % 2 = 0", "1"), ("error", "paraphrases_too_few", f"{_K} % 2 = 0", "1"), ("error", "paraphrase_id_invalid", f"{_K} % 6 = 5", "1"), ("error", "probe_op_missing", f"{_K} % 9 = 0", f"2 + {_K} % 2"), ("error", "gold_empty", f"{_K} % 4 = 0", "1"), ("error", "relationship_malformed", "true", "1"),
+    ("error", "range_inverted", f"{_K} % 3 = 0", "1"), ("error", "capabilities_missing", f"{_K} % 8 = 0", "1"), ("error", "capabilities_unknown", f"{_K} % 8 <> 0", "1"), ("error", "tools_unknown", f"{_K} % 10 = 0", "1"), ("warning", "reviewed_by_missing", f"{_K} % 3 = 0", "1"), ("warning", "authored_at_missing", f"{_K} % 5 = 0", "1"),
+    ("error", "repository_unknown", f"{_K} % 4 = 3", "1"), ("error", "commit_mismatch", f"NOT ({_K} % 4 < 3 AND {_K} % 8 = {_K} % 4)", "1"),
+    ("error", "stale_gold", "true", f"CASE WHEN {_K} % 4 = 0 THEN 0 ELSE 1 END + CASE WHEN {_K} IN (SELECT p_partkey FROM part) THEN 0 ELSE 1 END"),
+]
+TASK_ISSUES = f"""
+SELECT id, severity, code, sum(n)::BIGINT AS n FROM ({" UNION ALL ".join(f"SELECT {_ID} AS id, '{s}' AS severity, '{c}' AS code, {n} AS n FROM supplier WHERE {w}" for s, c, w, n in _RULES)}) GROUP BY ALL HAVING sum(n) > 0
+UNION ALL SELECT id, 'error', 'id_duplicate', count(*) - 1 FROM (SELECT {_ID} AS id FROM supplier) GROUP BY id HAVING count(*) > 1
+"""
+
+
+def task_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tasks.gold_set(_tasks(spark, sf_dir))
+
+
+TASK_GOLD = f"""
+SELECT DISTINCT id, kind, item FROM (
+    SELECT {_ID} AS id, 'symbol' AS kind, 'Part' || {_K} || '.make_' || {_K} AS item FROM supplier WHERE {_K} % 2 = 1 UNION ALL SELECT {_ID}, 'path', 'src/stock/part_' || {_K} || '.py' FROM supplier WHERE {_K} % 4 <> 0
+    UNION ALL SELECT {_ID}, 'path', 'tests/test_part_' || {_K} || '.py' FROM supplier UNION ALL SELECT {_ID}, 'path', 'docs/supplier_' || {_K} || '.md' FROM supplier)
+"""
+
+
+def _responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A response to each part's probe, by an operation of its own."""
+    k = F.col("p_partkey")
+    row = lambda d, symbol=True: F.struct(*([F.concat(F.lit("m.Part"), (k + d).cast("string")).alias("symbol")] if symbol else []), F.concat(F.lit("src/part_"), (k + d).cast("string"), F.lit(".py")).alias("path"))
+    ops = ("search", "get_symbol", "get_context", "get_tests", "get_docs", "get_references", "get_stats")
+    body = {"search": F.struct(F.array(row(1), row(0)).alias("hits")), "get_symbol": F.struct(F.array(row(0)).alias("symbols")), "get_context": row(0), "get_tests": F.struct(F.array(row(2, False), row(0, False)).alias("tests")), "get_docs": F.struct(F.array(row(0, False)).alias("docs")), "get_references": F.struct(F.array(row(3), row(2), row(0)).alias("references")), "get_stats": row(0)}
+    op = F.element_at(F.array(*map(F.lit, ops)), (k % 7 + 1).cast("int"))
+    result = F.coalesce(*(F.when(op == name, F.to_json(x)) for name, x in body.items()))
+    return read(spark, sf_dir, "part").select(k.alias("probe"), op.alias("op"), result.alias("result"))
+
+
+def response_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tasks.reduce_results(_responses(spark, sf_dir))
+
+
+_OFFSETS = {0: [1, 0], 1: [0], 2: [0], 3: [2, 0], 4: [0], 5: [3, 2, 0]}
+_RESULTS = "results AS (" + " UNION ALL ".join(f"SELECT p_partkey AS probe, {rank}::INTEGER AS rank, {'NULL' if op in (3, 4) else f"'m.Part' || (p_partkey + {d})"} AS symbol, 'src/part_' || (p_partkey + {d}) || '.py' AS path FROM part WHERE p_partkey % 7 = {op}" for op, ds in _OFFSETS.items() for rank, d in enumerate(ds, 1)) + ")"
+RESPONSE_RESULTS = f"WITH {_RESULTS} SELECT probe, rank, symbol, path FROM results"
+
+
+def response_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results against gold symbols that they equal or end in, the longest first; files credit their path."""
+    found = tasks.reduce_results(_responses(spark, sf_dir)).where("symbol is not null")
+    parts = read(spark, sf_dir, "part")
+    k = F.col("p_partkey").cast("string")
+    gold = parts.select(F.col("p_partkey").alias("probe"), F.explode(F.array(F.concat(F.lit("Part"), k), F.concat(F.lit("m.Part"), k), F.concat(F.lit("art"), k))).alias("gold"))
+    return joins.suffix_matches(found.select("probe", "rank", "symbol"), gold, ["probe"], "symbol", "gold", text.dotted_suffixes)
+
+
+RESPONSE_MATCHES = f"WITH {_RESULTS} SELECT probe, rank, symbol, 'm.Part' || probe AS gold FROM results WHERE symbol = 'm.Part' || probe"
+
+
+def effective_efficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens spared against a baseline, times correctness, by order: the total price is the baseline, discounts are the tokens."""
+    lines = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sum("l_quantity").alias("used"), F.avg("l_discount").alias("c"))
+    return lines.select("l_orderkey", F.round(grading.context_efficiency(F.lit(100.0), F.col("used")) * F.col("c"), 6).alias("effective"))
+
+
+EFFECTIVE = "SELECT l_orderkey, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, (100.0::DOUBLE - sum(l_quantity)) / 100.0::DOUBLE)) * avg(l_discount), 6) AS effective FROM lineitem GROUP BY l_orderkey"
+
+
+def noise_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Balances of a nation's suppliers as repetitions."""
+    return tasks.noise_profile(read(spark, sf_dir, "supplier"), "s_nationkey", "s_acctbal", tasks.profile_key("suite", "1", "model", "{}")).select("s_nationkey", "n", "stdev", "mde_1", "mde_3", "mde_5", "mde_10", "profile")
+
+
+_SD = "round(coalesce(stddev_samp(s_acctbal), 0.0::DOUBLE), 6)"
+NOISE_PROFILE = f"SELECT s_nationkey, count(*)::BIGINT AS n, {_SD} AS stdev, {', '.join(f'round(CASE WHEN {_SD} <= 0 THEN 0.0::DOUBLE ELSE (1.95996::DOUBLE + 0.84162::DOUBLE) * {_SD} / sqrt({n}) END, 6) AS mde_{n}' for n in tasks.REPETITIONS)}, '{tasks.profile_key('suite', '1', 'model', '{}')}' AS profile FROM supplier GROUP BY s_nationkey"
+
+
+def discrimination_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether segments of customers differ by balance or nation."""
+    told = read(spark, sf_dir, "customer").select("c_mktsegment", F.col("c_acctbal").alias("balance"), F.when(F.col("c_mktsegment") == "BUILDING", F.col("c_nationkey") + 20).otherwise(F.col("c_nationkey")).cast("double").alias("nation"))
+    return tasks.discrimination_gate(told.unpivot(["c_mktsegment"], ["balance", "nation"], "metric", "value"), "metric", "c_mktsegment", "value")
+
+
+GATE = """
+WITH v AS (SELECT c_mktsegment AS g, 'balance' AS metric, c_acctbal AS x FROM customer UNION ALL SELECT c_mktsegment, 'nation', (c_nationkey + CASE WHEN c_mktsegment = 'BUILDING' THEN 20 ELSE 0 END)::DOUBLE FROM customer),
+d AS (SELECT a.metric, a.g AS l, b.g AS r, round(sum(sign(a.x - b.x))::DOUBLE / count(*), 6) AS delta FROM v a JOIN v b ON a.metric = b.metric AND a.g < b.g GROUP BY ALL)
+SELECT metric, count(*)::BIGINT AS pairs, count(*) FILTER (abs(delta) >= 0.474)::BIGINT AS apart, max(abs(delta)) AS largest, max(abs(delta)) >= 0.474 AS passes FROM d GROUP BY metric
+"""
+
+
+def missing_capabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    required = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderpriority").alias("capability")).distinct()
+    offered = spark.createDataFrame([("a", "1-URGENT"), ("a", "2-HIGH"), ("a", "3-MEDIUM"), ("b", "5-LOW")], "candidate string, capability string")
+    return tasks.lacking(required, offered).select("id", "candidate", F.array_join("missing", ",").alias("missing"))
+
+
+MISSING = """
+WITH r AS (SELECT DISTINCT o_custkey AS id, o_orderpriority AS capability FROM orders), o AS (SELECT unnest(['a', 'a', 'a', 'b']) AS candidate, unnest(['1-URGENT', '2-HIGH', '3-MEDIUM', '5-LOW']) AS capability)
+SELECT id, c.candidate, array_to_string(list_sort(list(capability)), ',') AS missing FROM r, (SELECT DISTINCT candidate FROM o) c WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.candidate = c.candidate AND o.capability = r.capability) GROUP BY ALL
+"""
+
+
+def peak_resources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as runs, ship dates as samples, lines as processes."""
+    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_shipdate", F.col("l_quantity").cast("double").alias("q"), F.col("l_tax").cast("double").alias("t"))
+    peaks = tasks.peak_resources(lines, "l_orderkey", "l_shipdate", "q", "t")
+    return peaks.select("l_orderkey", F.round("peak_memory", 6).alias("peak_memory"), F.round("cpu", 6).alias("cpu"), "samples")
+
+
+PEAKS = "SELECT l_orderkey, round(max(m), 6) AS peak_memory, round(max(c), 6) AS cpu, count(*)::BIGINT AS samples FROM (SELECT l_orderkey, l_shipdate, sum(l_quantity::DOUBLE) AS m, sum(l_tax::DOUBLE) AS c FROM lineitem GROUP BY ALL) GROUP BY l_orderkey"
+
+
+def leak_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text column of six tables."""
+    return tasks.leaks({name: read(spark, sf_dir, name) for name in ("documents", "pages", "conversations", "benchmark", "customer", "part")})
+
+
+_SHAPES = "|".join([*redaction.VALUE_PATTERNS, *(rf"(^|[^A-Za-z0-9]){p}[A-Za-z0-9_.-]{{8,}}" for p in redaction.SECRET_PREFIXES)])
+_TEXTS = {"documents": ["text", "lang", "source"], "pages": ["url", "html"], "conversations": ["role", "text"], "benchmark": ["text"], "customer": ["c_name", "c_mktsegment"], "part": ["p_name", "p_brand", "p_type"]}
+LEAKS = " UNION ALL ".join(f"SELECT '{t}' AS \"table\", '{c}' AS \"column\", count(*) FILTER (regexp_matches({c}, '{_SHAPES}'))::BIGINT AS leaks FROM {t}" for t, columns in _TEXTS.items() for c in columns)
+
+
+def numbered_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of an order numbered on from where its first shipment ended."""
+    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
+    last = lines.where("l_linenumber <= 2").select("l_orderkey", F.col("l_linenumber").cast("long").alias("seq"))
+    return tasks.numbered(lines.where("l_linenumber > 2"), "l_orderkey", ["l_linenumber"], last)
+
+
+NUMBERED = "SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) + coalesce((SELECT max(l_linenumber) FROM lineitem f WHERE f.l_orderkey = l.l_orderkey AND l_linenumber <= 2), 0) AS seq FROM lineitem l WHERE l_linenumber > 2"
+
+QUERIES = {
+    "task_issues": (task_issues, TASK_ISSUES), "task_gold": (task_gold, TASK_GOLD), "response_results": (response_results, RESPONSE_RESULTS), "response_matches": (response_matches, RESPONSE_MATCHES), "effective_efficiency": (effective_efficiency, EFFECTIVE), "noise_profile": (noise_profile, NOISE_PROFILE),
+    "discrimination_gate": (discrimination_gate, GATE), "missing_capabilities": (missing_capabilities, MISSING), "peak_resources": (peak_resources, PEAKS), "leak_scan": (leak_scan, LEAKS), "numbered_events": (numbered_events, NUMBERED),
+}

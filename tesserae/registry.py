@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import analytics, index, search
+from .plans import analytics, index, search, suites
 
-_ALL = {**search.QUERIES, **analytics.QUERIES, **index.QUERIES}
+_ALL = {**search.QUERIES, **analytics.QUERIES, **index.QUERIES, **suites.QUERIES}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

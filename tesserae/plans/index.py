@@ -251,7 +251,7 @@ def _edited(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, _, path, template, fields = FILES["module"]
     grown = {**fields, "size": ("cast(p_size + 1 as string)", "")}
     text_of = lambda f: tree.spark_text(template, f)
-    parts = read(spark, sf_dir, "part")
+    parts = read(spark, sf_dir, "part", heavy=True)
     content = F.when(F.expr(_CHANGED), text_of(grown)).when(F.expr(_BLANK), F.concat(text_of(fields), F.lit("\n\n"))).otherwise(text_of(fields)).cast("binary")
     modules = parts.where(f"NOT ({_REMOVED})").select(tree.spark_text(path, fields).alias("path"), content.alias("content"))
     added = parts.where(_ADDED).select(tree.spark_text("src/more/extra_{k}.py", fields).alias("path"), tree.spark_text("def check_{k}(value):\n    return value\n", fields).cast("binary").alias("content"))

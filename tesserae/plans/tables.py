@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 HEAVY = ("documents", "pages", "conversations")
 
 
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The table. Texts in fewer splits than there are cores are dealt out first: a large table has splits enough and moves nowhere."""
+def read(spark: SparkSession, sf_dir: str, name: str, heavy: bool = False) -> DataFrame:
+    """The table. Texts, or rows that much work will be done on, are dealt out first if they lie in fewer splits than there are cores: a large table has splits enough and moves nowhere."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    if name in HEAVY and df._jdf.queryExecution().toRdd().getNumPartitions() * 2 <= cores:
+    if (heavy or name in HEAVY) and df._jdf.queryExecution().toRdd().getNumPartitions() * 2 <= cores:
         return df.repartition(cores)
     return df

@@ -116,7 +116,7 @@ def files(spark: SparkSession, sf_dir: str, kinds: tuple[str, ...] = tuple(FILES
     for kind in kinds:
         table, where, path, template, fields = FILES[kind]
         content = spark_text(template, fields).cast("binary")
-        some = read(spark, sf_dir, table).where(where).select(spark_text(path, fields).alias("path"), content.alias("content"), F.octet_length(content).cast("long").alias("byte_size"))
+        some = read(spark, sf_dir, table, heavy=True).where(where).select(spark_text(path, fields).alias("path"), content.alias("content"), F.octet_length(content).cast("long").alias("byte_size"))
         out = some if out is None else out.unionByName(some)
     return out
 

@@ -79,6 +79,18 @@ def groups(bounds: np.ndarray, most: int = GROUP_BYTES) -> Iterator[tuple[int, i
         start = end
 
 
+def regrouped(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about that many bytes, for work that has a cost for each batch."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= most:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held = []
+    if sum(b.num_rows for b in held):
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def each_group(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(first text, after the last, bytes, word hashes, starts, ends, bounds among the words) for groups of texts."""
     data, bounds = text_buffers(texts)

@@ -129,11 +129,14 @@ class EliasFano:
             return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
         return self._sought(x, np.zeros(len(x), np.int64), np.full(len(x), self.n))
 
-    def successor_in(self, x: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(the place of the first value not under x, whether it is x) among the values from first to before last, for each x of any size."""
+    def successor_in(self, x: np.ndarray, first: np.ndarray, last: np.ndarray, top: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(the place of the first value not under x, whether it is x) among the values from first to before last, for each x of any size.
+
+        top: the ranges' last values, if known.
+        """
         if not self.n or not len(x):
             return first.copy(), np.zeros(len(x), bool)
-        inside = x <= self.access(last - 1)
+        inside = x <= (self.access(last - 1) if top is None else top)
         at, there = last.copy(), np.zeros(len(x), bool)
         at[inside], there[inside] = self._sought(x[inside], first[inside], last[inside])
         return at, there

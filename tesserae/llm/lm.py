@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import in_arrow, new_folder, text_or_empty
-from ._words import hashed_words, groups, mix, text_buffers
+from ._words import groups, hashed_words, mix, regrouped, text_buffers
 from .elias_fano import EliasFano, map_arrays, write_arrays
 
 _U = np.uint64
@@ -181,7 +181,7 @@ class Vocabulary:
 def train_vocabulary(texts: DataFrame, folder: str, shards: int) -> Vocabulary:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got, ends = _Gathered(), 0
-        for batch in batches:
+        for batch in regrouped(batches, PART):
             ends += batch.num_rows
             for *_, hashes, _of in each_part(batch.column(0)):
                 got.add(hashes, np.zeros(len(hashes), np.int64))
@@ -288,10 +288,11 @@ def successors(level: dict[str, np.ndarray], name: str, contexts: np.ndarray, wo
     begin, end = (pointers.access(distinct + k).astype(np.int64) for k in (0, 1))
     base = np.zeros(len(distinct), _U)
     base[begin > 0] = level_words.access(begin[begin > 0] - 1)
+    top = level_words.access(np.maximum(end - 1, 0))
     any_ = (begin < end)[of]
     at, there = np.zeros(len(contexts), np.int64), np.zeros(len(contexts), bool)
     of = of[any_]
-    at[any_], there[any_] = level_words.successor_in(base[of] + words[any_].astype(_U), begin[of], end[of])
+    at[any_], there[any_] = level_words.successor_in(base[of] + words[any_].astype(_U), begin[of], end[of], top[of])
     return at, there
 
 
@@ -300,7 +301,7 @@ def train_trie(texts: DataFrame, vocabulary: Vocabulary, shards: int) -> None:
     none = 2**32 - 1  # the last word of a pair's own row
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in regrouped(batches, PART):
             for *_, hashes, of in each_part(batch.column(0)):
                 numbers, _, text, _ = vocabulary.token_numbers(hashes, of)
                 place, pairs, triple, last = _ngrams(numbers, text, vocabulary.end)
@@ -409,7 +410,7 @@ def scores(docs: DataFrame, vocabulary: Vocabulary, keep: list[str]) -> DataFram
     schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in keep) + ", n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in regrouped(batches, PART):
             for a, b, hashes, of in each_part(batch.column(len(keep))):
                 numbers, counts, text, bounds = vocabulary.token_numbers(hashes, of)
                 add = lambda x, at=bounds: np.add.reduceat(x, at[:-1])  # noqa: E731  every text has a token at least

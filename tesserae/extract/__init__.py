@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import module_name
 from . import config_files, generic, markdown, python_source, record
 from .record import Extraction
 
@@ -51,3 +52,37 @@ def extract(files: DataFrame) -> DataFrame:
 
 def exploded(extracted: DataFrame, column: str) -> DataFrame:
     return extracted.select("path", F.explode(column).alias("_x")).select("path", "_x.*")
+
+
+def tag_rows(files: DataFrame) -> DataFrame:
+    """(path, name, kind, scope, line, signature): the index of tags of Python files, a row for each; a name's scope is the dotted path of what it stands in."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = [(path, *tag, text.splitlines()[tag[3] - 1].strip()[:300]) for path, text in zip(part["path"], part["content_text"], strict=True) for tag in generic.tags(text)]
+            yield pd.DataFrame(rows, columns=["path", "name", "kind", "scope", "line", "signature"])
+
+    return files.where("language = 'python'").select("path", "content_text").mapInPandas(run, "path string, name string, kind string, scope string, line int, signature string")
+
+
+def occurrence_rows(files: DataFrame) -> DataFrame:
+    """(path, module, name, line): every name in Python files that parse, with the file's module name."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = []
+            for path, text in zip(part["path"], part["content_text"], strict=True):
+                try:
+                    rows += [(path, name, line) for name, line in python_source.occurrences(text)]
+                except (SyntaxError, ValueError, RecursionError, MemoryError):  # a broken file has no tree
+                    continue
+            yield pd.DataFrame(rows, columns=["path", "name", "line"])
+
+    found = files.where("language = 'python'").select("path", "content_text").mapInPandas(run, "path string, name string, line int")
+    return found.select("path", module_name(F.col("path")).alias("module"), "name", "line")
+
+
+def members(tags: DataFrame) -> DataFrame:
+    """(path, owner, name, kind, line): tags joined to the class or function in whose scope they stand."""
+    owners = tags.where("kind in ('c', 'f', 'm')").select("path", F.concat_ws(".", F.nullif("scope", F.lit("")), "name").alias("scope"), F.col("name").alias("owner"))
+    return tags.join(owners, ["path", "scope"]).select("path", "owner", "name", "kind", "line")

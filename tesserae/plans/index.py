@@ -231,6 +231,37 @@ scored AS (SELECT doc_kind, doc_id, path, ({" + ".join(_IDF.format(k=k) for k in
 SELECT doc_kind, doc_id, path, round(score, 6) AS score FROM scored ORDER BY round(score, 9) DESC, path, doc_kind, doc_id LIMIT 100
 """
 
+# tags and names
+
+#: kind of file, name, kind, scope, line, signature
+TAGS = [
+    ("module", "json", "i", "", 5, "import json"), ("module", "make_{before}", "i", "", 6, "from stock.part_{before} import make_{before}"), ("module", "LIMIT_{k}", "x", "", 8, "LIMIT_{k} = {size}"), ("module", "Part{k}", "c", "", 11, "class Part{k}(Base{size}):"),
+    ("module", "make_{k}", "m", "Part{k}", 14, "def make_{k}(self, size: int) -> str:"), ("module", "check_{k}", "f", "", 21, "def check_{k}(value, depth=1):"), ("test", "check_{k}", "i", "", 1, "from stock.part_{k} import check_{k}"), ("test", "test_check_{k}", "f", "", 4, "def test_check_{k}(bench):"),
+    ("generated", "value", "v", "", 1, "value = {k}"),
+]
+TAGS_SQL = union_sql([(f, {"path": FILES[f][2], "name": name, "kind": kind, "scope": scope, "line": f"={line}::INTEGER", "signature": signature}) for f, name, kind, scope, line, signature in TAGS])
+
+
+def tag_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.tag_rows(tree.described(spark, sf_dir))
+
+
+def tag_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.members(tag_index(spark, sf_dir))
+
+
+#: kind of file, name, line
+NAMES = [
+    *(("module", name, line) for name, line in (("Base{size}", 11), ("LIMIT_{k}", 8), ("LIMIT_{k}", 16), ("ValueError", 17), ("dumps", 23), ("int", 14), ("json", 23), ("make_{before}", 18), ("size", 16), ("size", 18), ("str", 14), ("value", 22), ("value", 23))), ("test", "check_{k}", 5), ("generated", "value", 1),
+]
+_MODULE_OF = {"module": "stock.part_{k}", "test": "tests.test_part_{k}", "generated": "gen.region_{k}_pb2"}
+NAMES_SQL = union_sql([(f, {"path": FILES[f][2], "module": _MODULE_OF[f], "name": name, "line": f"={line}::INTEGER"}) for f, name, line in NAMES])
+
+
+def name_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.occurrence_rows(tree.described(spark, sf_dir))
+
+
 # the built index: updates and operations
 
 def _scratch(spark: SparkSession) -> str:
@@ -320,5 +351,6 @@ QUERIES = {
     "tree_files": (tree_files, TREE_FILES), "tree_ignored": (tree_ignored, TREE_IGNORED), "tree_grep": (tree_grep, TREE_GREP), "index_symbols": (index_symbols, SYMBOLS_SQL), "index_facts": (index_facts, FACTS_SQL), "index_references": (index_references, REFS_SQL),
     "index_imports": (index_imports, IMPORTS_SQL), "index_relationships": (index_relationships, f"{_RELATIONSHIPS} SELECT {', '.join(EDGE)} FROM edges"), "index_tests_of": (index_tests_of, TESTS_OF),
     "index_tier_rates": (index_tier_rates, f"{_RELATIONSHIPS} SELECT tier, count(*)::BIGINT AS n, round(count(*) / sum(count(*)) OVER (), 6) AS rate FROM edges GROUP BY tier"), "index_lookup": (index_lookup, LOOKUP), "index_documents": (index_documents, DOCUMENTS_SQL), "index_search": (index_search, SEARCH_SQL),
+    "tag_index": (tag_index, TAGS_SQL), "tag_members": (tag_members, f"WITH t AS ({TAGS_SQL}) SELECT t.path, o.name AS owner, t.name, t.kind, t.line FROM t JOIN t o ON t.path = o.path AND t.scope = o.name AND o.scope = '' AND o.kind IN ('c', 'f', 'm')"), "name_occurrences": (name_occurrences, NAMES_SQL),
     "index_update": (index_update, INDEX_UPDATE), "index_protocol": (index_protocol, INDEX_PROTOCOL),
 }

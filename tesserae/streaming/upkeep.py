@@ -41,8 +41,10 @@ def correlate(messages: DataFrame, timeout_ms: int = 30_000) -> DataFrame:
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
+            asked, _ = state.get
             state.remove()
-            yield pd.DataFrame({"request_id": [key[0]], "status": ["timeout"], "latency_ms": [None]}, dtype=object)
+            if asked is not None:  # a response that came after its request's deadline waits for no one
+                yield pd.DataFrame({"request_id": [key[0]], "status": ["timeout"], "latency_ms": [None]}, dtype=object)
             return
         asked, answered = state.get if state.exists else (None, None)
         for part in parts:

@@ -137,6 +137,18 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def aside(df: DataFrame, helpers: tuple[str, ...]):
+    """(df with its columns of these names renamed, the new name of each column, what gives them their names back)."""
+    taken = {h.lower() for h in helpers}
+    new: dict[str, str] = {}
+    for c in df.columns:
+        new[c] = c
+        while new[c].lower() in taken or (new[c] != c and new[c] in df.columns):
+            new[c] += "_"
+    moved = {a: b for a, b in new.items() if a != b}
+    return df.withColumnsRenamed(moved), new, lambda out: out.withColumnsRenamed({b: a for a, b in moved.items()})
+
+
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 

@@ -14,7 +14,8 @@ among the k nearest.  Neighbours go by distance, then by id; a query is no
 neighbour of its own row, but equal codes of other rows are.  Null vectors have no
 code and are neither queries nor neighbours; null elements count as not positive.
 Rows with a null id are left out.  A repeated id stands for one row,
-that with the smallest code.  A table with fewer than k other rows gives what there is.
+that with the smallest code.  A table with fewer than k other rows gives what there is,
+an empty one nothing.  Vectors longer than the bits asked for count by their first bits.
 """
 
 from __future__ import annotations

@@ -7,7 +7,7 @@ priority is suppressed.  Labels are those of the detections that are left and of
 the base phrases.
 
 Null and empty texts have no words and no labels.  Repeated rows are scanned each
-for itself.
+for itself, and very long texts whole.  An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import lower_ascii
+from ._common import aside, lower_ascii
 
 #: What is no part of a word, before and after A-Z turn into a-z.
 NO_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -254,7 +254,16 @@ def detect(df: DataFrame, text_column: str = "text", signatures: tuple[Signature
     """df with n_words long and detections array<struct<start, end, first_word, words, label, priority>>.
 
     start and end: in characters of the text's words one space apart. Starts come in order, the widest first.
+    Columns of df called n_words or detections are replaced; others keep their names and values.
     """
+    made = ("n_words", "detections")
+    df = df.drop(*[c for c in df.columns if c.lower() in made and c != text_column])
+    df, new, back = aside(df, ("_plain", "_low", "_words", "_found", *made))
+    return back(_detected(df, new[text_column], signatures).drop("_words"))
+
+
+def _detected(df: DataFrame, text_column: str, signatures: tuple[Signature, ...]) -> DataFrame:
+    """As detect, with the lower-case words of texts that have a keyword in _words."""
     rows = df.withColumn("_plain", words_text(F.coalesce(F.col(text_column), F.lit(""))))
     spaces = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" ")))
     rows = rows.withColumn("n_words", F.when(F.col("_plain") == "", F.lit(0)).otherwise(spaces(F.col("_plain")) + 1).cast("long"))
@@ -279,7 +288,7 @@ def digests(df: DataFrame) -> DataFrame:
 
     score: the part of a text's words that lie in kept detections, at most 1.
     """
-    rows = detect(df.select("doc_id", "text"))
+    rows = _detected(df.select("doc_id", "text"), "text", SIGNATURES)
     words = F.col("_words")
     base = F.lit("|".join(BASE))
     begun = F.when(words.contains("license"), _places(words, base)).otherwise(F.array().cast("array<struct<start:int,end:int>>"))

@@ -10,7 +10,9 @@ which verification settles, and repeated rows share one entry.
 Spans are in code points, end exclusive.  Each kind's spans are its leftmost
 matches without overlap; those failing the kind's length drop afterwards.  Null
 texts count as empty and have no spans; null or repeated doc_ids keep one row
-for each row.
+for each row.  Very long texts are scanned whole, by expressions that walk once from
+match to match.  An empty table gives an empty one.  Columns named as the helpers
+here come back as they were.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import new_folder
+from ._common import aside, new_folder
 from .trigrams import trigram_query
 
 
@@ -53,6 +55,18 @@ ADDED = (
     Rule("stripe", r"[rs]k_live_[0-9A-Za-z]{20,}"),
     Rule("npm", r"npm_[A-Za-z0-9]{36}"),
     Rule("url_login", r"[a-z][a-z0-9+.-]{1,15}://[^\s:/@]{1,64}:[^\s:/@]{1,64}@"),
+    Rule("sendgrid", r"SG\.[A-Za-z0-9_-]{16,32}\.[A-Za-z0-9_-]{16,64}"),
+    Rule("shopify", r"shp(at|ca|pa|ss)_[0-9a-fA-F]{32}"),
+    Rule("pypi", r"pypi-[A-Za-z0-9_-]{50,}"),
+    Rule("hugging_face", r"hf_[A-Za-z0-9]{30,}"),
+    Rule("digital_ocean", r"do[opr]_v1_[0-9a-f]{64}"),
+    Rule("vault", r"hvs\.[A-Za-z0-9_-]{24,}"),
+    Rule("linear", r"lin_api_[A-Za-z0-9]{32,}"),
+    Rule("postman", r"PMAK-[0-9a-f]{24}-[0-9a-f]{34}"),
+    Rule("square", r"sq0(atp|csp)-[0-9A-Za-z_-]{22,}"),
+    Rule("account_key", r"AccountKey=[A-Za-z0-9+/]{60,}={0,2}"),
+    Rule("putty_key", r"PuTTY-User-Key-File-[0-9]"),
+    Rule("slack_hook", r"hooks\.slack\.com/services/[A-Za-z0-9/]{20,}"),
     Rule("bearer", r"(?i)authorization:\x20*bearer\x20+[A-Za-z0-9._~+/=-]{16,}"),
 )
 RULES = (*BASE, *ADDED)
@@ -106,8 +120,11 @@ def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def scan(df: DataFrame, text_column: str = "text", rules: tuple[Rule, ...] = RULES, output: str = "spans") -> DataFrame:
-    """df with output array<struct<start, ord, kind, end>>: all spans by start, then by the order of rules."""
+    """df with output array<struct<start, ord, kind, end>>: all spans by start, then by the order of rules. A column of the output's name is replaced."""
+    df = df.drop(*[c for c in df.columns if c.lower() == output.lower() and c != text_column])
     spark = df.sparkSession
+    df, new, back = aside(df, ("_key", "_rules", "_text", output))
+    text_column = new[text_column]
     folder = new_folder(spark, "secret-candidates")
     text = F.coalesce(F.col(text_column), F.lit(""))
     candidates(postings(df.select(text.alias("_text")), "_text", rules), rules).write.parquet(folder)
@@ -120,7 +137,7 @@ def scan(df: DataFrame, text_column: str = "text", rules: tuple[Rule, ...] = RUL
         if rule.query:
             asked = F.array_contains("_rules", k) & asked
         spans.append(F.when(asked, match_spans(text, rule, k)).otherwise(F.array().cast("array<struct<start:int,ord:int,kind:string,end:int>>")))
-    return rows.withColumn(output, F.array_sort(F.concat(*spans))).drop("_key", "_rules")
+    return back(rows.withColumn(output, F.array_sort(F.concat(*spans))).drop("_key", "_rules"))
 
 
 def spans_text(spans: Column) -> Column:
@@ -137,6 +154,9 @@ def digests(df: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 def redact(df: DataFrame, mark: str = "[SECRET]", rules: tuple[Rule, ...] = RULES, text_column: str = "text") -> DataFrame:
     """df with every span in its texts replaced by a mark; overlapping spans fall under one mark. Texts without spans stay as they are."""
+    columns = df.columns
+    df, new, back = aside(df, ("_spans",))
+    text_column = new[text_column]
     rows = scan(df, text_column, rules, "_spans")
     text = F.col(text_column)
 
@@ -147,4 +167,5 @@ def redact(df: DataFrame, mark: str = "[SECRET]", rules: tuple[Rule, ...] = RULE
 
     begin = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
     done = F.aggregate("_spans", begin, step, lambda s: F.concat(s["out"], text.substr(s["at"] + 1, F.length(text))))
-    return rows.withColumn(text_column, F.when(F.size("_spans") > 0, done).otherwise(text)).drop("_spans")
+    rows = rows.withColumn(text_column, F.when(F.size("_spans") > 0, done).otherwise(text)).drop("_spans")
+    return back(rows).select(*columns)

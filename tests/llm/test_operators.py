@@ -363,3 +363,20 @@ def test_sharding_of_equal_rows_and_clashing_columns(spark):
     for r in out.collect():
         by.setdefault(r["shard"], []).append(r["slot"])
     assert {k: sorted(v) for k, v in by.items()} == {k: list(range(125)) for k in range(4)}
+
+
+def test_helper_names_do_not_clash(spark):
+    """Columns named as the helpers of an operator come back as they were."""
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(1, "token=abcdefgh and the MIT License"), (2, None)], "doc_id long, text string")
+    more = {c: F.lit(c) for c in ("_key", "_rules", "_text", "_spans", "_plain", "_low", "_words", "_found", "_host", "_suffix_key", "source")}
+    wide = docs.withColumns(more)
+    for out in (secrets.scan(wide), secrets.redact(wide), licenses.detect(wide)):
+        row = out.where("doc_id = 1").first()
+        assert all(row[c] == c for c in more)
+    assert secrets.redact(wide).columns == wide.columns
+    found = secrets.scan(wide.withColumnRenamed("_rules", "x").withColumnRenamed("text", "_rules"), "_rules").where("doc_id = 1").first()
+    assert len(found["spans"]) == 1
+    model = language.train(spark.createDataFrame([(1, "the and of", "en")], "doc_id long, text string, lang string"))
+    assert set(more) <= set(language.identify(language.document_evidence(wide), model).columns)

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import functools
 import json
-import tempfile
 import uuid
+from collections import OrderedDict
 
 import numpy as np
 
@@ -188,23 +188,33 @@ def write_arrays(path: str, arrays: dict[str, np.ndarray]) -> None:
     replace_file(system, aside, place)
 
 
+#: Bytes of files of a remote store that a process holds at a time.
+HELD_BYTES = 256_000_000
+_held: OrderedDict[str, np.ndarray] = OrderedDict()
+
+
 @functools.lru_cache(maxsize=4096)
+def _mapped(place: str) -> np.ndarray:
+    return np.memmap(place, np.uint8, "r").view(np.ndarray)
+
+
+def _remote(system, path: str, place: str) -> np.ndarray:
+    """A file of a remote store, in memory: the last used ones up to HELD_BYTES stay, and no machine's own folder comes in."""
+    if path not in _held:
+        with system.open_input_file(place) as data:
+            _held[path] = np.frombuffer(data.read_buffer(), np.uint8)
+        while len(_held) > 1 and sum(map(len, _held.values())) > HELD_BYTES:
+            _held.popitem(last=False)
+    _held.move_to_end(path)
+    return _held[path]
+
+
 def map_arrays(path: str) -> dict[str, np.ndarray]:
-    """The arrays of a file, mapped into memory. A file of a remote store is first copied, for as long as this process lives."""
+    """The arrays of a file: mapped into memory from a shared folder, read from a remote store."""
     from pyarrow import fs
 
     system, place = file_system(path)
-    if not isinstance(system, fs.LocalFileSystem):
-        copy = tempfile.NamedTemporaryFile(prefix="level-")  # noqa: SIM115  it goes with the process
-        with system.open_input_stream(place) as data:
-            while part := data.read(1 << 22):
-                copy.write(part)
-        copy.flush()
-        place, _kept[path] = copy.name, copy
-    whole = np.memmap(place, np.uint8, "r").view(np.ndarray)
+    whole = _mapped(place) if isinstance(system, fs.LocalFileSystem) else _remote(system, path, place)
     size = int(whole[:8].view("<u8")[0])
     head, body = json.loads(bytes(whole[8 : 8 + size])), whole[8 + size :]
     return {name: body[at : at + n * np.dtype(kind).itemsize].view(kind) for name, (kind, n, at) in head.items()}
-
-
-_kept: dict[str, object] = {}

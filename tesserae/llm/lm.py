@@ -10,12 +10,17 @@ value of the context before is added, which makes the level one monotone sequenc
 word is sought among its context's successors alone: the pointers give their range, the
 value before the range gives the base, and a successor search of base + word goes over
 that range.  Each node keeps the interpolated share of its n-gram, quantised to 16 bits
-of its logarithm.
+of the root of its logarithm.
 
     p1(w) = (c(w) + 0.5) / (N + 0.5 (V + 1))
-    pn(w | context) = (1 - share_n) p(n-1) + share_n c(context w) / c(context), for a context seen in training
+    p2(w | v) = (1 - 0.6) p1(w) + 0.6 c(v w) / c(v), for a v seen in training
+    p3(w | u v) = (c(u v w) - 0.75)+ / c(u v) + 0.75 t(u v) / c(u v) p2(w | v), for a pair u v seen in training
     pn = p(n-1) otherwise
 
+t counts the distinct words after u v: all of a pair's successors lie in its shard.  With the
+discount, what was seen twice stands apart from what was seen once, also where its context
+has no other successor.
+
 A hot word's successors spread over all shards.  Levels are files in the shared
 folder, mapped into memory by the scoring tasks: the model is neither broadcast
 nor held by the driver, which learns the shards' sizes alone.  Shards are as many
@@ -44,8 +49,8 @@ _U = np.uint64
 ORDER = 3
 #: Bytes of the texts' files for each shard at most: what the task that builds it gets is about twice that.
 SHARD_BYTES = 256_000_000
-#: What the longer context has in the mixture, for pairs and for triples.
-SHARES = {2: 0.6, 3: 0.5}
+#: What a pair's context has in the mixture; what is taken off the count of each triple.
+SHARE, DISCOUNT = 0.6, 0.75
 #: log10 of a share from 0 down to this, in 16 bits.
 FLOOR = -10.0
 #: Bytes of text a task takes up at a time, bytes it hashes at a time, and words it gathers before it merges them.
@@ -251,11 +256,12 @@ def _ngrams(numbers: np.ndarray, text: np.ndarray, end: int) -> tuple[np.ndarray
 
 
 def quantise(share: np.ndarray) -> np.ndarray:
-    return np.round(np.clip(np.log10(share) / FLOOR, 0, 1) * 65535).astype(np.uint16)
+    """16 bits of the root of the logarithm: likely words, which long texts repeat most, are kept finest."""
+    return np.round(np.sqrt(np.clip(np.log10(share) / FLOOR, 0, 1)) * 65535).astype(np.uint16)
 
 
 def restore(code: np.ndarray) -> np.ndarray:
-    return 10.0 ** (code.astype(np.float64) * (FLOOR / 65535))
+    return 10.0 ** (FLOOR * (code / 65535.0) ** 2)
 
 
 def build_trie(pairs: np.ndarray, triples: np.ndarray, lasts: np.ndarray, counts: np.ndarray, pair_counts: np.ndarray, first_counts: np.ndarray, size: int) -> dict[str, np.ndarray]:
@@ -264,10 +270,14 @@ def build_trie(pairs: np.ndarray, triples: np.ndarray, lasts: np.ndarray, counts
     roots, begin = np.unique(first, return_index=True)
     out = EliasFano.build(roots.astype(_U), size).arrays("roots")
     out |= _level("2", np.append(begin, len(pairs)), second)
-    out["shares2"] = quantise(SHARES[2] * pair_counts / first_counts)
+    out["shares2"] = quantise(SHARE * pair_counts / first_counts)
     node = np.searchsorted(pairs, triples)
-    out |= _level("3", np.searchsorted(node, np.arange(len(pairs) + 1)), lasts)
-    out["shares3"] = quantise(SHARES[3] * counts / pair_counts[node]) if len(node) else np.zeros(0, np.uint16)
+    bounds = np.searchsorted(node, np.arange(len(pairs) + 1))
+    out |= _level("3", bounds, lasts)
+    out["shares3"] = quantise((counts - DISCOUNT) / pair_counts[node]) if len(node) else np.zeros(0, np.uint16)
+    # what the discounts of a context's words leave to the shorter context; a pair that only ends texts has no words after it
+    kinds = np.diff(bounds)
+    out["backs3"] = quantise(np.where(kinds > 0, DISCOUNT * kinds / pair_counts, 1.0))
     return out
 
 
@@ -345,13 +355,13 @@ def token_probabilities(vocabulary: Vocabulary, shards: int, numbers: np.ndarray
     # a word that was never followed is no context; every training word is followed by a word or an end
     seen = np.zeros(len(numbers), bool)
     seen[1:] = (text[1:] == text[:-1]) & (numbers[:-1] >= 0)
-    p2 = np.where(seen, (1 - SHARES[2]) * p, p)
+    p2 = np.where(seen, (1 - SHARE) * p, p)
     place, pairs, triple, last = _ngrams(numbers, text, vocabulary.end)
     if not len(place):
         return p2
     distinct, back = np.unique(pairs, return_inverse=True)
     shard = pair_shard(distinct, shards)
-    share2, share3 = np.zeros(len(distinct)), np.zeros(len(triple))
+    share2, share3, rest3 = np.zeros(len(distinct)), np.zeros(len(triple)), np.ones(len(distinct))
     node = np.full(len(distinct), -1, np.int64)
     of_triple = back[np.searchsorted(place, triple)]
     order, size = np.argsort(shard, kind="stable"), _U(vocabulary.size + 1)
@@ -370,7 +380,7 @@ def token_probabilities(vocabulary: Vocabulary, shards: int, numbers: np.ndarray
         mine, pair, root = mine[there], pair[there], root[there]
         at, there = successors(level, "2", root, pair & _U(2**32 - 1))
         mine, at = mine[there], at[there]
-        share2[mine], node[mine] = restore(level["shares2"][at]), at
+        share2[mine], rest3[mine], node[mine] = restore(level["shares2"][at]), restore(level["backs3"][at]), at
         ask = third[cuts3[s] : cuts3[s + 1]]
         ask = ask[node[of_triple[ask]] >= 0]
         if len(ask):
@@ -382,11 +392,10 @@ def token_probabilities(vocabulary: Vocabulary, shards: int, numbers: np.ndarray
             share3[ask] = share[again]
     p2[place + 1] += share2[back]
     p3 = p2.copy()
-    context = np.zeros(len(numbers), bool)
-    known = place[node[back] >= 0]
-    known = known[known + 2 < len(numbers)]
-    context[known[text[known] == text[np.minimum(known + 2, len(text) - 1)]] + 2] = True
-    p3[context] *= 1 - SHARES[3]
+    known = np.flatnonzero(node[back] >= 0)
+    known = known[place[known] + 2 < len(numbers)]
+    known = known[text[place[known]] == text[place[known] + 2]]
+    p3[place[known] + 2] *= rest3[back[known]]
     np.add.at(p3, triple + 2, share3)
     return p3
 

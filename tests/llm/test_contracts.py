@@ -145,7 +145,7 @@ def test_op5(spark, folder, docs):
 
 
 def test_op6(spark, folder, docs):
-    from tesserae.llm.lm import SHARES
+    from tesserae.llm.lm import DISCOUNT, SHARE
 
     tokens = lambda t: [*t.encode().lower().split(), None]
     training = [tokens(t) for i, t in docs if i is not None and binascii.crc32(str(i).encode()) % 5 != 1]
@@ -155,6 +155,7 @@ def test_op6(spark, folder, docs):
         two.update(itertools.pairwise(x))
         three.update(zip(x, x[1:], x[2:], strict=False))
     total, kinds = sum(one.values()), len(one)
+    after = Counter((a, b) for a, b, _ in three)
     rows = defaultdict(list)
     for r in run(spark, folder, "op6"):
         rows[r["doc_id"]].append(r)
@@ -169,9 +170,10 @@ def test_op6(spark, folder, docs):
             p = (one[w] + 0.5) / (total + 0.5 * (kinds + 1))
             base += math.log10(p)
             if k and one[x[k - 1]]:
-                p = (1 - SHARES[2]) * p + SHARES[2] * two[x[k - 1], w] / one[x[k - 1]]
+                p = (1 - SHARE) * p + SHARE * two[x[k - 1], w] / one[x[k - 1]]
             if k > 1 and two[x[k - 2], x[k - 1]]:
-                p = (1 - SHARES[3]) * p + SHARES[3] * three[x[k - 2], x[k - 1], w] / two[x[k - 2], x[k - 1]]
+                n = two[x[k - 2], x[k - 1]]
+                p = max(three[x[k - 2], x[k - 1], w] - DISCOUNT, 0) / n + DISCOUNT * after[x[k - 2], x[k - 1]] / n * p
             score += math.log10(p)
         assert r["base_score"] == pytest.approx(base, rel=1e-9)
         assert r["score"] == pytest.approx(score, rel=1e-3, abs=1e-3)

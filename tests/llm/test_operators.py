@@ -75,6 +75,8 @@ def test_trigram_queries_admit_every_match(rule):
         "assign": ["API_KEY = abcdefgh", "passwd:'abcdef'", "x password=\"abcdef\""], "access": ["AKIA" + "Z9" * 10], "private_key": ["-----BEGIN RSA PRIVATE KEY-----", "-----BEGIN PRIVATE KEY-----"], "jwt": ["eyJabcdefghi.eyJabcdefghi.abcdefghij"],
         "github": ["ghp_" + "a" * 36, "ghs_" + "B" * 40], "gitlab": ["glpat-" + "x" * 20], "slack": ["xoxb-1234567890"], "google": ["AIza" + "a" * 35], "stripe": ["sk_live_" + "a" * 24, "rk_live_" + "1" * 20], "npm": ["npm_" + "a" * 36],
         "url_login": ["https://me:pw@host"], "bearer": ["Authorization: Bearer " + "a" * 20], "hex": ["0" * 24],
+        "sendgrid": ["SG." + "a" * 22 + "." + "b" * 43], "shopify": ["shpat_" + "0a" * 16, "shpss_" + "F" * 32], "pypi": ["pypi-" + "A" * 60], "hugging_face": ["hf_" + "a" * 34], "digital_ocean": ["dop_v1_" + "0" * 64, "dor_v1_" + "f" * 64], "vault": ["hvs." + "a" * 24],
+        "linear": ["lin_api_" + "a" * 40], "postman": ["PMAK-" + "a" * 24 + "-" + "0" * 34], "square": ["sq0atp-" + "a" * 22, "sq0csp-" + "b" * 43], "account_key": ["AccountKey=" + "a" * 86 + "=="], "putty_key": ["PuTTY-User-Key-File-2"], "slack_hook": ["https://hooks.slack.com/services/T0000/B0000/abcdefghij"],
     }[rule.kind]
     query = trigram_query(rule.pattern)
     for said in matches:

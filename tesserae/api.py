@@ -23,6 +23,8 @@ PROTOCOL = 1
 OPS = ("prepare_repository", "search", "get_symbol", "get_context", "get_dependencies", "get_references", "get_tests", "get_docs", "update_repository", "get_stats", "shutdown")
 #: What a context is filled with first.
 CONTEXT_ORDER = ("purpose", "invariant", "security", "warning", "decision", "raises", "returns", "side_effect", "config", "env", "assertion", "call", "default", "literal")
+#: Rows of a list in an answer at most.
+MOST_ROWS = 500
 REFERENCE_KINDS = ["CALLS", "EXTENDS", "USES_TYPE", "REFERENCES", "MOCKS", "IMPORTS"]
 DOC_CLASSES = ["documentation", "architecture"]
 
@@ -137,9 +139,11 @@ class Engine:
     def get_dependencies(self, path: str) -> dict:
         p = _text(path, "path")
         imports = self.table("imports")
-        own = imports.where(F.col("path") == p).select("resolved_module", "target_path").distinct().orderBy("resolved_module").collect()
-        back = imports.where(F.col("target_path") == p).select("path").distinct().orderBy("path").collect()
-        return {"imports_local": [r["target_path"] for r in own if r["target_path"]], "imports_external": [r["resolved_module"] for r in own if not r["target_path"]], "imported_by": [r["path"] for r in back]}
+        own = imports.where(F.col("path") == p).select("resolved_module", "target_path").distinct().orderBy("resolved_module").limit(MOST_ROWS + 1).collect()
+        back = imports.where(F.col("target_path") == p).select("path").distinct().orderBy("path").limit(MOST_ROWS + 1).collect()
+        more = {"dropped": 1} if max(len(own), len(back)) > MOST_ROWS else {}  # a list goes on
+        own, back = own[:MOST_ROWS], back[:MOST_ROWS]
+        return more | {"imports_local": [r["target_path"] for r in own if r["target_path"]], "imports_external": [r["resolved_module"] for r in own if not r["target_path"]], "imported_by": [r["path"] for r in back]}
 
     def _referrers(self, symbol: str, kinds: list[str]) -> DataFrame:
         asked = self._named(symbol).select(F.col("stable_key").alias("target"))
@@ -245,8 +249,8 @@ def main(arguments: list[str] | None = None) -> None:
 
 
 def file_view(engine: Engine, path: str) -> dict:
-    """One file with its symbols, facts, keywords and imports."""
-    of = lambda name, order: [r.asDict(recursive=True) for r in engine.table(name).where(F.col("path") == path).orderBy(*order).collect()]
+    """One file with its symbols, facts, keywords and imports, MOST_ROWS of each at most."""
+    of = lambda name, order: [r.asDict(recursive=True) for r in engine.table(name).where(F.col("path") == path).orderBy(*order).limit(MOST_ROWS).collect()]
     head = of("files", ["path"])
     return {**(head[0] if head else {"path": path}), "symbols": of("symbols", ["line_start", "stable_key"]), "facts": of("facts", ["priority", "kind", "value"]), "keywords": of("keywords", [F.desc("score"), "term"]), "imports": of("imports", ["line"])}
 

@@ -160,7 +160,49 @@ def search_lines(numbered: DataFrame, patterns: list[str], ignore_case: bool = F
     return hit.select("path", "line", F.substring("line_text", 1, most_columns).alias("line_text"), F.regexp_extract_all("line_text", F.lit(f"({joined})"), F.lit(1)).alias("matches"))
 
 
-def read_range(numbered: DataFrame, path: str, first: int, last: int) -> DataFrame:
-    if path.startswith(("/", "~")) or ".." in path.split("/"):
+def _inside(path: str) -> str:
+    """The path, if it stays in the repository."""
+    if path.startswith(("/", "~")) or ".." in path.replace("\\", "/").split("/"):
         raise ValueError("path leaves the repository")
-    return numbered.where((F.col("path") == path) & F.col("line").between(first, last)).orderBy("line")
+    return path
+
+
+def stat(files: DataFrame, path: str) -> DataFrame:
+    """What is known of a file without its text: size, lines, class, language, hash, state; no row if it isn't there."""
+    return files.where(F.col("path") == _inside(path)).select("path", "byte_size", "line_count", "file_class", "language", "source_hash", "parse_state")
+
+
+def patch(root: str, path: str, text: str, first: int | None = None, last: int | None = None) -> dict:
+    """Puts text in the place of a file, or of its lines first to last, by an atomic write. Gives back what undo needs."""
+    import os
+
+    from .suites import write_atomic
+
+    place = os.path.join(root, _inside(path))
+    before = open(place, encoding="utf-8", newline="").read() if os.path.exists(place) else None  # noqa: SIM115
+    if first is not None:
+        kept = (before or "").splitlines(keepends=True)
+        if before is None or not 1 <= first <= (last or first) <= len(kept):
+            raise ValueError("no such lines")
+        text = "".join([*kept[: first - 1], text, *kept[last or first :]])
+    os.makedirs(os.path.dirname(place) or ".", exist_ok=True)
+    write_atomic(place, text)
+    return {"path": path, "before": before}
+
+
+def undo(root: str, log: list[dict]) -> None:
+    """Takes patches back, the last one first; files that a patch made go."""
+    import os
+
+    from .suites import write_atomic
+
+    for entry in reversed(log):
+        place = os.path.join(root, _inside(entry["path"]))
+        if entry["before"] is None:
+            os.remove(place)
+        else:
+            write_atomic(place, entry["before"])
+
+
+def read_range(numbered: DataFrame, path: str, first: int, last: int) -> DataFrame:
+    return numbered.where((F.col("path") == _inside(path)) & F.col("line").between(first, last)).orderBy("line")

@@ -123,20 +123,30 @@ class EliasFano:
             return np.zeros(0, _U)
         return ((self.select1(i) - i).astype(_U) << _U(self.bits)) | self.low_bits(i)
 
+    def access_pairs(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values number i and those after them: the next one is mostly in the same word."""
+        at = self.select1(i)
+        bits = self.high[(at + 1) >> 6] >> ((at + 1) & 63).astype(_U)
+        place = at + 1 + np.bitwise_count((bits & (~bits + _U(1))) - _U(1))
+        far = np.flatnonzero(bits == 0)
+        if len(far):
+            place[far] = self.select1(i[far] + 1)
+        value = lambda p, k: ((p - k).astype(_U) << _U(self.bits)) | self.low_bits(k)
+        return value(at, i), value(place, i + 1)
+
     def successor(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(how many values lie below x, whether x itself is there) for each x below the universe."""
         if not self.n or not len(x):
             return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
         return self._sought(x, np.zeros(len(x), np.int64), np.full(len(x), self.n))
 
-    def successor_in(self, x: np.ndarray, first: np.ndarray, last: np.ndarray, top: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(the place of the first value not under x, whether it is x) among the values from first to before last, for each x of any size.
-
-        top: the ranges' last values, if known.
-        """
+    def successor_in(self, x: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the place of the first value not under x, whether it is x) among the values from first to before last, for each x of any size."""
         if not self.n or not len(x):
             return first.copy(), np.zeros(len(x), bool)
-        inside = x <= (self.access(last - 1) if top is None else top)
+        inside = (x >> _U(self.bits)) < _U(64 * len(self.high) - self.n - 1)  # beyond lies no value
+        if inside.all():
+            return self._sought(x, first, last)
         at, there = last.copy(), np.zeros(len(x), bool)
         at[inside], there[inside] = self._sought(x[inside], first[inside], last[inside])
         return at, there

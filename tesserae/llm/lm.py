@@ -295,14 +295,13 @@ def successors(level: dict[str, np.ndarray], name: str, contexts: np.ndarray, wo
     """(place in the level, whether it is there) of each word among its context's successors. contexts: sorted."""
     distinct, of = np.unique(contexts, return_inverse=True)
     pointers, level_words = EliasFano.of(level, f"pointers{name}"), EliasFano.of(level, f"words{name}")
-    begin, end = (pointers.access(distinct + k).astype(np.int64) for k in (0, 1))
+    begin, end = (x.astype(np.int64) for x in pointers.access_pairs(distinct))
     base = np.zeros(len(distinct), _U)
     base[begin > 0] = level_words.access(begin[begin > 0] - 1)
-    top = level_words.access(np.maximum(end - 1, 0))
     any_ = (begin < end)[of]
     at, there = np.zeros(len(contexts), np.int64), np.zeros(len(contexts), bool)
     of = of[any_]
-    at[any_], there[any_] = level_words.successor_in(base[of] + words[any_].astype(_U), begin[of], end[of], top[of])
+    at[any_], there[any_] = level_words.successor_in(base[of] + words[any_].astype(_U), begin[of], end[of])
     return at, there
 
 
@@ -364,6 +363,7 @@ def token_probabilities(vocabulary: Vocabulary, shards: int, numbers: np.ndarray
     share2, share3, rest3 = np.zeros(len(distinct)), np.zeros(len(triple)), np.ones(len(distinct))
     node = np.full(len(distinct), -1, np.int64)
     of_triple = back[np.searchsorted(place, triple)]
+    shard = shard.astype(np.uint16) if shards < 2**16 else shard  # few values sort by their digits
     order, size = np.argsort(shard, kind="stable"), _U(vocabulary.size + 1)
     cuts = np.searchsorted(shard[order], np.arange(shards + 1))
     third = np.argsort(shard[of_triple], kind="stable")

@@ -21,6 +21,12 @@ from .tables import read
 from .tree import FILES, rows_sql, sql_text, union_sql
 
 
+def _parsed(spark: SparkSession, sf_dir: str, kinds: tuple[str, ...] = tuple(FILES)) -> tuple[DataFrame, DataFrame]:
+    """(files, extracted), kept for the several tables that follow from them."""
+    files = tree.described(spark, sf_dir, kinds).persist()
+    return files, extraction.extract(files).persist()
+
+
 def _extracted(spark: SparkSession, sf_dir: str, column: str, kinds: tuple[str, ...] = tuple(FILES)) -> DataFrame:
     return extraction.exploded(extraction.extract(tree.described(spark, sf_dir, kinds)), column)
 
@@ -127,8 +133,8 @@ def index_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def index_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Imports with the file that each stands for: a module path under any root of the tree, or none."""
-    files = tree.described(spark, sf_dir)
-    imports = extraction.exploded(extraction.extract(files), "imports")
+    files, extracted = _parsed(spark, sf_dir)
+    imports = extraction.exploded(extracted, "imports")
     return indexer.import_targets(imports, files).select("path", "resolved_module", "line", "target_path")
 
 
@@ -143,10 +149,9 @@ EDGE = ["source", "kind", "target", "external", "tier", "confidence", "path", "l
 
 def index_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every reference by the tiers: same file, imported, unique, ambiguous, outside."""
-    files = tree.described(spark, sf_dir)
-    extracted = extraction.extract(files).persist()  # several tables follow from one parse
+    files, extracted = _parsed(spark, sf_dir)
     symbols, refs, imports = (extraction.exploded(extracted, c) for c in ("symbols", "refs", "imports"))
-    return indexer.relationships(refs, symbols, indexer.import_targets(imports, files), files, Config()).select(*EDGE)
+    return indexer.relationships(refs, symbols, indexer.import_targets(imports, files).persist(), files, Config()).select(*EDGE)
 
 
 def _edge(f: str, source: str, kind: str, line: int, external: str, target: str = "", tier: str = "R4", confidence: float = 0.3) -> str:
@@ -190,8 +195,7 @@ LOOKUP = f"WITH symbols AS ({SYMBOLS_SQL}) SELECT asked, stable_key, kind FROM s
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = tree.described(spark, sf_dir)
-    extracted = extraction.extract(files).persist()  # several tables follow from one parse
+    files, extracted = _parsed(spark, sf_dir)
     symbols, facts, candidates = (extraction.exploded(extracted, c) for c in ("symbols", "facts", "keywords"))
     chosen = candidates.where("source = 'name'").unionByName(candidates.where("source = 'path'").withColumn("symbol_key", F.lit(None).cast("string")))
     return indexer.search_documents(files, symbols, facts, chosen)

@@ -82,13 +82,18 @@ _RESULTS = "results AS (" + " UNION ALL ".join(f"SELECT p_partkey AS probe, {ran
 RESPONSE_RESULTS = f"WITH {_RESULTS} SELECT probe, rank, symbol, path FROM results"
 
 
+#: Probes of a task that joins them to their gold symbols.
+JOIN_ROWS = 50_000
+
+
 def response_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results against gold symbols that they equal or end in, the longest first; files credit their path."""
     found = tasks.reduce_results(_responses(spark, sf_dir)).where("symbol is not null")
     parts = read(spark, sf_dir, "part")
+    tasks_of_join = max(int(spark.conf.get("spark.sql.shuffle.partitions")), parts.count() // JOIN_ROWS)
     k = F.col("p_partkey").cast("string")
     gold = parts.select(F.col("p_partkey").alias("probe"), F.explode(F.array(F.concat(F.lit("Part"), k), F.concat(F.lit("m.Part"), k), F.concat(F.lit("art"), k))).alias("gold"))
-    return joins.suffix_matches(found.select("probe", "rank", "symbol"), gold, ["probe"], "symbol", "gold", text.dotted_suffixes)
+    return joins.suffix_matches(found.select("probe", "rank", "symbol"), gold, ["probe"], "symbol", "gold", text.dotted_suffixes, tasks_of_join)
 
 
 RESPONSE_MATCHES = f"WITH {_RESULTS} SELECT probe, rank, symbol, 'm.Part' || probe AS gold FROM results WHERE symbol = 'm.Part' || probe"

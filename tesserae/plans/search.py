@@ -26,10 +26,9 @@ IDF_TERMS = f"WITH {IDF} SELECT term, df, round(idf, 6) AS idf FROM idf"
 def keyword_topk_per_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     body = keywords.document_terms(docs, "doc_id", "text")
-    heading = keywords.document_terms(docs.withColumn("head", F.substring_index("text", "\n", 1)), "doc_id", "head")
     idf = keywords.inverse_frequencies(body, docs)
-    both = body.withColumn("source", F.lit("body")).unionByName(heading.withColumn("source", F.lit("heading")))
-    scored = keywords.keyword_scores(both, idf, WEIGHTS, "doc_id").withColumn("score", F.round("score", 6))
+    both = keywords.sourced_terms(docs.withColumn("head", F.substring_index("text", "\n", 1)), "doc_id", "text", "head")
+    scored = keywords.keyword_scores(both, idf, WEIGHTS, "doc_id", once=True).withColumn("score", F.round("score", 6))
     return keywords.top_terms(scored, "doc_id", 8).select("doc_id", "rank", "term", "source", "score")
 
 

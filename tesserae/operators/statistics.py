@@ -16,12 +16,21 @@ def _middle(values: Column) -> Column:
     return F.when(n == 0, None).when(n % 2 == 1, F.get(values, half)).otherwise((F.get(values, half - 1) + F.get(values, half)) / 2)
 
 
+def _deviation(values: Column) -> Column:
+    """The sample's standard deviation; 0 for fewer than two values. By n * sum of d^2 - (sum of d)^2 of the differences d from the median, which is exact for whole values, in any order: running means are not, and a tie or a limit that is met exactly would fall to either side."""
+    n, middle, total = F.size(values), _middle(values), lambda f: F.aggregate(values, F.lit(0.0), lambda s, v: s + f(v))
+    off = total(lambda v: v - middle)
+    spread = n * total(lambda v: (v - middle) * (v - middle)) - off * off
+    return F.when(n < 2, 0.0).otherwise(F.sqrt(F.greatest(spread, F.lit(0.0)) / (n * (n - F.lit(1.0)))))
+
+
 def dispersion(values: DataFrame, key: str, value: str) -> DataFrame:
     """n, mean, median, stdev, iqr (medians of the halves; 0 under four values), cv, min, max and stability of each key.
 
     For repetitions of a metric: a key's values are few.
     """
-    by = values.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("stdev"), F.min(value).alias("least"), F.max(value).alias("most"), F.array_sort(F.collect_list(value)).alias("_v"))
+    by = values.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"), F.array_sort(F.collect_list(F.col(value).cast("double"))).alias("_v"))
+    by = by.withColumn("stdev", _deviation(F.col("_v")))
     half = F.floor(F.col("n") / 2).cast("int")
     iqr = F.when(F.col("n") < 4, 0.0).otherwise(_middle(F.slice("_v", F.col("n").cast("int") - half + 1, half)) - _middle(F.slice("_v", F.lit(1), half)))
     cv = F.when(F.col("mean") == 0, 0.0).otherwise(F.col("stdev") / F.abs("mean"))

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text
+from ..indexer import stored
 from ..operators import budget, grading, incremental, joins, ledger, resolve, search, statistics
 from ._sql import words
-from .tables import read
+from .tables import read, scratch
 
 _HREF = 'href="([^"#?]*)'
 
@@ -190,22 +191,27 @@ FROM d GROUP BY lang
 """
 
 
-def _probe_results(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Probes: benchmark items by their third to fifth words. Results: documents with these words in a row, ranked. Gold: documents with the item's first eight words."""
-    docs = search.once(read(spark, sf_dir, "documents").select("doc_id", "text"), "w", text.ascii_words("text")).drop("text")
-    # the few asked-for runs of words meet the documents' runs before anything is counted
-    met = lambda asked, n: docs.select("doc_id", F.explode(_grams("w", n)).alias("gram")).join(asked, "gram")
-    items = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("probe"), text.ascii_words("text").alias("w")).where(F.size("w") >= 8)
-    run = lambda first, n: items.select("probe", F.array_join(F.slice("w", first, n), " ").alias("gram"))
-    at = F.row_number().over(Window.partitionBy("probe").orderBy(F.desc("c"), "doc_id"))
-    counted = met(run(3, 3), 3).groupBy("probe", "doc_id").agg(F.count(F.lit(1)).alias("c"))
-    results = counted.withColumn("rank", at).where("rank <= 10").select("probe", "rank", F.col("doc_id").alias("item"))
-    return results, met(run(1, 8), 8).select("probe", F.col("doc_id").alias("item")).distinct()
+def _probe_hits(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(probe, doc_id, c, gold): places of the item's third to fifth words in a row, and whether the document has its first eight words.
+
+    Each text is walked once: every place meets both kinds of runs by its three words, and the few that met look at the five that follow.
+    """
+    run = lambda first, n: F.array_join(F.slice("w", first, n), " ")
+    wanted = items.select(F.col("item_id").alias("probe"), text.ascii_words("text").alias("w")).where(F.size("w") >= 8)
+    asked = wanted.select("probe", run(3, 3).alias("gram"), F.lit(None).cast("string").alias("rest")).unionByName(wanted.select("probe", run(1, 3).alias("gram"), run(4, 5).alias("rest")))
+    words = search.once(docs.select("doc_id", "text"), "w", text.ascii_words("text")).drop("text")
+    places = words.select("doc_id", "w", F.explode(F.when(F.size("w") >= 3, F.sequence(F.lit(0), F.size("w") - 3))).alias("k"))
+    met = places.withColumn("gram", F.concat_ws(" ", *(F.get("w", F.col("k") + i) for i in range(3)))).join(asked, "gram")
+    follow = F.array_join(F.slice("w", F.col("k") + 4, 5), " ")
+    return met.groupBy("probe", "doc_id").agg(F.count_if(F.col("rest").isNull()).alias("c"), F.max(F.coalesce(follow == F.col("rest"), F.lit(False))).alias("gold"))
 
 
-def _grams(words_column: str, n: int):
-    w = F.col(words_column)
-    return F.when(F.size(w) < n, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda k: F.array_join(F.slice(w, k, n), " ")))
+def _probe_results(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Probes: benchmark items by their third to fifth words. Results: documents with these words in a row, ranked. Gold: documents with the item's first eight words. Both come from hits that are written once, however often a metric reads them."""
+    hits = stored(_probe_hits(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")), scratch(spark))
+    at = F.row_number().over(Window.partitionBy("probe").orderBy(F.desc("c"), "doc_id"))
+    results = hits.where("c > 0").withColumn("rank", at).where("rank <= 10").select("probe", "rank", F.col("doc_id").alias("item"))
+    return results, hits.where("gold").select("probe", F.col("doc_id").alias("item"))
 
 
 _PROBES = f"""

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import json
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +15,7 @@ from ..functions import globs, text
 from ..operators import joins, resolve, search
 from ..sources import files as sources
 from . import tree
-from .tables import read
+from .tables import read, scratch
 from .tree import FILES, rows_sql, sql_text, union_sql
 
 
@@ -28,7 +26,7 @@ _RESOLVED = {"symbols": ["stable_key", "kind", "name", "qualified_name", "line_s
 def _parsed(spark: SparkSession, sf_dir: str, lists: dict[str, list[str] | None]) -> tuple[DataFrame, DataFrame]:
     """(files without their texts, extracted): the lists of one parse, written to the shared folder for the several tables that follow from them."""
     files = tree.described(spark, sf_dir)
-    return files.drop("content_text"), indexer.stored(extraction.extract(files, lists), _scratch(spark))
+    return files.drop("content_text"), indexer.stored(extraction.extract(files, lists), scratch(spark))
 
 
 def _rows(spark: SparkSession, sf_dir: str, name: str, fields: list[str]) -> DataFrame:
@@ -277,16 +275,6 @@ def name_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # the built index: updates and operations
 
-def _scratch(spark: SparkSession) -> str:
-    """A fresh folder below the one that all executors share; a session in one process without such a folder takes a temporary one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        shared = tempfile.mkdtemp(prefix="index-")
-    return f"{shared.rstrip('/')}/index-{uuid.uuid4().hex}"
-
-
 _CHANGED, _BLANK, _REMOVED, _ADDED = "p_partkey % 50 = 3", "p_partkey % 50 = 7", "p_partkey % 70 = 5", "p_partkey % 90 = 11"
 
 
@@ -304,7 +292,7 @@ def _edited(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def index_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What an update did, and how many rows then differ from a clean build: none."""
-    store = indexer.build(spark, tree.files(spark, sf_dir, ("module", "test")), _scratch(spark))
+    store = indexer.build(spark, tree.files(spark, sf_dir, ("module", "test")), scratch(spark))
     after = _edited(spark, sf_dir)
     generation = store.state()["generation"]
     counts = indexer.update(spark, after, store)
@@ -328,7 +316,7 @@ UNION ALL SELECT 'commits', 1 UNION ALL SELECT 'symbols_differ', 0 UNION ALL SEL
 
 def index_protocol(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The operations of the protocol, asked line by line: whether each was answered, how much came and what came first."""
-    engine = Engine(spark, _scratch(spark))
+    engine = Engine(spark, scratch(spark))
     engine.store = indexer.build(spark, tree.files(spark, sf_dir), engine.store.folder)
     asked = [
         ("get_symbol", {"symbol": "part7.MAKE_7"}), ("get_dependencies", {"path": "src/stock/part_11.py"}), ("get_references", {"symbol": "make_6"}), ("get_tests", {"symbol": "check_11"}), ("get_docs", {"query": "deliver supplier 3 terms", "limit": 1}),

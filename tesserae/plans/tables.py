@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: Tables whose rows are heavy: texts to split and scan.
@@ -26,3 +29,13 @@ def read(spark: SparkSession, sf_dir: str, name: str, heavy: bool = False) -> Da
     if name in HEAVY and splits * 2 <= cores:
         return df.repartition(cores)
     return df
+
+
+def scratch(spark: SparkSession) -> str:
+    """A fresh folder below the one that all executors share; a session in one process without such a folder takes a temporary one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="index-")
+    return f"{shared.rstrip('/')}/index-{uuid.uuid4().hex}"

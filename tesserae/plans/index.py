@@ -228,7 +228,8 @@ ASKED = [["limit"], ["make", "12"], ["deliver"], ["red"]]
 
 def index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 over all eight columns of the built documents."""
-    hits = search.bm25(_documents(spark, sf_dir), text.spaced_words(F.concat_ws(" ", *COLUMNS)), ASKED)
+    # scores and the collection's statistics both read the documents: they are joined once
+    hits = search.bm25(indexer.stored(_documents(spark, sf_dir), scratch(spark)), text.spaced_words(F.concat_ws(" ", *COLUMNS)), ASKED)
     return search.candidates(hits, ["path", "doc_kind", "doc_id"], search.clamp_limit(1000)).select("doc_kind", "doc_id", "path", F.round("score", 6).alias("score"))
 
 
